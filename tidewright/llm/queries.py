@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .minhash_dedup import near_duplicates
+from .substring_dedup import remove_repeats
 from .token_store import store_and_verify
 
 
@@ -15,8 +17,58 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_verify(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32", F.hex("merkle_root").alias("merkle_root"))
 
 
+def op10_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+def op6_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=13, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP6_SQL = r"""
+WITH words AS MATERIALIZED (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS w FROM documents
+), windows AS MATERIALIZED (
+  SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM words)
+), low AS (SELECT x, min(doc_id) AS low FROM windows GROUP BY x HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS k FROM windows JOIN low USING (x) WHERE low < doc_id
+), places AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(len(ks), 0) AS n_removed,
+    CASE WHEN ks IS NULL THEN w ELSE list_select(w, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(ks, i))) END AS v
+  FROM words LEFT JOIN places USING (doc_id)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(v, ' '), '')) AS kept_sha256 FROM kept
+"""
+
+
+OP10_SQL = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words
+), sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets
+), items AS MATERIALIZED (SELECT doc_id, hash(x) AS x FROM (SELECT doc_id, unnest(s) AS x FROM sets)
+), common AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT i, j FROM common JOIN sizes p ON p.doc_id = i JOIN sizes q ON q.doc_id = j WHERE 100 * c >= 85 * (p.n + q.n - c)
+), sym AS MATERIALIZED (SELECT i, j FROM links UNION SELECT j, i FROM links
+), reach(i, j) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.i, s.j FROM reach r JOIN sym s ON s.i = r.j
+)
+SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id, n.doc_id = m.c AS kept
+FROM sizes n JOIN (SELECT i, min(j) AS c FROM reach GROUP BY i) m ON m.i = n.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
+    "op6_substring_doubling": op6_substring_doubling,
+    "op10_minhash_hamming": op10_minhash_hamming,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_substring_doubling": OP6_SQL,
+    "op10_minhash_hamming": OP10_SQL,
+}
