@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .chat_format import digests, format_conversations
+from .common import materialize, table
+from .embedding_dedup import near_vectors
 from .minhash_dedup import near_duplicates
 from .substring_dedup import remove_repeats
 from .token_store import store_and_verify
@@ -21,6 +23,45 @@ def op10_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.label = b.label AND a.vec_id != b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(i, j) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.i, l.j FROM reach r JOIN links l ON l.i = r.j
+), degree AS (SELECT i, count(*) AS n FROM links GROUP BY i)
+SELECT r.i AS vec_id, coalesce(max(d.n), 0) AS n_links, min(r.j) AS component_id, r.i = min(r.j) AS kept
+FROM reach r LEFT JOIN degree d ON d.i = r.i GROUP BY r.i
+"""
+
+
+def op9_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.sql(f"SELECT * FROM VALUES (-7L, 0, 'user', '{odd}'), (-7L, 1, 'assistant', '{odd}') AS t(conv_id, turn, role, text)")
+    return digests(materialize(format_conversations(rows.union(more)), "formatted")).drop("tokens", "loss_tokens")
+
+
+OP9_SQL = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), longer AS (
+  SELECT *, length('<s>[ROLE][/ROLE]</s>') + length(regexp_replace(role, '([<\[])(\\*)(/?s>|\|endoftext\|>|/?(?:ROLE|INST)\])', '\1\\\2\3', 'g'))
+    + length(regexp_replace(text, '([<\[])(\\*)(/?s>|\|endoftext\|>|/?(?:ROLE|INST)\])', '\1\\\2\3', 'g')) AS n FROM rows_
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM longer GROUP BY conv_id
+"""
+
+
 def op6_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=13, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -64,11 +105,15 @@ FROM sizes n JOIN (SELECT i, min(j) AS c FROM reach GROUP BY i) m ON m.i = n.doc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
+    "op5_projection_forest": op5_projection_forest,
     "op6_substring_doubling": op6_substring_doubling,
+    "op9_chat_masks": op9_chat_masks,
     "op10_minhash_hamming": op10_minhash_hamming,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_projection_forest": OP5_SQL,
     "op6_substring_doubling": OP6_SQL,
+    "op9_chat_masks": OP9_SQL,
     "op10_minhash_hamming": OP10_SQL,
 }
