@@ -28,6 +28,16 @@ def test_encoder_equals_library(text):
     assert ts.encoder(PATH, public_tokenizers.PATTERN)(text, 2).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("ab .,'\n\té1日🙂")), max_size=20)), max_size=8), st.integers(0, 2))
+def test_batch_equals_single(texts, skip):
+    import pyarrow as pa
+
+    e = ts.encoder(PATH, public_tokenizers.PATTERN)
+    got = e.batch(pa.array(texts, pa.string()).slice(skip), 2)
+    assert [x.tolist() for x in got] == [e(t, 2).tolist() for t in texts[skip:]]
+
+
 @given(st.lists(st.binary(max_size=40), max_size=6))
 def test_crc_concat(parts):
     assert ts.crc_concat([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))

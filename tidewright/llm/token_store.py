@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,35 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+class Pieces(dict):
+    """What stands between two cuts -> its ids. Two generations of at most MEMO entries: what is used again stays.
+
+    lead: what goes before each piece; None: the pieces are pre-tokens themselves.
+    """
+
+    def __init__(self, encoder: DocumentEncoder, lead: str | None):
+        self.encoder, self.lead, self.old = encoder, lead, {}
+
+    def __missing__(self, piece: str) -> bytes | None:
+        value = self.old.get(piece)
+        if value is None:
+            if self.lead is None:
+                value = self.encoder.bpe(piece)
+            elif piece.isalpha():
+                value = self.encoder.bpe(self.lead + piece)
+            elif not piece or piece[0].isspace() or piece[-1].isspace():
+                return None
+            elif piece[-1] in ".,;:!?" and piece[:-1].isalpha():  # two pre-tokens, not worth an entry
+                return self[piece[:-1]] + self.encoder.pre[piece[-1]]
+            else:
+                value = self.encoder.split(self.lead + piece)
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = value
+        return value
+
+
 class DocumentEncoder:
     """Whole texts to ids, as tokenizers.Tokenizer.encode(text, add_special_tokens=False) gives them.
 
@@ -47,36 +78,20 @@ class DocumentEncoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         self.wide = tokenizer.get_vocab_size() > 1 << 16
-        self.dtype = np.dtype("<u4" if self.wide else "<u2")
+        self.dtype, self.code = np.dtype("<u4" if self.wide else "<u2"), "I" if self.wide else "H"
         self.model, self.pattern = tokenizer.model, regex.compile(pattern)
         self.bytes = str.maketrans({b: c for b, c in enumerate(_byte_letters())})
-        self.pre: dict[str, bytes] = {}
-        outer = self
-
-        class Pieces(dict):
-            lead = ""
+        self.first, self.later, self.pre = Pieces(self, ""), Pieces(self, " "), Pieces(self, None)
 
-            def __missing__(self, piece: str) -> bytes | None:
-                if len(self) >= MEMO:
-                    self.clear()
-                odd = not piece or piece[0].isspace() or piece[-1].isspace()
-                value = self[piece] = None if odd else outer.split(self.lead + piece)
-                return value
-
-        self.first, self.later = Pieces(), Pieces()
-        self.later.lead = " "
+    def bpe(self, pre: str) -> bytes:
+        if pre.isascii() and pre[1:].isalpha():
+            letters = "\u0120" + pre[1:] if pre[0] == " " else pre
+        else:
+            letters = pre.encode().decode("latin-1").translate(self.bytes)
+        return array(self.code, [x.id for x in self.model.tokenize(letters)]).tobytes()
 
     def split(self, text: str) -> bytes:
-        out = []
-        for pre in self.pattern.findall(text):
-            ids = self.pre.get(pre)
-            if ids is None:
-                if len(self.pre) >= MEMO:
-                    self.pre.clear()
-                letters = pre.encode().decode("latin-1").translate(self.bytes)
-                ids = self.pre[pre] = np.array([x.id for x in self.model.tokenize(letters)], self.dtype).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.pre.__getitem__, self.pattern.findall(text)))
 
     def __call__(self, text: str | None, end_id: int | None) -> np.ndarray:
         pieces = text.split(" ") if text else []
@@ -88,6 +103,31 @@ class DocumentEncoder:
             raw += int(end_id).to_bytes(self.dtype.itemsize, "little")
         return np.frombuffer(raw, self.dtype)
 
+    def batch(self, texts: pa.Array, end_id: int | None) -> list[np.ndarray]:
+        """The same for many texts: each distinct piece of the batch is looked up once."""
+        if not len(texts):
+            return []
+        pieces = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        flat, at = pieces.flatten(), pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        coded = flat.dictionary_encode()
+        entries = [self.later[x] for x in coded.dictionary.to_pylist()]
+        which = coded.indices.to_numpy().copy()
+        which[at[:-1]] = len(entries) + np.arange(len(texts))
+        entries += [self.first[x] if x else b"" for x in flat.take(pa.array(at[:-1])).to_pylist()]
+        known = np.array([x is not None for x in entries])
+        # A text that begins with a space has an empty first piece, whose space goes with what follows.
+        known[len(entries) - len(texts) :] &= (np.diff(at) == 1) | np.array([x != b"" for x in entries[len(entries) - len(texts) :]])
+        entries = [x or b"" for x in entries]
+        sizes = np.array([len(x) for x in entries]) // self.dtype.itemsize
+        starts, pool = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(entries), self.dtype)
+        sizes = sizes[which]
+        ends = np.cumsum(sizes)
+        ids = pool[np.repeat(starts[which] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        borders = np.concatenate([[0], ends[at[1:] - 1]])
+        plain = np.logical_and.reduceat(known[which], at[:-1])
+        end = np.array([] if end_id is None else [end_id], self.dtype)
+        return [np.concatenate([ids[borders[i] : borders[i + 1]], end]) if plain[i] else self(texts[i].as_py(), end_id) for i in range(len(texts))]
+
 
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable ones themselves, the rest from 256 on."""
@@ -151,17 +191,16 @@ def _stage(path: str, pattern: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
+            for at in range(0, batch.num_rows, 8192):
                 rows = []
-                for text in batch.column(1).slice(at, 512).to_pylist():
-                    ids = encode(text, end_id)
+                for ids in encode.batch(batch.column(1).slice(at, 8192), end_id):
                     ends = cut(ids)
                     chunks = [ids[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
                     digests = [hashlib.sha256(c).digest() for c in chunks]
                     rows.append((len(ids), digests, [len(c) // ids.itemsize for c in chunks], merkle_root(digests), chunks))
                 n, d, ls, m, c = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 512), pa.array(n, pa.int64()), pa.array(d, pa.list_(pa.binary())), pa.array(ls, pa.list_(pa.int32())), pa.array(m, pa.binary()), pa.array(c, pa.list_(pa.binary()))],
+                    [batch.column(0).slice(at, 8192), pa.array(n, pa.int64()), pa.array(d, pa.list_(pa.binary())), pa.array(ls, pa.list_(pa.int32())), pa.array(m, pa.binary()), pa.array(c, pa.list_(pa.binary()))],
                     ["doc_id", "n_tokens", "digests", "lengths", "merkle_root", "chunks"],
                 )
 
