@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality_mil
 from .chat_format import digests, format_conversations
 from .common import materialize, table
+from .decontamination import contaminated
 from .embedding_dedup import near_vectors
 from .minhash_dedup import near_duplicates
 from .substring_dedup import remove_repeats
@@ -23,6 +25,16 @@ def op10_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op3_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_mil.score(docs.select("doc_id", "text"), quality_mil.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality_mil.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -105,6 +117,8 @@ FROM sizes n JOIN (SELECT i, min(j) AS c FROM reach GROUP BY i) m ON m.i = n.doc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
+    "op3_bm25_wand": op3_bm25_wand,
+    "op4_attention_mil": op4_attention_mil,
     "op5_projection_forest": op5_projection_forest,
     "op6_substring_doubling": op6_substring_doubling,
     "op9_chat_masks": op9_chat_masks,
