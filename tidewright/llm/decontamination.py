@@ -1,19 +1,20 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND.
 
-Test items are indexed: for each word the items that hold it, in blocks, with each block's largest impact. An impact is the BM25 part
-of a word in an item, divided by what the item scores against itself, so 1 is a full match and one threshold fits all. Every passage of every
-training text (PASSAGE words, each beginning STRIDE after the last) is a query; block-max WAND finds all items that score the
-threshold or more. A found item is verified at its place: shared five-word shingles must hold 80 % of the item's, and
-cover half at least of the words of its question and of its answer (what follows the last question mark, else its
-last sentence, else the last third).
+Test items are indexed: for each word the items that hold it, in blocks of items of like length, with the word's largest
+impact in each block. An impact is the BM25 part of a word in an item, divided by what the item scores against itself, so 1
+is a full match and one threshold fits all. Every passage of every training text (PASSAGE words, the next beginning
+half-way) is a query; all items that score the threshold or more are found. A found item is verified at its
+place: shared five-word shingles must hold 80 % of the item's, and cover at least half of the words of its question
+and of its answer (what follows the last question mark, else its last sentence, else the last third).
 
-The first pivot test of WAND, that the largest impacts of a passage's words reach the threshold at all, is done for all
-passages at once with sums over prefix sums; what passes goes on word by word.
+WAND's pivot test, that the largest impacts of a query's words reach the threshold at all, is done per block, with the
+block's own largest impacts, and for all passages of a batch at once; only blocks that pass it are opened, and
+their postings alone are added up.
 
 The index of at most SHARD items is sent to tasks; more items mean more shards, each a pass of its own.
-Nulls and odd rows: null or empty texts match nothing, as do items without words; items of fewer than five words have one shingle, all their
-words; repeated rows are reported as often as they occur in docs; a null doc_id is reported as null; other columns are ignored, whatever
-their names; empty tables give no rows.
+Nulls and odd rows: null or empty texts match nothing, as do items without words; an item of fewer than five words has one
+shingle, all its words; repeated rows are reported as often as they occur in docs; a null doc_id is reported as null;
+other columns are ignored, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,11 +29,28 @@ from pyspark.sql import functions as F
 
 from .batches import Words
 
-PASSAGE, STRIDE, THRESHOLD, SHINGLE, SHARE, PART, SHARD, BLOCK = 64, 32, 0.45, 5, 0.8, 0.5, 20_000, 16
+PASSAGE, THRESHOLD, SHINGLE, SHARE, PART, SHARD, BLOCKS, LEAST_BLOCK = 64, 0.6, 5, 0.8, 0.5, 20_000, 64, 4
+HALF = PASSAGE // 2
 K1, B = 1.2, 0.75
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
+_SEEN: dict[str, str] = {}
+
+
+def normal_of(words: list[str]) -> list[str]:
+    """normal() of each, kept for those seen before."""
+    if len(_SEEN) > 300_000:
+        _SEEN.clear()
+    out = []
+    for w in words:
+        v = _SEEN.get(w)
+        if v is None:
+            v = _SEEN[w] = normal(w)
+        out.append(v)
+    return out
+
+
 def normal(word: str) -> str:
     """A word in lower case without marks at its ends; itself where nothing else is left."""
     low = word.lower()
@@ -59,83 +77,47 @@ def answer_at(text: str) -> int:
 
 
 class Index:
-    """items: (item_id, text). Postings by word: item numbers, impacts and, by block, the last item and the largest impact."""
+    """items: (item_id, text). The blocks' largest impacts of each word, and the postings by (word, block)."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        kept = [(i, t, w) for i, t in items if (w := words_of(t))]
-        self.ids, self.words = [i for i, _, _ in kept], [w for _, _, w in kept]
-        self.answers = [answer_at(t) for _, t, _ in kept]
+        kept = sorted([(len(w), i, t, w) for i, t in items if (w := words_of(t))], key=lambda x: x[:3])
+        self.ids, self.words = [x[1] for x in kept], [x[3] for x in kept]
+        self.answers = [answer_at(x[2]) for x in kept]
         self.sets = [set(shingles(w)) for w in self.words]
-        mean = np.mean([len(w) for w in self.words]) if kept else 1
+        n, mean = len(kept), np.mean([x[0] for x in kept]) if kept else 1
         held: dict[str, dict[int, int]] = {}
         for d, w in enumerate(self.words):
             for x in w:
-                held.setdefault(x, {}).setdefault(d, 0)
-                held[x][d] += 1
-        part = {x: {d: np.log(1 + (len(kept) - len(ds) + 0.5) / (len(ds) + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(self.words[d]) / mean)) for d, f in ds.items()} for x, ds in held.items()}
-        own = np.zeros(len(kept))
-        for ds in part.values():
+                of = held.setdefault(x, {})
+                of[d] = of.get(d, 0) + 1
+        self.vocabulary = {x: k for k, x in enumerate(held)}
+        part = [{d: np.log(1 + (n - len(ds) + 0.5) / (len(ds) + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(self.words[d]) / mean)) for d, f in ds.items()} for ds in held.values()]
+        own = np.zeros(n)
+        for ds in part:
             for d, v in ds.items():
                 own[d] += v
-        self.postings = {}
-        for x, ds in part.items():
-            at = sorted(ds)
-            v = [ds[d] / own[d] for d in at]
-            self.postings[x] = (at, v, [at[min(i + BLOCK, len(at)) - 1] for i in range(0, len(at), BLOCK)], [max(v[i : i + BLOCK]) for i in range(0, len(at), BLOCK)], max(v))
-        self.most = {x: p[4] for x, p in self.postings.items()}
-
-    def search(self, terms: set[str], threshold: float) -> list[tuple[int, float]]:
-        """All items that score threshold or more against the terms: block-max WAND with document-at-a-time cursors."""
-        cursors = [[p[0][0], 0, 0, p] for x in terms if (p := self.postings.get(x))]  # item, place, block, postings
-        out, end = [], len(self.ids)
-        while cursors:
-            cursors.sort(key=lambda c: c[0])
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(cursors):
-                bound += c[3][4]
-                if bound >= threshold:
-                    pivot = k
-                    break
-            if pivot < 0:
-                break
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            tight, jump = 0.0, end
-            for c in cursors[: pivot + 1]:
-                lasts = c[3][2]
-                while c[2] < len(lasts) and lasts[c[2]] < item:
-                    c[2] += 1
-                if c[2] < len(lasts):
-                    tight += c[3][3][c[2]]
-                    jump = min(jump, lasts[c[2]] + 1)
-            if tight < threshold:  # no item before the next border of a block can do it
-                if pivot + 1 < len(cursors):
-                    jump = min(jump, cursors[pivot + 1][0])
-                target = max(jump, item + 1)
-            else:
-                score = 0.0
-                for c in cursors[: pivot + 1]:
-                    self._to(c, item)
-                    if c[0] == item:
-                        score += c[3][1][c[1]]
-                if score >= threshold:
-                    out.append((item, score))
-                target = item + 1
-            for c in cursors[: pivot + 1]:
-                self._to(c, target)
-            cursors = [c for c in cursors if c[0] < end]
+        size = max(LEAST_BLOCK, -(-n // BLOCKS))
+        self.most = np.zeros((len(held), -(-n // size)))
+        self.postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        for x, ds in enumerate(part):
+            for d, v in ds.items():
+                self.postings.setdefault((x, d // size), []).append((d, v / own[d]))
+                self.most[x, d // size] = max(self.most[x, d // size], v / own[d])
+
+    def search(self, terms: np.ndarray, blocks: list[int], threshold: float) -> list[tuple[int, float]]:
+        """All items of the blocks that score threshold or more against the distinct terms."""
+        out = []
+        for b in blocks:
+            most = self.most[terms, b]
+            if most.sum() < threshold:
+                continue
+            scores: dict[int, float] = {}
+            for x in terms[most > 0].tolist():
+                for d, v in self.postings[x, b]:
+                    scores[d] = scores.get(d, 0.0) + v
+            out += [(d, v) for d, v in scores.items() if v >= threshold - 1e-12]
         return out
 
-    def _to(self, c: list, item: int) -> None:
-        at, lasts = c[3][0], c[3][2]
-        while c[2] < len(lasts) and lasts[c[2]] < item:
-            c[2] += 1
-        c[1] = max(c[1], c[2] * BLOCK)
-        while c[1] < len(at) and at[c[1]] < item:
-            c[1] += 1
-        c[0] = at[c[1]] if c[1] < len(at) else len(self.ids)
-
     def verify(self, item: int, region: list[str]) -> tuple[float, float, float]:
         """Shares of the item's shingles, its question's and its answer's words that the region has."""
         words, own = self.words[item], shingles(self.words[item])
@@ -153,31 +135,41 @@ class Index:
 def find(index: Index, texts: pa.Array, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, float, float, float, float]]:
     """(row, item number, score, shares) of what is verified; the best-scoring passage of each."""
     words = Words(texts)
-    spelled = [normal(w) for w in words.distinct.to_pylist()]
-    most = np.array([index.most.get(w, 0.0) for w in spelled]) if spelled else np.empty(0)
-    reach = np.concatenate([[0], np.cumsum(most[words.codes])])
+    spelled = normal_of(words.distinct.to_pylist())
+    known = np.array([index.vocabulary.get(w, -1) for w in spelled], np.int64)
     n = np.diff(words.at)
-    count = np.maximum(1, -(-(n - (PASSAGE - STRIDE)) // STRIDE))
-    owner = np.repeat(np.arange(len(n)), count)
-    start = words.at[:-1][owner] + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
-    stop = np.minimum(start + PASSAGE, words.at[1:][owner])
+    halves = np.maximum(1, -(-n // HALF))
+    first = np.cumsum(halves) - halves
+    row = np.repeat(np.arange(len(n)), halves)
+    term = known[words.codes] if len(words.codes) else np.empty(0, np.int64)
+    half = first[words.owner()] + (np.arange(len(term)) - np.repeat(words.at[:-1], n)) // HALF
+    size = max(1, len(index.vocabulary))
+    keys = np.unique((half * size + term)[term >= 0])  # each word once in a half
+    half, term = keys // size, keys % size
+    at = np.searchsorted(half, np.arange(len(row) + 1))
+    # A passage is two halves next to each other in one text; the last half alone if it is the only one.
+    whole = np.flatnonzero((np.append(row[1:], -1) == row) | (halves[row] == 1))
+    after = np.where(halves[row[whole]] == 1, whole, whole + 1)
+    passing: dict[int, list[int]] = {}
+    for b in range(index.most.shape[1]):
+        reach = np.bincount(half, index.most[term, b], len(row))
+        reach = np.where(after > whole, reach[whole] + reach[np.minimum(after, len(row) - 1)], reach[whole])
+        for p in np.flatnonzero(reach >= threshold - 1e-9).tolist():
+            passing.setdefault(p, []).append(b)
     best: dict[tuple[int, int], tuple] = {}
-    for p in np.flatnonzero(reach[stop] - reach[start] >= threshold).tolist():
-        codes = np.unique(words.codes[start[p] : stop[p]])
-        codes = codes[most[codes] > 0]
-        if most[codes].sum() < threshold:
-            continue
-        terms = {spelled[c] for c in codes.tolist()}
-        for item, score in index.search(terms, threshold):
-            row, more = int(owner[p]), len(index.words[item])
-            if score <= best.get((row, item), (0,))[0]:
+    for p, blocks in passing.items():
+        h, r = int(whole[p]), int(row[whole[p]])
+        terms = np.unique(term[at[h] : at[int(after[p]) + 1]])
+        for item, score in index.search(terms, blocks, threshold):
+            if score <= best.get((r, item), (0,))[0]:
                 continue
-            region = [spelled[c] for c in words.codes[max(words.at[row], start[p] - more) : min(words.at[row + 1], stop[p] + more)].tolist()]
+            start, more = words.at[r] + (h - first[r]) * HALF, len(index.words[item])
+            region = [spelled[c] for c in words.codes[max(words.at[r], start - more) : min(words.at[r + 1], start + PASSAGE + more)].tolist()]
             shares = index.verify(item, region)
             if shares[0] >= SHARE and min(shares[1:]) >= PART:
-                best[row, item] = (score, *shares)
-    for (row, item), found in sorted(best.items()):
-        yield row, item, *found
+                best[r, item] = (score, *shares)
+    for (r, item), found in sorted(best.items()):
+        yield r, item, *found
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -193,8 +185,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
+                for at in range(0, batch.num_rows, 8192):
+                    part = batch.slice(at, 8192)
                     found = list(find(held.value, part.column(1), threshold))
                     rows = pa.array([f[0] for f in found], pa.int64())
                     yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array([held.value.ids[f[1]] for f in found], pa.int64()), *(pa.array([f[c] for f in found], pa.float64()) for c in range(2, 6))], ["doc_id", "item_id", "score", "shingle_share", "question_share", "answer_share"])
