@@ -12,11 +12,26 @@ from .chat_format import digests, format_conversations
 from .common import materialize, table
 from .decontamination import contaminated
 from .embedding_dedup import near_vectors
+from .license_scan import find_licenses
 from .minhash_dedup import near_duplicates
+from .mixing import plan
 from .substring_dedup import remove_repeats
 from .token_store import store_and_verify
 
 
+#: A domain is a group of sources; weights of domains, of languages in each, of sources that differ from 1.
+DOMAINS = 4
+MIX_WEIGHTS = {(f"domain{d}",): w for d, w in enumerate((4, 3, 2, 1))} | {(f"domain{d}", lang): w for d in range(DOMAINS) for lang, w in (("en", 4), ("de", 2), ("fr", 2), ("es", 2))}
+
+
+def mix_leaves() -> list:
+    return [F.concat(F.lit("domain"), F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(DOMAINS))), F.col("lang"), F.col("source")]
+
+
+def op1_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan(table(spark, sf_dir, "documents"), mix_leaves(), budget=0.8, weights=MIX_WEIGHTS, most_epochs=3, seed=42)
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_verify(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32", F.hex("merkle_root").alias("merkle_root"))
 
@@ -51,6 +66,10 @@ FROM reach r LEFT JOIN degree d ON d.i = r.i GROUP BY r.i
 """
 
 
+def op7_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -116,11 +135,13 @@ FROM sizes n JOIN (SELECT i, min(j) AS c FROM reach GROUP BY i) m ON m.i = n.doc
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hierarchical_mix": op1_hierarchical_mix,
     "op2_token_store": op2_token_store,
     "op3_bm25_wand": op3_bm25_wand,
     "op4_attention_mil": op4_attention_mil,
     "op5_projection_forest": op5_projection_forest,
     "op6_substring_doubling": op6_substring_doubling,
+    "op7_license_classifier": op7_license_classifier,
     "op9_chat_masks": op9_chat_masks,
     "op10_minhash_hamming": op10_minhash_hamming,
 }
