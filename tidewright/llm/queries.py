@@ -12,6 +12,7 @@ from .chat_format import digests, format_conversations
 from .common import materialize, table
 from .decontamination import contaminated
 from .embedding_dedup import near_vectors
+from .html_extraction import main_texts
 from .license_scan import find_licenses
 from .minhash_dedup import near_duplicates
 from .mixing import plan
@@ -70,6 +71,10 @@ def op7_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages")).drop("host")
+
+
 def op9_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -142,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_projection_forest": op5_projection_forest,
     "op6_substring_doubling": op6_substring_doubling,
     "op7_license_classifier": op7_license_classifier,
+    "op8_wrapper_induction": op8_wrapper_induction,
     "op9_chat_masks": op9_chat_masks,
     "op10_minhash_hamming": op10_minhash_hamming,
 }
