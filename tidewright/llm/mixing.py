@@ -15,6 +15,7 @@ gives no rows; other columns are ignored, or kept by mix(), unless they clash wi
 
 from __future__ import annotations
 
+import re
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -127,11 +128,10 @@ def plan(docs: DataFrame, leaves: list[Column], budget: int | float, weights: di
 def mix(docs: DataFrame, leaves: list[Column], budget: int | float, weights: dict[Path, float], most_epochs: int = 1, seed: int = 1) -> DataFrame:
     """The rows of docs that the mixture takes, once for each epoch, with their columns; a cut document's text ends after its last word taken."""
     taken = plan(docs, leaves, budget, weights, most_epochs, seed, keep=docs.columns)
-    text = F.col("kept.text")
-    # The first take_tokens words with the white space between them.
-    prefix = F.regexp_extract(text, r"^", 0)
-    prefix = F.expr(r"regexp_substr(kept.text, concat('^[\\x20\\x09-\\x0D]*([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*){', take_tokens, '}'))")
-    cut = F.when(F.col("take_tokens") < F.col("n_tokens"), prefix).otherwise(text)
     types = dict(docs.dtypes)
-    out = [cut.cast(types["text"]).alias("text") if c == "text" else F.when(F.col("take_tokens") < F.col("n_tokens"), F.char_length(cut)).otherwise(F.col("kept.n_chars")).cast(types[c]).alias(c) if c == "n_chars" else F.col(f"kept.`{c}`").alias(c) for c in docs.columns]
-    return taken.select(*out)
+    whole = taken.where("take_tokens >= n_tokens").select(*[F.col(f"kept.`{c}`").alias(c) for c in docs.columns])
+    # At most one cut document for each leaf.
+    first_words = F.udf(lambda text, n: "".join(re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", text)[:n]), "string")
+    cut = taken.where("take_tokens < n_tokens").withColumn("text_", first_words(F.col("kept.text"), "take_tokens"))
+    new = {"text": F.col("text_"), "n_chars": F.char_length("text_")}
+    return whole.union(cut.select(*[new.get(c, F.col(f"kept.`{c}`")).cast(types[c]).alias(c) for c in docs.columns]))
