@@ -25,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, materialize_by_block, shuffle_partitions, split_words, window_hashes, with_block, word_hashes
+from .common import materialize, materialize_by_block, split_words, window_hashes, with_block, word_hashes
 
+#: Characters of the texts of a block, and so of the windows of a bucket: what a task holds at a time.
+BLOCK_CHARS = 4_000_000
 _NO = np.iinfo(np.int64).max
 _SENT = "bucket int, block int, hashes binary, low binary"
 
@@ -184,9 +186,10 @@ def remove_repeats(docs: DataFrame, length: int = 13, with_text: bool = True) ->
     Words are runs of [^\\x20\\x09-\\x0D]; a word goes if a window of length words over it also starts in a document with
     a smaller doc_id. Windows are judged on the input, not on what is left.
     """
-    spark = docs.sparkSession
-    blocks = 4 * shuffle_partitions(spark)
-    docs = with_block(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), blocks)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # As many blocks and buckets as the texts fill, however many tasks the cluster has.
+    blocks = max(1, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
+    docs = with_block(docs, blocks)
     blocked = materialize_by_block(docs, "block", blocks, "substring_docs")
     level1 = blocked.groupBy("block").applyInArrow(_level1(length, blocks), _SENT)
     back = "block int, hashes binary, low binary"
