@@ -282,6 +282,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         found = [h for h in group.column("html").to_pylist() if h]
         return pa.table({"host": group.column("host_").slice(0, 1), "wrapper": pa.array([json.dumps(induce(found))])})
 
+    chosen = materialize(chosen, "chosen")  # its size is known then, so that a small one is broadcast and pages are not shuffled
     html = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
     return html.join(chosen, F.col("page_id") == F.col("chosen")).select("host_", "html").groupBy("host_").applyInArrow(run, "host string, wrapper string")
 
