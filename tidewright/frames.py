@@ -54,20 +54,25 @@ def lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neighbours(df: DataFrame, columns: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """df with prev_<c> and next_<c> of t and columns, in order of t within each series.
 
-    A series is cut into chunks of time, so that even one that holds all rows is many tasks; the rows at the borders come
-    from a table of each chunk's first and last rows.
+    If every series has at most chunk_rows rows (counted first), that is one window. Else series are cut into chunks of
+    time, so that even one that holds all rows is many tasks; the rows at the borders come from a table of each
+    chunk's first and last rows.
     """
-    names = [TIME, *columns]
+    names, row = [TIME, *columns], F.struct(TIME, *columns)
+    largest = df.groupBy(KEY).count().agg(F.max("count")).first()[0] or 0
+    if largest <= chunk_rows:
+        w = series_window()
+        out = df.select(*df.columns, F.lag(row).over(w).alias("p_"), F.lead(row).over(w).alias("n_"))
+        return out.select(*df.columns, *[F.col("p_")[c].alias(f"prev_{c}") for c in names], *[F.col("n_")[c].alias(f"next_{c}") for c in names])
     stats = df.groupBy(KEY).agg(F.min(TIME).alias("lo_"), F.max(TIME).alias("hi_"), F.count("*").alias("n_"))
     stats = stats.select(KEY, "lo_", ((F.col("hi_") - F.col("lo_")) / F.ceil(F.col("n_") / chunk_rows)).alias("w_"))
-    cut = df.join(stats, KEY).withColumn("chunk_", F.when(F.col("w_") > 0, F.floor((F.col(TIME) - F.col("lo_")) / F.col("w_"))).otherwise(0)).drop("lo_", "w_")
+    chunk = F.when(F.col("w_") > 0, F.floor((F.col(TIME) - F.col("lo_")) / F.col("w_"))).otherwise(0)
+    cut = df.join(stats, KEY).select(*df.columns, chunk.alias("chunk_"))
     inside = Window.partitionBy(KEY, "chunk_").orderBy(TIME)
-    row = F.struct(*names)
-    cut = cut.withColumn("p_", F.lag(row).over(inside)).withColumn("n_", F.lead(row).over(inside))
-    ends = df.join(stats, KEY).withColumn("chunk_", F.when(F.col("w_") > 0, F.floor((F.col(TIME) - F.col("lo_")) / F.col("w_"))).otherwise(0)).groupBy(KEY, "chunk_").agg(F.max_by(row, TIME).alias("last_"), F.min_by(row, TIME).alias("first_"))
+    ends = cut.groupBy(KEY, "chunk_").agg(F.max_by(row, TIME).alias("last_"), F.min_by(row, TIME).alias("first_"))
     along = Window.partitionBy(KEY).orderBy("chunk_")  # one row a chunk
     ends = ends.select(KEY, "chunk_", F.lag("last_").over(along).alias("before_"), F.lead("first_").over(along).alias("after_"))
-    out = cut.join(ends, [KEY, "chunk_"])
+    out = cut.select(*cut.columns, F.lag(row).over(inside).alias("p_"), F.lead(row).over(inside).alias("n_")).join(ends, [KEY, "chunk_"])
     prev, next_ = F.coalesce("p_", "before_"), F.coalesce("n_", "after_")
     return out.select(*df.columns, *[prev[c].alias(f"prev_{c}") for c in names], *[next_[c].alias(f"next_{c}") for c in names])
 
