@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept, only
+
 CONTROLS = ["<s>", "</s>", "[ROLE]", "[/ROLE]", "[INST]", "[/INST]", "<|endoftext|>"]
 _TAILS = r"/?s>|\|endoftext\|>|/?(?:ROLE|INST)\]"
 _ESCAPE, _UNESCAPE = re.compile(rf"([<\[])(\\*)({_TAILS})"), re.compile(rf"([<\[])\\(\\*)({_TAILS})")
@@ -82,7 +84,7 @@ def masked_texts(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.
     return [unescape(formatted[starts[a] : ends[b - 1]]) for a, b in edge.reshape(-1, 2)]
 
 
-_TOKENIZERS: dict = {}
+_TOKENIZERS: dict = kept("chat")
 
 
 def _tokenizer(path: str):
@@ -102,6 +104,7 @@ def _lists(parts: list, kind: pa.DataType) -> pa.ListArray:
 
 def _format(path: str, learn: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("chat")
         tokenizer = _tokenizer(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):

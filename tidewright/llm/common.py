@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,8 +66,26 @@ def with_block(df: DataFrame, blocks: int, key: str = "doc_id") -> DataFrame:
     return df.withColumn("block", F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int"))
 
 
+#: What Python workers keep between batches, by the operator that uses it.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    return _KEPT.setdefault(name, {})
+
+
+def only(name: str) -> None:
+    """Called where a task begins: a reused worker lets go of what other operators kept, so their memos don't add up."""
+    others = [d for n, d in _KEPT.items() if n != name and d]
+    for d in others:
+        d.clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 #: Distinct words whose hashes a Python worker keeps; beyond it the memo starts anew (speed only, never results).
-MEMO = 400_000
+MEMO = 300_000
 
 
 class WordHashes(dict):
@@ -78,7 +98,7 @@ class WordHashes(dict):
         return value
 
 
-_HASHES = WordHashes()
+_HASHES = _KEPT["words"] = WordHashes()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import Words
+from .common import kept, only
 
 PASSAGE, THRESHOLD, SHINGLE, SHARE, PART, SHARD, BLOCKS, LEAST_BLOCK = 64, 0.6, 5, 0.8, 0.5, 20_000, 64, 4
 HALF = PASSAGE // 2
@@ -35,12 +36,12 @@ K1, B = 1.2, 0.75
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
-_SEEN: dict[str, str] = {}
+_SEEN: dict[str, str] = kept("leaks")
 
 
 def normal_of(words: list[str]) -> list[str]:
     """normal() of each, kept for those seen before."""
-    if len(_SEEN) > 300_000:
+    if len(_SEEN) > 200_000:
         _SEEN.clear()
     out = []
     for w in words:
@@ -184,9 +185,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         held = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in own.orderBy("item_id", "text").toLocalIterator()]))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            only("leaks")
             for batch in batches:
-                for at in range(0, batch.num_rows, 8192):
-                    part = batch.slice(at, 8192)
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
                     found = list(find(held.value, part.column(1), threshold))
                     rows = pa.array([f[0] for f in found], pa.int64())
                     yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array([held.value.ids[f[1]] for f in found], pa.int64()), *(pa.array([f[c] for f in found], pa.float64()) for c in range(2, 6))], ["doc_id", "item_id", "score", "shingle_share", "question_share", "answer_share"])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _odd_powers, materialize, mix, split_words, window_hashes, word_hashes
+from .common import _odd_powers, materialize, mix, only, split_words, window_hashes, word_hashes
 from .components import UnionFind, components
 
 POSITIONS, BITS, CHUNKS, RADIUS, FAMILY = 64, 16, 10, 19, 1_000_000
@@ -65,6 +65,7 @@ def keys(signatures: np.ndarray) -> np.ndarray:
 
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("words")
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -79,6 +80,7 @@ def _features(k: int):
 
 
 def _explode_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only("words")
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
@@ -120,6 +122,7 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, pe
 
 def _compare(k: int, percent: int):
     def run(group: pa.Table) -> pa.Table:
+        only("words")
         ids = group.column("doc_id").to_numpy()
         keep = np.unique(ids, return_index=True)[1]
         texts, side = group.column("text").to_pylist(), group.column("side").to_numpy()

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import Words, passages, segment_sums
+from .common import only
 
 PASSAGE, HASHED, ENCODED, GATE, BAGS, BAG, STEPS = 64, 16, 16, 8, 3000, 128, 250
 
@@ -162,6 +163,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     where = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)

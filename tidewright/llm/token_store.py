@@ -27,11 +27,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import kept, materialize, only, scratch_path
 
 #: A chunk ends where the low bits of the rolling hash are zero: about 1 in 512 ids, at least 128 and at most 4096.
 WINDOW, MEAN_BITS, LEAST, MOST = 16, 9, 128, 4096
-MEMO = 400_000
+MEMO = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -118,11 +118,11 @@ class DocumentEncoder:
         # A text that begins with a space has an empty first piece, whose space goes with what follows.
         known[len(entries) - len(texts) :] &= (np.diff(at) == 1) | np.array([x != b"" for x in entries[len(entries) - len(texts) :]])
         entries = [x or b"" for x in entries]
-        sizes = np.array([len(x) for x in entries]) // self.dtype.itemsize
-        starts, pool = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(entries), self.dtype)
+        sizes = np.array([len(x) for x in entries], np.int32) // self.dtype.itemsize
+        starts, pool = np.cumsum(sizes, dtype=np.int32) - sizes, np.frombuffer(b"".join(entries), self.dtype)
         sizes = sizes[which]
-        ends = np.cumsum(sizes)
-        ids = pool[np.repeat(starts[which] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        ends = np.cumsum(sizes, dtype=np.int32)  # a batch has far fewer ids than 2 ** 31
+        ids = pool[np.repeat(starts[which] - (ends - sizes), sizes) + np.arange(ends[-1], dtype=np.int32)]
         borders = np.concatenate([[0], ends[at[1:] - 1]])
         plain = np.logical_and.reduceat(known[which], at[:-1])
         end = np.array([] if end_id is None else [end_id], self.dtype)
@@ -136,7 +136,7 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-_ENCODERS: dict[str, DocumentEncoder] = {}
+_ENCODERS: dict[str, DocumentEncoder] = kept("tokens")
 
 
 def encoder(path: str, pattern: str) -> DocumentEncoder:
@@ -189,18 +189,19 @@ _STAGED = "doc_id long, n_tokens long, digests array<binary>, lengths array<int>
 
 def _stage(path: str, pattern: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("tokens")
         encode = encoder(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
+            for at in range(0, batch.num_rows, 4096):
                 rows = []
-                for ids in encode.batch(batch.column(1).slice(at, 8192), end_id):
+                for ids in encode.batch(batch.column(1).slice(at, 4096), end_id):
                     ends = cut(ids)
                     chunks = [ids[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
                     digests = [hashlib.sha256(c).digest() for c in chunks]
                     rows.append((len(ids), digests, [len(c) // ids.itemsize for c in chunks], merkle_root(digests), chunks))
                 n, d, ls, m, c = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 8192), pa.array(n, pa.int64()), pa.array(d, pa.list_(pa.binary())), pa.array(ls, pa.list_(pa.int32())), pa.array(m, pa.binary()), pa.array(c, pa.list_(pa.binary()))],
+                    [batch.column(0).slice(at, 4096), pa.array(n, pa.int64()), pa.array(d, pa.list_(pa.binary())), pa.array(ls, pa.list_(pa.int32())), pa.array(m, pa.binary()), pa.array(c, pa.list_(pa.binary()))],
                     ["doc_id", "n_tokens", "digests", "lengths", "merkle_root", "chunks"],
                 )
 
