@@ -103,6 +103,26 @@ class DocumentEncoder:
             raw += int(end_id).to_bytes(self.dtype.itemsize, "little")
         return np.frombuffer(raw, self.dtype)
 
+    def look_up(self, pieces: list[str]) -> list[bytes | None]:
+        """self.later of each. A mark after a letter is a pre-token of its own, so such pieces are put together."""
+        later, known, out = self.later, self.later.get, []
+        marks = {c: self.pre[c] for c in ".,;:!?"}
+        for x in pieces:
+            v = known(x)
+            if v is None:
+                mark = marks.get(x[-1:])
+                if mark is not None and x[-2:-1].isalpha():
+                    w = x[:-1]
+                    v = known(w)
+                    if v is None:
+                        v = later[w]
+                    if v is not None:
+                        v = v + mark
+                else:
+                    v = later[x]
+            out.append(v)
+        return out
+
     def batch(self, texts: pa.Array, end_id: int | None) -> list[np.ndarray]:
         """The same for many texts: each distinct piece of the batch is looked up once."""
         if not len(texts):
@@ -110,7 +130,7 @@ class DocumentEncoder:
         pieces = pc.split_pattern(pc.fill_null(texts, ""), " ")
         flat, at = pieces.flatten(), pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
         coded = flat.dictionary_encode()
-        entries = [self.later[x] for x in coded.dictionary.to_pylist()]
+        entries = self.look_up(coded.dictionary.to_pylist())
         which = coded.indices.to_numpy().copy()
         which[at[:-1]] = len(entries) + np.arange(len(texts))
         entries += [self.first[x] if x else b"" for x in flat.take(pa.array(at[:-1])).to_pylist()]
@@ -145,19 +165,32 @@ def encoder(path: str, pattern: str) -> DocumentEncoder:
     return _ENCODERS[path]
 
 
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """BASE and its inverse to the powers 0, 1, 2 and so on, n of them at least."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            p = np.full(max(n, 1 << 14), base)
+            p[0] = 1
+            _POWERS[k] = np.multiply.accumulate(p)
+    return _POWERS
+
+
 def cut(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of an id stream, by a Rabin-Karp hash of the last WINDOW ids modulo 2**64."""
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    power = np.full(n, _BASE)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    total = np.cumsum((ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)) * power)
+    up, down = _powers(n)
+    total = ids.astype(np.uint64)
+    total *= np.uint64(0xD6E8FEB86659FD93)
+    total += np.uint64(1)
+    total *= up[:n]
+    np.cumsum(total, out=total)
     rolled = total[WINDOW:] - total[:-WINDOW]  # ends at WINDOW..n-1, scaled by BASE ** its place
-    down = np.full(n - WINDOW, _INVERSE)
-    down[0] = 1
-    rolled = rolled * np.multiply.accumulate(down)
+    rolled *= down[: n - WINDOW]
     rolled ^= rolled >> np.uint64(29)
     rolled *= np.uint64(0xBF58476D1CE4E5B9)
     ends, last = [], 0
