@@ -272,6 +272,19 @@ def test_wand_finds_all_above_threshold():
         assert got == {d for d, v in scores.items() if v >= 0.45 - 1e-12}
 
 
+@pytest.mark.parametrize("length", [33, 64, 100, 150, 500])
+def test_long_items_at_all_alignments(length):
+    """A verbatim copy is found wherever it lies; half of it is not a leak."""
+    words = lambda n, seed: " ".join(f"q{random.Random(seed * 7919 + k).randrange(400)}" for k in range(n))
+    items = [(k, words(length if k < 3 else 20, k)) for k in range(40)]
+    ix = decontamination.Index(items)
+    texts = [f"{words(shift, 500)} {items[1][1]} {words(45, 600)}" for shift in range(64)]
+    half = [f"{words(shift, 500)} {' '.join(items[1][1].split()[: length // 2])} {words(45, 600)}" for shift in range(0, 64, 9)]
+    found = list(decontamination.find(ix, pa.array(texts + half)))
+    assert [(r, ix.ids[d]) for r, d, *_ in found] == [(r, 1) for r in range(64)]
+    assert all(shares == [1, 1, 1] for _, _, _, *shares in found)
+
+
 PAGE = "<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav>{main}<footer>&copy; foot</footer></body></html>"
 
 

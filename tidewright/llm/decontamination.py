@@ -2,9 +2,11 @@
 
 Test items are indexed: for each word the items that hold it, in blocks of items of like length, with the word's largest
 impact in each block. An impact is the BM25 part of a word in an item, divided by what the item scores against itself, so 1
-is a full match and one threshold fits all. Every passage of every training text (PASSAGE words, the next beginning
-half-way) is a query; all items that score the threshold or more are found. A found item is verified at its
-place: shared five-word shingles must hold 80 % of the item's, and cover at least half of the words of its question
+is a full match. Every passage of every training text (PASSAGE words, the next beginning half-way) is a query. An item
+of more than half a passage is also indexed in equal parts of at most that, each with the item's own impacts, divided by
+what the part scores against itself: wherever a copy lies, each part lies whole in some passage, so one threshold fits items of
+any length. All items of which the whole or a part scores the threshold or more are found; the score reported is that of the whole
+item in one passage, which stays below the threshold where only parts reach it. A found item is verified as a whole at its place: shared five-word shingles must hold 80 % of the item's, and cover at least half of the words of its question
 and of its answer (what follows the last question mark, else its last sentence, else the last third).
 
 WAND's pivot test, that the largest impacts of a query's words reach the threshold at all, is done per block, with the
@@ -93,20 +95,34 @@ class Index:
                 of[d] = of.get(d, 0) + 1
         self.vocabulary = {x: k for k, x in enumerate(held)}
         part = [{d: np.log(1 + (n - len(ds) + 0.5) / (len(ds) + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(self.words[d]) / mean)) for d, f in ds.items()} for ds in held.values()]
-        own = np.zeros(n)
-        for ds in part:
-            for d, v in ds.items():
-                own[d] += v
-        size = max(LEAST_BLOCK, -(-n // BLOCKS))
-        self.most = np.zeros((len(held), -(-n // size)))
-        self.postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        #: The impacts of each item's words, for its score against a passage.
+        self.impacts: list[dict[int, float]] = [{} for _ in range(n)]
         for x, ds in enumerate(part):
             for d, v in ds.items():
-                self.postings.setdefault((x, d // size), []).append((d, v / own[d]))
-                self.most[x, d // size] = max(self.most[x, d // size], v / own[d])
+                self.impacts[d][x] = v
+        for d, of in enumerate(self.impacts):
+            own = sum(of.values())
+            self.impacts[d] = {x: v / own for x, v in of.items()}
+        # What is searched: whole items, and the parts of those that a passage may not hold; like lengths next to each other.
+        entries = [(len(w), d, 0, len(w)) for d, w in enumerate(self.words)]
+        for d, w in enumerate(self.words):
+            parts = -(-len(w) // HALF)
+            entries += [(j * len(w) // parts - i * len(w) // parts, d, i * len(w) // parts, j * len(w) // parts) for i, j in zip(range(parts), range(1, parts + 1), strict=True) if parts > 1]
+        entries.sort()
+        self.items = [e[1] for e in entries]
+        size = max(LEAST_BLOCK, -(-len(entries) // BLOCKS))
+        self.most = np.zeros((len(held), -(-len(entries) // size)))
+        self.postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        for e, (_, d, start, end) in enumerate(entries):
+            xs = {self.vocabulary[w]: None for w in self.words[d][start:end]}
+            own = sum(self.impacts[d][x] for x in xs)
+            for x in xs:
+                v = self.impacts[d][x] / own
+                self.postings.setdefault((x, e // size), []).append((e, v))
+                self.most[x, e // size] = max(self.most[x, e // size], v)
 
     def search(self, terms: np.ndarray, blocks: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items of the blocks that score threshold or more against the distinct terms."""
+        """All entries (items and parts) of the blocks that score threshold or more against the distinct terms."""
         out = []
         for b in blocks:
             most = self.most[terms, b]
@@ -161,7 +177,9 @@ def find(index: Index, texts: pa.Array, threshold: float = THRESHOLD) -> Iterato
     for p, blocks in passing.items():
         h, r = int(whole[p]), int(row[whole[p]])
         terms = np.unique(term[at[h] : at[int(after[p]) + 1]])
-        for item, score in index.search(terms, blocks, threshold):
+        there = set(terms.tolist())
+        for item in sorted({index.items[e] for e, _ in index.search(terms, blocks, threshold)}):
+            score = sum(v for x, v in index.impacts[item].items() if x in there)
             if score <= best.get((r, item), (0,))[0]:
                 continue
             start, more = words.at[r] + (h - first[r]) * HALF, len(index.words[item])
