@@ -315,6 +315,16 @@ def test_wrapper(spark):
     assert html_extraction.main_texts(df.limit(0)).count() == 0
 
 
+def test_content_by_slots_before_tags():
+    """All varying articles are text, and a varying div is where the article is but a teaser."""
+    many = lambda k: f"<body><h2>Site</h2><main><article><p>{prose(40, k)}</p></article><article><p>{prose(30, 50 + k)}</p></article></main></body>"
+    w = html_extraction.induce([many(k) for k in range(5)])
+    assert html_extraction.extract(many(9), w) == f"{prose(40, 9)}\n{prose(30, 59)}"
+    card = lambda k: f"<body><div class=story><p>{prose(60, k)}</p></div><article><a href=x>{prose(9, 50 + k)}</a><p>{prose(4, 80 + k)}</p></article></body>"
+    w = html_extraction.induce([card(k) for k in range(5)])
+    assert html_extraction.extract(card(9), w) == prose(60, 9)
+
+
 def test_tree_matching():
     a, b = (html_extraction.parse(f"<body><div><p>x</p>{m}<p>y</p></div></body>") for m in ("", "<ul><li>z</ul>"))
     assert html_extraction.match(a, b)[0] == 5

@@ -1,12 +1,14 @@
 """HTML extraction by wrapper induction.
 
 Pages of one host are aligned as DOM trees by simple tree matching (the largest matching that keeps order and ancestors). Nodes whose
-text is the same on all aligned pages become template; nodes whose text varies are slots. The wrapper of a host is the
-path of the slot with the most text outside links, and the text of the template nodes. It is induced from at most PAGES pages of a host,
-chosen by a hash of page_id; pages with the same main text count once, and a template needs three different ones.
-
-Extraction takes the <article> or <main> of a page where it has one, else the node at the wrapper's path, else the body;
-leaves out what navigates, frames, asks, sells or comments, by tag, role or class, and the host's template nodes; decodes character references;
+text is the same on all aligned pages become template; nodes whose text varies are slots. A content slot is a container (div, section,
+article and the like) whose own text, outside links and inner containers, varies, or that some of the pages lack. The wrapper of a host is the
+paths of all its content slots, outermost ones, and the text of the template nodes. It is induced from at most PAGES pages of a host,
+chosen by a hash of page_id; pages with the same main text count once, and slots and template need three different ones.
+
+Extraction takes all nodes at the slots' paths, in page order; of several, those with at least half of their text in links only if
+all are so. Where no three pages could be aligned, or a page has no text at the slots, it takes the longest <article>, else <main>,
+of the page, else the node at the path of the slot with most text outside links (two pages suffice for that), else the body. It leaves out what navigates, frames, asks, sells or comments, by tag, role or class, and the host's template nodes; decodes character references;
 joins the text of each block with single spaces and the blocks with line breaks. Nothing else is dropped and nothing is capped.
 
 Nulls and odd rows: a null or empty html has an empty text; a null or odd url has a host of its own, the empty one; a null
@@ -36,6 +38,8 @@ BLOCK = set("address article aside blockquote body caption center dd details dia
 ENDS_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "menu", "dl", "table", "article", "section", "div", "main", "body", "aside", "nav", "footer", "header", "form"}
+#: Elements that divide a page; what they hold is its text.
+CONTAINERS = {"html", "body", "div", "section", "article", "main", "center", "aside", "nav", "header", "footer", "form"}
 #: What a page has besides its main text, by tag, role and the words of class and id.
 SIDE_TAGS = {"nav", "header", "footer", "aside", "form", "button", "select", "input", "dialog", "menu", "head", "script", "style", "noscript", "template", "textarea", "iframe", "svg", "object", "canvas", "audio", "video", "fieldset", "title", "label"}
 SIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "menu", "menubar", "toolbar"}
@@ -178,6 +182,46 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return size[-1][-1] + 1, pairs
 
 
+def content(root: Node, slots: list[str]) -> list[tuple[str, Node]]:
+    """(path, node) of the outermost nodes at the slots that have text, in page order; lists of links only if there is nothing else."""
+    wanted, found, stack = set(slots), [], [("", root)]
+    while stack:
+        path, x = stack.pop()
+        path = f"{path}>{x.key}"
+        if x.side:
+            continue
+        if path in wanted and (size := len(plain(x))):
+            found.append((path, x, size))
+        else:
+            stack.extend((path, c) for c in reversed(x.children) if isinstance(c, Node))
+    prose = [f for f in found if 2 * linked(f[1]) < f[2]]
+    return [f[:2] for f in prose or found]
+
+
+def linked(node: Node) -> int:
+    """The length of a node's text in links."""
+    size, stack = 0, [node]
+    while stack:
+        x = stack.pop()
+        if x.tag == "a":
+            size += len(plain(x))
+        else:
+            stack.extend(c for c in x.children if isinstance(c, Node))
+    return size
+
+
+def own_text(node: Node) -> str:
+    """A container's text outside links, side nodes and inner containers."""
+    parts, stack = [], [*reversed(node.children)]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            parts.append(x)
+        elif not (x.side or x.tag in CONTAINERS or x.tag == "a" or x.tag in RAW):
+            stack.extend(reversed(x.children))
+    return " ".join(entities.unescape(" ".join(parts)).split())
+
+
 def main_node(root: Node, slot: str | None) -> Node:
     all_ = nodes(root)
     # Elements that hold another of their kind hold comments or teasers of it: the first outermost one with most text.
@@ -203,10 +247,13 @@ def under_side(node: Node) -> bool:
 def extract(page: str | None, wrapper: dict | None = None) -> str:
     if not page:
         return ""
-    root = parse(page)
-    main = main_node(root, (wrapper or {}).get("slot"))
+    root, wrapper = parse(page), wrapper or {}
+    template = set(wrapper.get("template", ()))
     out: list[list[str]] = [[]]
-    text_blocks(main, set((wrapper or {}).get("template", ())), out)
+    for path, node in content(root, wrapper.get("slots", [])) or [("", main_node(root, wrapper.get("slot")))]:
+        out.append([])
+        text_blocks(node, template, out, path)
+        out.append([])
     return "\n".join(t for b in out if (t := " ".join(entities.unescape("".join(b)).split())))
 
 
@@ -225,39 +272,59 @@ def induce(pages: list[str]) -> dict:
         for _, n in nodes(root)[MOST_NODES:]:  # alignment takes a bounded tree
             n.up.children = [c for c in n.up.children if c is not n]
     base = trees[0]
-    paths = {id(n): p for p, n in nodes(base)}
+    paths = {id(n): p for t in trees for p, n in nodes(t)}
+    containers = [[n for _, n in nodes(t) if n.tag in CONTAINERS and not under_side(n)] for t in trees]
     varied: dict[int, set[str]] = {}
-    for other in trees[1:]:
-        for a, b in match(base, other)[1]:
+    own: dict[int, set[str]] = {}
+    met = {id(n): 0 for n in containers[0]}
+    slots = set()
+    for other, theirs in zip(trees[1:], containers[1:], strict=True):
+        pairs = match(base, other)[1]
+        for a, b in pairs:
             varied.setdefault(id(a), {plain(a)}).add(plain(b))
-            paths.setdefault(id(a), "")
+            if id(a) in met:
+                own.setdefault(id(a), {own_text(a)}).add(own_text(b))
+                met[id(a)] += 1
+        matched = {id(b) for _, b in pairs}
+        slots |= {paths[id(n)] for n in theirs if id(n) not in matched and own_text(n)}
+    for n in containers[0]:
+        if len(own.get(id(n), ())) > 1 or (met[id(n)] < len(trees) - 1 and own_text(n)):
+            slots.add(paths[id(n)])
     aligned = {id(n): n for _, n in nodes(base)}
-    counts = {k: sum(1 for _ in v) for k, v in varied.items()}
-
-    def outside_links(n: Node) -> int:
-        return sum(len(c) if isinstance(c, str) else 0 if c.tag == "a" or c.side else outside_links(c) for c in n.children)
+    counts = {k: len(v) for k, v in varied.items()}
 
-    slots = [(outside_links(aligned[k]) / (1 + 0.1 * paths[k].count(">")), paths[k]) for k, c in counts.items() if c > 1 and k in aligned and not under_side(aligned[k]) and aligned[k].tag in BLOCK - {"html", "body", "p", "li"}]
-    out = {"slot": max(slots)[1]} if slots else {}
+    found = [(outside_links(aligned[k]) / (1 + 0.1 * paths[k].count(">")), paths[k]) for k, c in counts.items() if c > 1 and not under_side(aligned[k]) and aligned[k].tag in BLOCK - {"html", "body", "p", "li"}]
+    out = {"slot": max(found)[1]} if found else {}
     if len(trees) >= TEMPLATE_PAGES:
-        main = main_node(base, out.get("slot"))
-        kept, stack = [], [("", main)]
+        out["slots"] = sorted(slots)
+        held = [under_content(t, out["slots"]) for t in trees]
+        kept, stack = [], content(base, out["slots"])
         while stack:
             path, x = stack.pop()
             for c in x.children:
                 if isinstance(c, Node):
-                    own = f"{path}>{c.key}"
-                    if counts.get(id(c)) == 1 and sum(1 for t in trees if f"{own}|{plain(c)}" in under_main(t, out.get("slot"))) == len(trees):
-                        if plain(c):
-                            kept.append(f"{own}|{plain(c)}")
+                    key = f"{path}>{c.key}"
+                    if counts.get(id(c)) == 1 and (text := plain(c)) and all(f"{key}|{text}" in h for h in held):
+                        kept.append(f"{key}|{text}")
                     else:
-                        stack.append((own, c))
+                        stack.append((key, c))
         out["template"] = kept
     return out
 
 
-def under_main(root: Node, slot: str | None) -> set[str]:
-    out, stack = set(), [("", main_node(root, slot))]
+def outside_links(node: Node) -> int:
+    size, stack = 0, [node]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, str):
+                size += len(c)
+            elif c.tag != "a" and not c.side:
+                stack.append(c)
+    return size
+
+
+def under_content(root: Node, slots: list[str]) -> set[str]:
+    out, stack = set(), content(root, slots)
     while stack:
         path, x = stack.pop()
         for c in x.children:
