@@ -325,6 +325,41 @@ def test_content_by_slots_before_tags():
     assert html_extraction.extract(card(9), w) == prose(60, 9)
 
 
+def test_wrapper_of_each_layout(spark):
+    """Three layouts of one host, 10 to 1; content behind 500 nodes and 90 siblings."""
+    menu = "".join(f"<div class=m><a href={k}>item {k}</a></div>" for k in range(90)) + "<span>x</span>" * 400
+    page = lambda k: f"<body>{menu}<div class={'abc'[min(k // 20, 2)]}><p>{prose(40, k)}</p></div><div class=more{min(k // 20, 2)}><a href=x>{prose(5, k + 1)}</a></div></body>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(44)]
+    got = html_extraction.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: prose(40, k) for k in range(44)}
+
+
+def test_matching_of_whole_trees(monkeypatch):
+    """As the plain recursion finds, also in halves; deep and long pages are read to their end."""
+
+    def brute(a, b):
+        if a.key != b.key:
+            return 0
+        xs, ys = ([c for c in n.children if isinstance(c, html_extraction.Node)] for n in (a, b))
+        size = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, x in enumerate(xs, 1):
+            for j, y in enumerate(ys, 1):
+                size[i][j] = max(size[i - 1][j], size[i][j - 1], size[i - 1][j - 1] + brute(x, y))
+        return size[-1][-1] + 1
+
+    rng = random.Random(4)
+    tree = lambda d: "".join(f"<{t}>{tree(d - 1) if d else ''}</{t}>" for t in rng.choices(["div", "b", "section"], k=rng.randrange(6)))
+    for k in range(60):
+        monkeypatch.setattr(html_extraction, "MOST_CELLS", (1, 1 << 20)[k % 2])
+        a, b = html_extraction.parse(tree(3)), html_extraction.parse(tree(3))
+        n, pairs = html_extraction.match(a, b)
+        assert n == len(pairs) == brute(a, b) and all(x.key == y.key for x, y in pairs)
+    long = [html_extraction.parse("<body>" + "".join(f"<div class={'xy'[(k * s) % 3 == 0]}>t</div>" for k in range(600)) + "<p>end") for s in (1, 2)]
+    assert html_extraction.match(*long)[1][-1][0].tag in ("p", "div") and html_extraction.match(*long)[0] > 400
+    deep = [html_extraction.parse("<div>" * 3000 + m) for m in ("<p>a", "<b>a")]
+    assert html_extraction.match(*deep)[0] == 3001
+
+
 def test_tree_matching():
     a, b = (html_extraction.parse(f"<body><div><p>x</p>{m}<p>y</p></div></body>") for m in ("", "<ul><li>z</ul>"))
     assert html_extraction.match(a, b)[0] == 5

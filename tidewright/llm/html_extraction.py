@@ -2,9 +2,10 @@
 
 Pages of one host are aligned as DOM trees by simple tree matching (the largest matching that keeps order and ancestors). Nodes whose
 text is the same on all aligned pages become template; nodes whose text varies are slots. A content slot is a container (div, section,
-article and the like) whose own text, outside links and inner containers, varies, or that some of the pages lack. The wrapper of a host is the
-paths of all its content slots, outermost ones, and the text of the template nodes. It is induced from at most PAGES pages of a host,
-chosen by a hash of page_id; pages with the same main text count once, and slots and template need three different ones.
+article and the like) whose own text, outside links and inner containers, varies, or that some of the pages lack. A wrapper is the
+paths of all content slots, outermost ones, and the text of the template nodes. Pages of a host are counted by layout, the set of
+paths of their containers; each layout of three pages or more has a wrapper, rarer ones (and those whose pages are not three
+different ones) share one of the host. Each is induced from at most PAGES whole pages, chosen by a hash of page_id; pages with the same main text count once, and slots and template need three different ones.
 
 Extraction takes all nodes at the slots' paths, in page order; of several, those with at least half of their text in links only if
 all are so. Where no three pages could be aligned, or a page has no text at the slots, it takes the longest <article>, else <main>,
@@ -19,17 +20,19 @@ its own main text; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import html as entities
+import hashlib
 import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-PAGES, MOST_NODES, TEMPLATE_PAGES = 8, 400, 3
+PAGES, MOST_CELLS, TEMPLATE_PAGES = 8, 1 << 20, 3
 
 #: Fixed values of HTML: elements without content, with raw text, that begin a block, that a new one ends.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -148,10 +151,10 @@ def plain(node: Node) -> str:
     return " ".join(entities.unescape(" ".join(parts)).split())
 
 
-def nodes(root: Node, most: int | None = None) -> list[tuple[str, Node]]:
+def nodes(root: Node) -> list[tuple[str, Node]]:
     """(path, node) in page order."""
     out, stack = [], [("", root)]
-    while stack and (most is None or len(out) < most):
+    while stack:
         path, x = stack.pop()
         path = f"{path}>{x.key}"
         out.append((path, x))
@@ -159,27 +162,111 @@ def nodes(root: Node, most: int | None = None) -> list[tuple[str, Node]]:
     return out
 
 
-def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the size of the largest matching of two trees with like roots, and its pairs."""
-    if a.key != b.key:
-        return 0, []
-    xs, ys = ([c for c in n.children if isinstance(c, Node)][:64] for n in (a, b))
-    size = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    own: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, x in enumerate(xs, 1):
-        for j, y in enumerate(ys, 1):
-            own[i, j] = match(x, y)
-            size[i][j] = max(size[i - 1][j], size[i][j - 1], size[i - 1][j - 1] + own[i, j][0])
-    pairs, i, j = [(a, b)], len(xs), len(ys)
+def shapes(root: Node, known: dict[tuple, int], sizes: dict[int, int]) -> dict[int, int]:
+    """The number of each node's tree of keys, alike for like trees, and in sizes how many nodes that tree has."""
+    out: dict[int, int] = {}
+    for _, n in reversed(nodes(root)):
+        own = [out[id(c)] for c in n.children if isinstance(c, Node)]
+        k = out[id(n)] = known.setdefault((n.key, *own), len(known))
+        sizes[k] = 1 + sum(sizes[x] for x in own)
+    return out
+
+
+def align(xs: list, ys: list, weight) -> list[tuple]:
+    """Pairs of the heaviest matching of two lists that keeps order; memory is bounded by halving long ones (Hirschberg)."""
+    if not xs or not ys:
+        return []
+
+    def rows(xs: list, ys: list) -> Iterator[np.ndarray]:
+        last = np.zeros(len(ys) + 1, np.int64)
+        yield last
+        known: dict = {}
+        for x in xs:
+            w = known.get(x)
+            if w is None:
+                per = {y: weight(x, y) for y in set(ys)}
+                w = known[x] = np.array([per[y] for y in ys], np.int64)
+            new = last.copy()
+            np.maximum(new[1:], last[:-1] + w, out=new[1:])
+            last = np.maximum.accumulate(new)
+            yield last
+
+    if len(xs) > 1 and len(xs) * len(ys) > MOST_CELLS:
+        half = len(xs) // 2
+        for head in rows([x for _, x in xs[:half]], [y for _, y in ys]):
+            pass
+        for tail in rows([x for _, x in xs[half:]][::-1], [y for _, y in ys][::-1]):
+            pass
+        cut = int((head + tail[::-1]).argmax())
+        return align(xs[:half], ys[:cut], weight) + align(xs[half:], ys[cut:], weight)
+    table = list(rows([x for _, x in xs], [y for _, y in ys]))
+    pairs, i, j = [], len(xs), len(ys)
     while i and j:
-        if size[i][j] == size[i - 1][j]:
+        if table[i][j] == table[i - 1][j]:
             i -= 1
-        elif size[i][j] == size[i][j - 1]:
+        elif table[i][j] == table[i][j - 1]:
             j -= 1
         else:
-            pairs += own[i, j][1]
             i, j = i - 1, j - 1
-    return size[-1][-1] + 1, pairs
+            pairs.append((xs[i][0], ys[j][0]))
+    return pairs[::-1]
+
+
+def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+    """Simple tree matching of whole trees: the size of the largest matching of two trees with like roots, and its pairs.
+
+    Subtrees of one shape match whole, at either end of two lists of children at once; others are met once a pair of shapes.
+    """
+    if a.key != b.key:
+        return 0, []
+    known: dict[tuple, int] = {}
+    sizes: dict[int, int] = {}
+    left, right = shapes(a, known, sizes), shapes(b, known, sizes)
+    parts = {k: shape for shape, k in known.items()}
+    weights: dict[tuple[int, int], int] = {}
+
+    def ends(xs: list, ys: list) -> tuple[int, int]:
+        head = tail = 0
+        least = min(len(xs), len(ys))
+        while head < least and xs[head] == ys[head]:
+            head += 1
+        while tail < least - head and xs[-1 - tail] == ys[-1 - tail]:
+            tail += 1
+        return head, tail
+
+    def fill(x: int, y: int) -> None:
+        """Weights of a pair of shapes and of all pairs under it, without recursion, as pages may nest deep."""
+        stack = [(x, y, False)]
+        while stack:
+            x, y, ready = stack.pop()
+            if (x, y) in weights:
+                continue
+            if x == y or parts[x][0] != parts[y][0]:
+                weights[x, y] = sizes[x] if x == y else 0
+                continue
+            xs, ys = parts[x][1:], parts[y][1:]
+            head, tail = ends(xs, ys)
+            inner, other = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
+            if not ready:
+                stack.append((x, y, True))
+                stack += [(p, q, False) for p in set(inner) for q in set(other) if (p, q) not in weights]
+                continue
+            size = 1 + sum(sizes[p] for p in (*xs[:head], *xs[len(xs) - tail :]))
+            weights[x, y] = size + sum(weights[p, q] for p, q in align([(p, p) for p in inner], [(q, q) for q in other], lambda p, q: weights[p, q]))
+
+    fill(left[id(a)], right[id(b)])
+    pairs, stack = [], [(a, b)]
+    while stack:
+        x, y = stack.pop()
+        pairs.append((x, y))
+        xs, ys = ([c for c in n.children if isinstance(c, Node)] for n in (x, y))
+        p, q = [left[id(c)] for c in xs], [right[id(c)] for c in ys]
+        head, tail = ends(p, q)
+        stack += zip(xs[:head], ys[:head], strict=True)
+        stack += zip(xs[len(xs) - tail :], ys[len(ys) - tail :], strict=True)
+        inner = align([(c, left[id(c)]) for c in xs[head : len(xs) - tail]], [(c, right[id(c)]) for c in ys[head : len(ys) - tail]], lambda p, q: weights[p, q])
+        stack += inner
+    return weights[left[id(a)], right[id(b)]], pairs
 
 
 def content(root: Node, slots: list[str]) -> list[tuple[str, Node]]:
@@ -268,9 +355,6 @@ def induce(pages: list[str]) -> dict:
             trees.append(root)
     if len(trees) < 2:
         return {}
-    for root in trees:
-        for _, n in nodes(root)[MOST_NODES:]:  # alignment takes a bounded tree
-            n.up.children = [c for c in n.up.children if c is not n]
     base = trees[0]
     paths = {id(n): p for t in trees for p, n in nodes(t)}
     containers = [[n for _, n in nodes(t) if n.tag in CONTAINERS and not under_side(n)] for t in trees]
@@ -338,26 +422,49 @@ def host_of(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def layout(page: str | None) -> str:
+    """A digest of the paths of a page's containers, alike for pages that differ only in text, paragraphs, lists and tables."""
+    found = sorted({p for p, n in nodes(parse(page or "")) if n.tag in CONTAINERS})
+    return hashlib.md5("\n".join(found).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def with_layout(pages: DataFrame) -> DataFrame:
+    """pages(page_id, url, html) -> page_id, url, html, host, layout."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([layout(x) for x in part.column(2).to_pylist()], pa.string())], ["page_id", "url", "html", "host", "layout"])
+
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of().alias("host"))
+    return rows.mapInArrow(run, "page_id long, url string, html string, host string, layout string")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) -> host, wrapper (JSON), from at most PAGES pages of each host."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of().alias("host"))
-    # The least hash in each of PAGES slices of a host: partial minima, so a large host is one row a task and slice.
+    """pages(page_id, url, html) -> host, layout, wrapper (JSON): one for each layout of at least TEMPLATE_PAGES pages, and one
+    for the host's other pages (layout ''), each from at most PAGES pages."""
     h = F.xxhash64("page_id")
-    chosen = rows.where("page_id IS NOT NULL").groupBy("host", F.pmod(h, F.lit(PAGES)).alias("slice")).agg(F.min(F.struct(h.alias("h"), F.col("page_id"))).alias("m")).select(F.col("m.page_id").alias("chosen"), F.col("host").alias("host_")).distinct()
+    rows = with_layout(pages).where("page_id IS NOT NULL").select("page_id", "host", F.explode(F.array("layout", F.lit(""))).alias("layout"))
+    # The least hash in each of PAGES slices: partial minima, so a large host or layout is one row a task and slice.
+    slices = rows.groupBy("host", "layout", F.pmod(h, F.lit(PAGES)).alias("slice")).agg(F.min(F.struct(h.alias("h"), F.col("page_id"))).alias("m"), F.count("*").alias("n"))
+    chosen = slices.groupBy("host", "layout").agg(F.collect_set("m.page_id").alias("ids"), F.sum("n").alias("n")).where((F.col("layout") == "") | (F.col("n") >= TEMPLATE_PAGES)).select(F.explode("ids").alias("chosen"), F.col("host").alias("host_"), F.col("layout").alias("layout_"))
 
     def run(group: pa.Table) -> pa.Table:
         found = [h for h in group.column("html").to_pylist() if h]
-        return pa.table({"host": group.column("host_").slice(0, 1), "wrapper": pa.array([json.dumps(induce(found))])})
+        return pa.table({"host": group.column("host_").slice(0, 1), "layout": group.column("layout_").slice(0, 1), "wrapper": pa.array([json.dumps(induce(found))])})
 
     chosen = materialize(chosen, "chosen")  # its size is known then, so that a small one is broadcast and pages are not shuffled
     html = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
-    return html.join(chosen, F.col("page_id") == F.col("chosen")).select("host_", "html").groupBy("host_").applyInArrow(run, "host string, wrapper string")
+    made = html.join(chosen, F.col("page_id") == F.col("chosen")).select("host_", "layout_", "html").groupBy("host_", "layout_").applyInArrow(run, "host string, layout string, wrapper string")
+    return made
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text, n_chars, host."""
-    known = materialize(wrappers(pages), "wrappers").withColumnRenamed("host", "host_")
-    plain_ = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of().alias("host"))
+    known = materialize(wrappers(pages), "wrappers").select(F.col("host").alias("host_"), F.col("layout").alias("layout_"), "wrapper")
+    own = known.where("layout_ != '' AND wrapper LIKE '%\"slots\"%'")
+    rest = known.where("layout_ = ''").select(F.col("host_").alias("host__"), F.col("wrapper").alias("rest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read: dict[str, dict] = {}
@@ -371,5 +478,6 @@ def main_texts(pages: DataFrame) -> DataFrame:
                     texts.append(extract(page, read.get(wrapper)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), part.column(3)], ["page_id", "url", "text", "n_chars", "host"])
 
-    joined = plain_.join(known, F.col("host") == F.col("host_"), "left").select("page_id", "url", "html", "host", "wrapper")
+    joined = with_layout(pages).join(own, (F.col("host") == F.col("host_")) & (F.col("layout") == F.col("layout_")), "left").join(rest, F.col("host") == F.col("host__"), "left")
+    joined = joined.select("page_id", "url", "html", "host", F.coalesce("wrapper", "rest").alias("wrapper"))
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, host string")
