@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -373,6 +374,26 @@ def test_licenses(spark):
     assert license_scan.find_licenses(docs.limit(0)).count() == 0
 
 
+def test_wrapped_licenses():
+    """Every template, hard-wrapped and behind comment marks, is found once at its first line; blank lines part runs."""
+    m = license_scan.Classifier([prose(12, k) for k in range(300)])
+    texts = {f: max(ts, key=len) for f, ts in license_scan.TEMPLATES.items()}
+    for mark, width in itertools.product(("", " * ", "// ", "# ", "dnl ", "REM "), (30, 50, 72)):
+        for family, text in texts.items():
+            lines = textwrap.wrap(text, width, initial_indent=mark, subsequent_indent=mark)
+            page = [prose(9, 1), prose(9, 2), *lines, prose(9, 3), mark.strip(), prose(9, 4)]
+            got = list(license_scan.classify(m, pa.array(["x", "\n".join(page)])))
+            assert [(r, f) for r, _, f, *_ in got] == [(1, family)], (mark, width, family, got)
+            _, at, _, _, share, statement = got[0]
+            assert share >= license_scan.MATCH and statement in "\n".join(page) and 2 <= at < 2 + len(lines)
+            if len(license_scan.tokens(text)) > 14:
+                assert (at, statement) == (2, "\n".join(lines)), (mark, width, family, got)
+    gpl = textwrap.wrap(texts["GPL"], 40)
+    assert not list(license_scan.classify(m, pa.array(["\n\n".join(gpl)])))
+    two = "\n".join([*gpl, "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."])
+    assert [(p, f) for _, p, f, *_ in license_scan.classify(m, pa.array([two]))] == [(0, "GPL"), (len(gpl), "MIT"), (len(gpl) + 1, "Apache-2.0")]
+
+
 def test_license_families_held_out():
     """Wordings that were not in the training set."""
     m = license_scan.Classifier([prose(12, k) for k in range(300)])

@@ -6,8 +6,14 @@ bounded sample of the documents as unknown. A temperature and the least probabil
 held-back training paragraphs. A prediction stands only if it matches a template of its family: the share of
 the template's words, in order, that the paragraph has.
 
+Statements wrapped over lines are found in runs of adjacent lines: those that have the template's words in order, to the same share,
+within twice the template's number of words, foreign words between them included. Lines without a word (blank ones, bare comment marks) part
+runs; comment marks before a line's text are not words of it. The words from the first to the last of the template's are classified and must
+be of its family. A run is reported at its first line, in place of what a line of it alone would state with fewer words of a template;
+of runs that overlap, the one with most words of a template.
+
 Nulls and odd rows: a null or empty text has no paragraph and so no finding; a null doc_id is reported as null; repeated rows and
-repeated paragraphs are reported each; a text without line breaks is one paragraph, however long; an empty table gives no rows;
+repeated paragraphs are reported each; a word split by a hyphen at a line's end is also read whole; a text without line breaks is one paragraph, however long; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -42,6 +48,8 @@ TEMPLATES: dict[str, list[str]] = {
 }
 FAMILIES = ["unknown", *TEMPLATES]
 VARIANTS, NEGATIVES, STEPS, MATCH = 60, 4000, 200, 0.7
+#: Comment marks that are words; others hold no word.
+_MARK = re.compile(r"^\s*(?:@?rem|dnl)(?=\s|$)", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:[.\-+/][^\W_]+)*")
 
 
@@ -118,7 +126,10 @@ class Classifier:
         self.anchors = {w for ts in self.templates.values() for t in ts for w in t}
 
     def predict(self, text: str) -> tuple[str, float]:
-        at = [i for g in grams(tokens(text)) if (i := self.vocabulary.get(g)) is not None]
+        return self.predict_words(tokens(text))
+
+    def predict_words(self, words: list[str]) -> tuple[str, float]:
+        at = [i for g in grams(words) if (i := self.vocabulary.get(g)) is not None]
         if not at:
             return "unknown", 1.0
         p = _softmax(((self.weights[at].sum(axis=0) / np.sqrt(len(at)) + self.bias) / self.temperature)[None])[0]
@@ -127,8 +138,11 @@ class Classifier:
 
     def match(self, family: str, text: str) -> float:
         """The largest share of a template's words that the text has in order."""
-        words = tokens(text)
-        best = 0.0
+        return self.match_words(family, tokens(text))[0]
+
+    def match_words(self, family: str, words: list[str]) -> tuple[float, int]:
+        """The largest share of a template's words that the words have in order, and how many that are."""
+        best = (0.0, 0)
         for t in self.templates[family]:
             have = set(t)
             own = [w for w in words if w in have]
@@ -139,10 +153,49 @@ class Classifier:
                     kept = line[j]
                     line[j] = last + 1 if w == x else max(line[j], line[j - 1])
                     last = kept
-            best = max(best, line[-1] / len(t))
+            best = max(best, (line[-1] / len(t), line[-1]))
         return best
 
 
+    def runs(self, words: list[str], line: list[int]) -> list[tuple[int, float, int, int, str, float]]:
+        """(words matched, share, first, last, family, probability) of the statements over several lines that do not overlap, best first."""
+        have: dict[str, list[int]] = {}
+        for p, w in enumerate(words):
+            have.setdefault(w, []).append(p)
+        found = []
+        for family, templates in self.templates.items():
+            for t in templates:
+                n, least = len(t), int(np.ceil(MATCH * len(t) - 1e-9))
+                count: dict[str, int] = {}
+                for w in t:
+                    count[w] = count.get(w, 0) + 1
+                if sum(min(c, len(have.get(w, ()))) for w, c in count.items()) < least:
+                    continue
+                at = {w: np.array([x == w for x in t])[:, None] for w in count}
+                # start[j, l]: the latest first word from which l words of the template's first j are there, in order.
+                start = np.full((n + 1, n + 1), -1)
+                for p in sorted(p for w in count for p in have.get(w, ())):
+                    start[:, 0] = p
+                    more = np.where(at[words[p]], start[:-1, :-1], -1)
+                    np.maximum(start[1:, 1:], more, out=start[1:, 1:])
+                    np.maximum.accumulate(start, axis=0, out=start)
+                    for m in range(n, least - 1, -1):
+                        first = int(start[n, m])
+                        if first >= 0 and p - first < 2 * n and line[first] < line[p]:
+                            found.append((m, m / n, first, p, family))
+                            break
+        out: list[tuple[int, float, int, int, str, float]] = []
+        seen: dict[tuple[int, int], tuple[str, float]] = {}
+        for m, share, first, last, family in sorted(found, key=lambda f: (-f[0], -f[1], f[3] - f[2], f[2:])):
+            if any(first <= o[3] and last >= o[2] for o in out):
+                continue
+            if (first, last) not in seen:
+                seen[first, last] = self.predict_words(words[first : last + 1])
+            if seen[first, last][0] == family:
+                out.append((m, share, first, last, family, seen[first, last][1]))
+        return out
+
+
 #: Words that some template of each family has and prose hardly does; a paragraph without any states no licence.
 _RARE = {"license", "licensed", "licence", "licenses", "copyright", "rights", "permission", "redistribution", "redistribute", "spdx", "cc0", "mit", "gpl", "lgpl", "agpl", "bsd", "mpl", "isc", "cc", "apache", "mozilla", "gnu", "creative", "commons", "domain"}
 
@@ -158,11 +211,66 @@ def classify(model: Classifier, texts: pa.Array) -> Iterator[tuple[int, int, str
         return
     marked = np.unique(np.searchsorted(words.at, np.flatnonzero(telling[words.codes]), "right") - 1)
     rows = np.searchsorted(at, marked, "right") - 1
-    for p, row in zip(marked.tolist(), rows.tolist(), strict=True):
-        text = flat[p].as_py()
-        family, probability = model.predict(text)
-        if family != "unknown" and (share := model.match(family, text)) >= MATCH:
-            yield row, int(p - at[row]), family, probability, share, text
+    read: dict[int, list[str]] = {}
+
+    def words_at(p: int) -> list[str]:
+        if p not in read:
+            read[p] = tokens(_MARK.sub("", flat[p].as_py()))
+        return read[p]
+
+    reach = 2 * max(len(t) for ts in model.templates.values() for t in ts)
+    for row in np.unique(rows).tolist():
+        own = marked[rows == row].tolist()
+        single: dict[int, tuple[str, float, float, int]] = {}
+        for p in own:
+            text = flat[p].as_py()
+            family, probability = model.predict(text)
+            if family != "unknown" and (share := model.match(family, text)) >= MATCH:
+                single[p] = (family, probability, share, model.match_words(family, tokens(text))[1])
+        out = [(p, family, probability, share, p) for p, (family, probability, share, _) in single.items()]
+        near: list[list[int]] = []  # stretches of lines in which a run may hold a marked line
+        for p in own:
+            first = last = p
+            room = reach
+            while first > at[row] and room > 0 and words_at(first - 1):
+                first -= 1
+                room -= len(words_at(first))
+            room = reach
+            while last + 1 < at[row + 1] and room > 0 and words_at(last + 1):
+                last += 1
+                room -= len(words_at(last))
+            if near and first <= near[-1][1]:
+                near[-1][1] = max(near[-1][1], last)
+            else:
+                near.append([first, last])
+        telling = set(own)
+        for first, last in near:
+            if first == last:
+                continue
+            spread = [(p, w) for p in range(first, last + 1) for w in (words_at(p) if p == last else _joined(flat[p].as_py(), words_at(p), words_at(p + 1)))]
+            line, all_ = [p for p, _ in spread], [w for _, w in spread]
+            for m, share, a, b, family, probability in model.runs(all_, line):
+                over = range(line[a], line[b] + 1)
+                if not telling.intersection(over):
+                    continue
+                # What lines of it state alone stays if the rest of the line still states it, or if it is no less of a template.
+                rest = {p: [w for k, w in enumerate(all_) if line[k] == p and not a <= k <= b] for p in over if p in single}
+                gone = [p for p, ws in rest.items() if model.match_words(single[p][0], ws)[0] < MATCH]
+                if any(single[p][3] >= m for p in gone):
+                    continue
+                out = [o for o in out if not (o[0] == o[4] and o[0] in gone)]
+                out.append((line[a], family, probability, share, line[b]))
+        for p, family, probability, share, last in sorted(out):
+            yield row, int(p - at[row]), family, probability, share, "\n".join(flat[k].as_py() for k in range(p, last + 1))
+
+
+def _joined(text: str, words: list[str], after: list[str]) -> list[str]:
+    """A line's words; one that a hyphen at its end splits is there whole, too, with and without the hyphen."""
+    if not re.search(r"[^\W_]-\s*$", text):
+        return words
+    part = _WORD.findall(text.lower())[-1]
+    at = len(words) - len(tokens(part))
+    return [*words[:at], f"{part}-{after[0]}", part + after[0], *words[at:]]
 
 
 def _candidates(distinct: pa.Array) -> list[str]:
