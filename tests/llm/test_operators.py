@@ -112,6 +112,38 @@ def test_substring(spark, corpus, monkeypatch, length, chars):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got.collect())
 
 
+def test_substring_levels():
+    assert [substring_dedup.levels(n) for n in (1, 2, 5, 13, 50)] == [[1, 1], [1, 2], [3, 5], [4, 8, 13], [4, 8, 16, 32, 50]]
+
+
+def test_substring_fingerprints_decide(spark, monkeypatch):
+    """Windows that only share their 64-bit hash are told apart: here every hash of a window is the same in its first half."""
+    rows = [(k, prose(40, k, 10_000)) for k in range(6)] + [(9, prose(40, 2, 10_000))]
+    whole = substring_dedup.window_hashes
+
+    def run(texts, ids):
+        table = pa.table({"block": pa.array([0] * len(ids), pa.int32()), "doc_id": ids, "text": texts})
+        block = substring_dedup.Block(table, 13)
+        block.h[:] = 1
+        monkeypatch.setattr(substring_dedup, "window_hashes", whole)
+        known = np.empty(28, substring_dedup._KNOWN)
+        starts = block.long_windows()
+        of = starts[block.owner[starts] == 2]
+        known["h"], known["g"], known["low"] = whole(block.h, 13)[of], whole(block.g, 13)[of], 2
+        return substring_dedup.covered(block, known), block
+
+    gone, block = run([t for _, t in rows], [i for i, _ in rows])
+    assert [bool(gone[block.at[k] : block.at[k + 1]].any()) for k in range(7)] == [False] * 6 + [True]
+
+
+def test_substring_sends_no_row_for_nothing():
+    """Rows that a block sends are as many as the buckets it has windows for, however many there are."""
+    entries = np.zeros(3, substring_dedup._SHORT)
+    entries["h"] = [1 << 20, 1 << 62, (1 << 63) + 5]
+    assert substring_dedup._rows(0, entries, 1_000_000_000).num_rows == 3
+    assert substring_dedup._rows(0, entries, 1).num_rows == 1
+
+
 def test_substring_empty(spark, corpus):
     assert substring_dedup.remove_repeats(documents(spark, corpus).limit(0)).count() == 0
 

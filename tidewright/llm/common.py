@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """A folder of this process under the shared spark.checkpoint.dir (a local one only where that is unset)."""
+    """A folder of this process under the shared spark.checkpoint.dir (a local one only in a local session that has none)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/tidewright-checkpoints"
     if base not in _ROOTS:
         _ROOTS[base] = f"{base.rstrip('/')}/tidewright-{uuid.uuid4().hex}"
@@ -49,12 +51,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Files of a bucketed table at most (Spark allows 100,000); more blocks than that share files.
+MOST_FILES = 50_000
+
+
 def materialize_by_block(df: DataFrame, key: str, blocks: int, name: str) -> DataFrame:
-    """Like materialize, bucketed by key into that many files, so that later groupings by key need no shuffle."""
-    spark = df.sparkSession
+    """Like materialize, bucketed by key into a file for each block or a few, so that later groupings by key need no shuffle.
+
+    The table is known to the catalog only while it is being opened; its files stay in the scratch folder.
+    """
+    spark, files = df.sparkSession, min(blocks, MOST_FILES)
     path, t = scratch_path(spark, name), f"tw_{name}_{uuid.uuid4().hex[:12]}"
-    (df.repartition(blocks, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(blocks, key).sortBy(key).saveAsTable(t))
-    return spark.table(t)
+    (df.repartition(files, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(files, key).sortBy(key).saveAsTable(t))
+    opened = spark.table(t)
+    spark.sql(f"DROP TABLE {t}")  # external: its files remain
+    return opened
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -130,7 +141,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_COEFFICIENTS = _odd_powers(64, 20_011)
+_COEFFICIENTS = _odd_powers(1024, 20_011)
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
