@@ -283,29 +283,62 @@ def test_decontamination(spark):
     got = sorted([(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items_df).collect()], key=repr)
     assert got == sorted([(100, 1), (101, 2), (102, items[7][0]), (102, items[7][0]), (103, 3), (None, 2)], key=repr)
     left = decontamination.without_leaks(docs, items_df)
-    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {k for k, _ in clean} | {200, 201, 202, None}
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {k for k, _ in clean} | {200, 201, 202}
+    clash = docs.withColumn("leak_", F.lit(1)).withColumn("gone_", F.lit(2))
+    assert decontamination.without_leaks(clash, items_df).columns == clash.columns and decontamination.without_leaks(clash, items_df).count() == 23
     assert decontamination.contaminated(docs.limit(0), items_df).count() == 0
     assert decontamination.contaminated(docs, items_df.limit(0)).count() == 0
 
 
-def test_wand_finds_all_above_threshold():
-    """Every passage of a text against every item, by exhaustive BM25."""
+def exhaustive(ix, terms):
+    """The score of every entry of an index against distinct words, without cursors or bounds."""
+    scores: dict = {}
+    for x in {ix.vocabulary[t] for t in terms if t in ix.vocabulary}:
+        for e, v in zip(*ix.postings[x], strict=True):
+            scores[e] = scores.get(e, 0) + v
+    return scores
+
+
+def odd_words(rng, n):
+    return [f"w{min(int(rng.expovariate(0.05)), 300)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("threshold, block", [(0.45, 4), (0.45, 1), (0.6, 50), (0.05, 4)])
+def test_wand_finds_all_above_threshold(monkeypatch, threshold, block):
+    monkeypatch.setattr(decontamination, "LEAST_BLOCK", block)
     rng = random.Random(8)
-    items = [(k, " ".join(f"w{min(int(rng.expovariate(0.05)), 300)}" for _ in range(rng.randrange(5, 40)))) for k in range(120)]
-    ix = decontamination.Index(items)
+    ix = decontamination.Index([(k, " ".join(odd_words(rng, rng.randrange(5, 90)))) for k in range(120)])
     for _ in range(60):
-        terms = {f"w{min(int(rng.expovariate(0.05)), 300)}" for _ in range(60)}
-        ids = np.array(sorted(ix.vocabulary[t] for t in terms if t in ix.vocabulary))
-        got = {d for d, _ in ix.search(ids, list(range(ix.most.shape[1])), 0.45)}
-        scores: dict = {}
-        for (x, _), ps in ix.postings.items():
-            if x in set(ids.tolist()):
-                for d, v in ps:
-                    scores[d] = scores.get(d, 0) + v
-        assert got == {d for d, v in scores.items() if v >= 0.45 - 1e-12}
-
-
-@pytest.mark.parametrize("length", [33, 64, 100, 150, 500])
+        terms = set(odd_words(rng, 60))
+        got = dict(ix.search(sorted(ix.vocabulary[t] for t in terms if t in ix.vocabulary), threshold))
+        want = {e: v for e, v in exhaustive(ix, terms).items() if v >= threshold - 1e-9}
+        assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-12 for e in got)
+
+
+def test_find_against_exhaustive_search():
+    """find, end to end: every passage of every text scored against every entry by brute force, then verified."""
+    rng = random.Random(9)
+    items = [(k, " ".join(odd_words(rng, n)) + "? " + " ".join(odd_words(rng, 6))) for k, n in enumerate([8, 15, 30, 60, 120, 250] * 6)]
+    ix = decontamination.Index(items)
+    texts = [" ".join(odd_words(rng, rng.randrange(0, 200)) + items[k][1].split() + odd_words(rng, rng.randrange(0, 200))) for k in range(len(items))]
+    texts += [" ".join(odd_words(rng, 300)) for _ in range(40)] + [" ".join(x for x in items[k][1].split() if rng.random() > 0.04) for k in range(len(items))]
+    want = {}
+    for r, text in enumerate(texts):
+        words = decontamination.words_of(text)
+        halves = [words[a : a + decontamination.HALF] for a in range(0, max(1, len(words)), decontamination.HALF)]
+        for h in range(max(1, len(halves) - 1)):
+            there, start = set(sum(halves[h : h + 2], [])), h * decontamination.HALF
+            for d in {ix.items[e] for e, v in exhaustive(ix, there).items() if v >= decontamination.THRESHOLD - 1e-9}:
+                more = len(ix.words[d])
+                shares = ix.verify(d, words[max(0, start - more) : start + decontamination.PASSAGE + more])
+                if shares[0] >= decontamination.SHARE and min(shares[1:]) >= decontamination.PART:
+                    score = sum(v for w, v in ((w, ix.impacts[d].get(ix.vocabulary.get(w), 0)) for w in there))
+                    want[r, d] = max(want.get((r, d), 0), score)
+    got = {(r, d): score for r, d, score, *_ in decontamination.find(ix, pa.array(texts))}
+    assert got.keys() == want.keys() and len(got) > len(items) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+@pytest.mark.parametrize("length", [20, 33, 64, 100, 150, 500, 2000])
 def test_long_items_at_all_alignments(length):
     """A verbatim copy is found wherever it lies; half of it is not a leak."""
     words = lambda n, seed: " ".join(f"q{random.Random(seed * 7919 + k).randrange(400)}" for k in range(n))

@@ -9,11 +9,12 @@ any length. All items of which the whole or a part scores the threshold or more
 item in one passage, which stays below the threshold where only parts reach it. A found item is verified as a whole at its place: shared five-word shingles must hold 80 % of the item's, and cover at least half of the words of its question
 and of its answer (what follows the last question mark, else its last sentence, else the last third).
 
-WAND's pivot test, that the largest impacts of a query's words reach the threshold at all, is done per block, with the
-block's own largest impacts, and for all passages of a batch at once; only blocks that pass it are opened, and
-their postings alone are added up.
+Each passage that can reach the threshold at all (by the largest impacts of its words, over all items and then in some
+block: tested for all passages of a batch at once) is searched by block-max WAND: one cursor for each word on its postings,
+the pivot is the first item at which the words' largest impacts add up to the threshold, a block whose own largest
+impacts fall short is skipped whole, and only pivots that pass are scored.
 
-The index of at most SHARD items is sent to tasks; more items mean more shards, each a pass of its own.
+The index of at most SHARD items is sent to tasks; more items mean more shards, each searched in turn.
 Nulls and odd rows: null or empty texts match nothing, as do items without words; an item of fewer than five words has one
 shingle, all its words; repeated rows are reported as often as they occur in docs; a null doc_id is reported as null;
 other columns are ignored, whatever their names; empty tables give no rows.
@@ -22,10 +23,12 @@ other columns are ignored, whatever their names; empty tables give no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,29 +113,64 @@ class Index:
             entries += [(j * len(w) // parts - i * len(w) // parts, d, i * len(w) // parts, j * len(w) // parts) for i, j in zip(range(parts), range(1, parts + 1), strict=True) if parts > 1]
         entries.sort()
         self.items = [e[1] for e in entries]
-        size = max(LEAST_BLOCK, -(-len(entries) // BLOCKS))
-        self.most = np.zeros((len(held), -(-len(entries) // size)))
-        self.postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        self.size = max(LEAST_BLOCK, -(-len(entries) // BLOCKS))
+        #: The largest impact of each word in each block of entries, and over all; each word's entries and impacts there.
+        self.most = np.zeros((len(held), -(-len(entries) // self.size)))
+        self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in held]
         for e, (_, d, start, end) in enumerate(entries):
             xs = {self.vocabulary[w]: None for w in self.words[d][start:end]}
             own = sum(self.impacts[d][x] for x in xs)
             for x in xs:
                 v = self.impacts[d][x] / own
-                self.postings.setdefault((x, e // size), []).append((e, v))
-                self.most[x, e // size] = max(self.most[x, e // size], v)
-
-    def search(self, terms: np.ndarray, blocks: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All entries (items and parts) of the blocks that score threshold or more against the distinct terms."""
-        out = []
-        for b in blocks:
-            most = self.most[terms, b]
-            if most.sum() < threshold:
-                continue
-            scores: dict[int, float] = {}
-            for x in terms[most > 0].tolist():
-                for d, v in self.postings[x, b]:
-                    scores[d] = scores.get(d, 0.0) + v
-            out += [(d, v) for d, v in scores.items() if v >= threshold - 1e-12]
+                self.postings[x][0].append(e)
+                self.postings[x][1].append(v)
+                self.most[x, e // self.size] = max(self.most[x, e // self.size], v)
+        self.top = self.most.max(axis=1, initial=0.0)
+
+    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
+        """All entries (items and parts) that score threshold or more against the distinct terms, by block-max WAND."""
+        enough, size, most, top, out = threshold - 1e-9, self.size, self.most, self.top, []
+        cursors = [[self.postings[x][0][0], x, 0] for x in terms]  # where each word's cursor stands: entry, word, place
+
+        def forward(c: list, entry: int) -> None:
+            at = c[2] = bisect_left(self.postings[c[1]][0], entry, c[2])
+            if at < len(self.postings[c[1]][0]):
+                c[0] = self.postings[c[1]][0][at]
+            else:
+                c[0] = -1
+
+        while cursors:
+            cursors.sort()
+            reach, p = 0.0, -1
+            for p, c in enumerate(cursors):
+                reach += top[c[1]]
+                if reach >= enough:
+                    break
+            else:
+                break
+            pivot = cursors[p][0]
+            while p + 1 < len(cursors) and cursors[p + 1][0] == pivot:
+                p += 1
+            b = pivot // size
+            if sum([most[c[1], b] for c in cursors[: p + 1]]) < enough:
+                # No entry before the block's end, or before the next cursor's place, can reach the threshold.
+                beyond = (b + 1) * size
+                if p + 1 < len(cursors):
+                    beyond = min(beyond, cursors[p + 1][0])
+                for c in cursors[: p + 1]:
+                    forward(c, beyond)
+            elif cursors[0][0] == pivot:
+                score = 0.0
+                for c in cursors[: p + 1]:
+                    score += self.postings[c[1]][1][c[2]]
+                    forward(c, pivot + 1)
+                if score >= enough:
+                    out.append((pivot, score))
+            else:
+                for c in cursors[: p + 1]:
+                    if c[0] < pivot:
+                        forward(c, pivot)
+            cursors = [c for c in cursors if c[0] >= 0]
         return out
 
     def verify(self, item: int, region: list[str]) -> tuple[float, float, float]:
@@ -163,22 +201,28 @@ def find(index: Index, texts: pa.Array, threshold: float = THRESHOLD) -> Iterato
     size = max(1, len(index.vocabulary))
     keys = np.unique((half * size + term)[term >= 0])  # each word once in a half
     half, term = keys // size, keys % size
-    at = np.searchsorted(half, np.arange(len(row) + 1))
     # A passage is two halves next to each other in one text; the last half alone if it is the only one.
     whole = np.flatnonzero((np.append(row[1:], -1) == row) | (halves[row] == 1))
     after = np.where(halves[row[whole]] == 1, whole, whole + 1)
-    passing: dict[int, list[int]] = {}
-    for b in range(index.most.shape[1]):
-        reach = np.bincount(half, index.most[term, b], len(row))
+
+    def reaching(bound: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Which of some passages have words whose bounds add up to the threshold."""
+        reach = np.bincount(half, bound[term], len(row))
         reach = np.where(after > whole, reach[whole] + reach[np.minimum(after, len(row) - 1)], reach[whole])
-        for p in np.flatnonzero(reach >= threshold - 1e-9).tolist():
-            passing.setdefault(p, []).append(b)
+        return some[reach[some] >= threshold - 1e-9]
+
+    possible = reaching(index.top, np.arange(len(whole))) if index.most.size else np.empty(0, int)
+    # The same per block, for the words of passages that are left.
+    open_ = np.zeros(len(row) + 1, bool)
+    open_[whole[possible]] = open_[after[possible]] = True
+    half, term = half[open_[half]], term[open_[half]]
+    at = np.searchsorted(half, np.arange(len(row) + 1))
+    passing = np.unique(np.concatenate([reaching(index.most[:, b], possible) for b in range(index.most.shape[1])] or [possible]))
     best: dict[tuple[int, int], tuple] = {}
-    for p, blocks in passing.items():
+    for p in passing.tolist():
         h, r = int(whole[p]), int(row[whole[p]])
-        terms = np.unique(term[at[h] : at[int(after[p]) + 1]])
-        there = set(terms.tolist())
-        for item in sorted({index.items[e] for e, _ in index.search(terms, blocks, threshold)}):
+        there = set(term[at[h] : at[int(after[p]) + 1]].tolist())
+        for item in sorted({index.items[e] for e, _ in index.search(sorted(there), threshold)}):
             score = sum(v for x, v in index.impacts[item].items() if x in there)
             if score <= best.get((r, item), (0,))[0]:
                 continue
@@ -191,16 +235,20 @@ def find(index: Index, texts: pa.Array, threshold: float = THRESHOLD) -> Iterato
         yield r, item, *found
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs(doc_id, text), items(item_id, text) -> doc_id, item_id, score, shingle_share, question_share, answer_share."""
-    spark = docs.sparkSession
+def _shards(items: DataFrame) -> Iterator[Broadcast]:
+    """The items' index, in shards of about SHARD items."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     shards = max(1, -(-items.count() // SHARD))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
     for k in range(shards):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        held = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in own.orderBy("item_id", "text").toLocalIterator()]))
+        yield items.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in own.orderBy("item_id", "text").toLocalIterator()]))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs(doc_id, text), items(item_id, text) -> doc_id, item_id, score, shingle_share, question_share, answer_share."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = None
+    for held in _shards(items):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             only("leaks")
@@ -217,6 +265,18 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose doc_id contaminated() reports; columns as they were."""
-    leaks = contaminated(docs, items, threshold).select(F.col("doc_id").alias("leak_")).distinct()
-    return docs.join(leaks, docs["doc_id"] == F.col("leak_"), "left_anti")
+    """docs without the rows whose text contaminated() finds an item in, whatever their doc_id; columns as they were. No row is shuffled."""
+    where = docs.columns.index("text")
+    for held in _shards(items):
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            only("leaks")
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    clean = np.ones(part.num_rows, bool)
+                    clean[[f[0] for f in find(held.value, part.column(where).cast(pa.string()), threshold)]] = False
+                    yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
