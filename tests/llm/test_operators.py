@@ -310,7 +310,7 @@ def test_wand_finds_all_above_threshold(monkeypatch, threshold, block):
     ix = decontamination.Index([(k, " ".join(odd_words(rng, rng.randrange(5, 90)))) for k in range(120)])
     for _ in range(60):
         terms = set(odd_words(rng, 60))
-        got = dict(ix.search(sorted(ix.vocabulary[t] for t in terms if t in ix.vocabulary), threshold))
+        got = dict(ix.search(np.array(sorted(ix.vocabulary[t] for t in terms if t in ix.vocabulary)), threshold))
         want = {e: v for e, v in exhaustive(ix, terms).items() if v >= threshold - 1e-9}
         assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-12 for e in got)
 

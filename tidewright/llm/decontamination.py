@@ -12,7 +12,7 @@ and of its answer (what follows the last question mark, else its last sentence,
 Each passage that can reach the threshold at all (by the largest impacts of its words, over all items and then in some
 block: tested for all passages of a batch at once) is searched by block-max WAND: one cursor for each word on its postings,
 the pivot is the first item at which the words' largest impacts add up to the threshold, a block whose own largest
-impacts fall short is skipped whole, and only pivots that pass are scored.
+impacts fall short is skipped whole, and only pivots are scored.
 
 The index of at most SHARD items is sent to tasks; more items mean more shards, each searched in turn.
 Nulls and odd rows: null or empty texts match nothing, as do items without words; an item of fewer than five words has one
@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -127,50 +128,44 @@ class Index:
                 self.most[x, e // self.size] = max(self.most[x, e // self.size], v)
         self.top = self.most.max(axis=1, initial=0.0)
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All entries (items and parts) that score threshold or more against the distinct terms, by block-max WAND."""
-        enough, size, most, top, out = threshold - 1e-9, self.size, self.most, self.top, []
-        cursors = [[self.postings[x][0][0], x, 0] for x in terms]  # where each word's cursor stands: entry, word, place
-
-        def forward(c: list, entry: int) -> None:
-            at = c[2] = bisect_left(self.postings[c[1]][0], entry, c[2])
-            if at < len(self.postings[c[1]][0]):
-                c[0] = self.postings[c[1]][0][at]
-            else:
-                c[0] = -1
-
-        while cursors:
-            cursors.sort()
-            reach, p = 0.0, -1
-            for p, c in enumerate(cursors):
-                reach += top[c[1]]
-                if reach >= enough:
-                    break
-            else:
-                break
-            pivot = cursors[p][0]
-            while p + 1 < len(cursors) and cursors[p + 1][0] == pivot:
-                p += 1
-            b = pivot // size
-            if sum([most[c[1], b] for c in cursors[: p + 1]]) < enough:
-                # No entry before the block's end, or before the next cursor's place, can reach the threshold.
-                beyond = (b + 1) * size
-                if p + 1 < len(cursors):
-                    beyond = min(beyond, cursors[p + 1][0])
-                for c in cursors[: p + 1]:
-                    forward(c, beyond)
-            elif cursors[0][0] == pivot:
+    def search(self, terms: np.ndarray, threshold: float, blocks: list[int] | None = None) -> list[tuple[int, float]]:
+        """All entries (items and parts) that score threshold or more against the distinct terms, by block-max WAND.
+
+        blocks: those in which the words' largest impacts reach the threshold, where that is known; all others are skipped whole.
+        """
+        enough, out = threshold - 1e-9, []
+        if blocks is None:
+            blocks = np.flatnonzero(self.most[terms].sum(axis=0) >= enough).tolist()
+        for b in blocks:
+            bounds, start, end = self.most[terms, b], b * self.size, (b + 1) * self.size
+            here = np.flatnonzero(bounds)
+            cursors = []  # of each word: the entry it stands at, the word's bound in the block, its entries, impacts, the place
+            for x, bound in zip(terms[here].tolist(), bounds[here].tolist(), strict=True):
+                entries, impacts = self.postings[x]
+                at = bisect_left(entries, start)
+                cursors.append([entries[at], bound, entries, impacts, at])
+            while cursors:
+                cursors.sort(key=itemgetter(0))
+                reach, pivot = 0.0, -1
+                for c in cursors:
+                    reach += c[1]
+                    if reach >= enough:
+                        pivot = c[0]
+                        break
+                if pivot < 0:
+                    break  # what is left in the block cannot reach the threshold
                 score = 0.0
-                for c in cursors[: p + 1]:
-                    score += self.postings[c[1]][1][c[2]]
-                    forward(c, pivot + 1)
-                if score >= enough:
+                full = cursors[0][0] == pivot
+                for c in cursors:
+                    if c[0] > pivot:
+                        break
+                    if full:
+                        score += c[3][c[4]]
+                    c[4] = c[4] + 1 if full else bisect_left(c[2], pivot, c[4])
+                    c[0] = c[2][c[4]] if c[4] < len(c[2]) else end
+                if full and score >= enough:
                     out.append((pivot, score))
-            else:
-                for c in cursors[: p + 1]:
-                    if c[0] < pivot:
-                        forward(c, pivot)
-            cursors = [c for c in cursors if c[0] >= 0]
+                cursors = [c for c in cursors if c[0] < end]
         return out
 
     def verify(self, item: int, region: list[str]) -> tuple[float, float, float]:
@@ -217,12 +212,16 @@ def find(index: Index, texts: pa.Array, threshold: float = THRESHOLD) -> Iterato
     open_[whole[possible]] = open_[after[possible]] = True
     half, term = half[open_[half]], term[open_[half]]
     at = np.searchsorted(half, np.arange(len(row) + 1))
-    passing = np.unique(np.concatenate([reaching(index.most[:, b], possible) for b in range(index.most.shape[1])] or [possible]))
+    passing: dict[int, list[int]] = {}
+    for b in range(index.most.shape[1]):
+        for p in reaching(index.most[:, b], possible).tolist():
+            passing.setdefault(p, []).append(b)
     best: dict[tuple[int, int], tuple] = {}
-    for p in passing.tolist():
+    for p, blocks in passing.items():
         h, r = int(whole[p]), int(row[whole[p]])
-        there = set(term[at[h] : at[int(after[p]) + 1]].tolist())
-        for item in sorted({index.items[e] for e, _ in index.search(sorted(there), threshold)}):
+        terms = np.unique(term[at[h] : at[int(after[p]) + 1]])
+        there = set(terms.tolist())
+        for item in sorted({index.items[e] for e, _ in index.search(terms, threshold, blocks)}):
             score = sum(v for x, v in index.impacts[item].items() if x in there)
             if score <= best.get((r, item), (0,))[0]:
                 continue
