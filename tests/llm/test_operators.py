@@ -7,6 +7,7 @@ import itertools
 import random
 import re
 import textwrap
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +117,7 @@ def test_substring_levels():
     assert [substring_dedup.levels(n) for n in (1, 2, 5, 13, 50)] == [[1, 1], [1, 2], [3, 5], [4, 8, 13], [4, 8, 16, 32, 50]]
 
 
-def test_substring_fingerprints_decide(spark, monkeypatch):
+def test_substring_fingerprints_decide():
     """Windows that only share their 64-bit hash are told apart: here every hash of a window is the same in its first half."""
     rows = [(k, prose(40, k, 10_000)) for k in range(6)] + [(9, prose(40, 2, 10_000))]
     whole = substring_dedup.window_hashes
@@ -125,7 +126,6 @@ def test_substring_fingerprints_decide(spark, monkeypatch):
         table = pa.table({"block": pa.array([0] * len(ids), pa.int32()), "doc_id": ids, "text": texts})
         block = substring_dedup.Block(table, 13)
         block.h[:] = 1
-        monkeypatch.setattr(substring_dedup, "window_hashes", whole)
         known = np.empty(28, substring_dedup._KNOWN)
         starts = block.long_windows()
         of = starts[block.owner[starts] == 2]
@@ -371,7 +371,7 @@ def test_wrapper(spark):
     shared = "<div class=top><p>Welcome to the site of things</p></div>"
     page = lambda k: f"<html><body>{shared}<div class=content><p>{prose(40, k)}</p><p>{prose(30, 90 + k)}</p></div><div class=links><a href=1>{prose(5, k)}</a><a href=2>{prose(5, k + 1)}</a></div></body></html>"
     w = html_extraction.induce([page(k) for k in range(5)])
-    assert w["slot"].endswith("div.content")
+    assert w["slot"] == next(n.path for n in html_extraction.nodes(html_extraction.parse(page(0))) if n.key == "div.content")
     assert html_extraction.extract(page(7), w) == f"{prose(40, 7)}\n{prose(30, 97)}"
     rows = [(k, f"http://a.example/{k}", page(k)) for k in range(9)] + [(20, None, None), (21, "odd", ""), (None, "http://a.example/x", page(3)), (3, "http://a.example/3", page(3))]
     df = spark.createDataFrame([(*r, "h", 1) for r in rows], "page_id long, url string, html string, host string, wrapper int")
@@ -426,6 +426,46 @@ def test_matching_of_whole_trees(monkeypatch):
     assert html_extraction.match(*deep)[0] == 3001
 
 
+def test_hostile_pages():
+    """Deep nesting, quotes that are never closed, closing tags of nothing: read in time in proportion to the page."""
+    began = time.process_time()
+    assert html_extraction.extract("<div>" * 50_000 + "<p>deep") == "deep"
+    assert html_extraction.extract("<p>a" + "</b>" * 50_000 + "<i>" * 50_000 + "</p><p>b") == "a\nb"
+    assert html_extraction.extract("<p>x " + "<a " * 300_000 + '"') == "x"
+    assert html_extraction.extract("<p>x " + '<a href="' * 100_001 + "y") == "x"
+    assert html_extraction.extract("<p>x <a title=it's href='1'>l</a><b title=\"never closed>y</b>") == "x ly"
+    assert html_extraction.extract("<p>x" + "<!--" * 250_000) == "x"
+    deep = ["<div>" * 20_000 + f"<p>{k} {prose(9, k)}" for k in range(4)]
+    assert html_extraction.extract(deep[0], html_extraction.induce(deep)) == f"0 {prose(9, 0)}"
+    assert html_extraction.layout("<div>" * 50_000) != html_extraction.layout("<div>" * 49_999)
+    assert time.process_time() - began < 60
+
+
+def test_neutral_pages():
+    """Pages whose tags and classes say nothing: the wrapper alone tells the text from menus, notices and link lists."""
+    menu = "<div class=k1><span>" + "</span><span>".join(f"entry {k} of the list" for k in range(9)) + "</span></div>"
+    page = lambda k: f"<div class=k0><div class=k2>The house rules, valid for all who read here.</div>{menu}<div class=k3><p>{prose(60, k)}</p><div class=k5><p>Read on below.</p></div><p>{prose(20, 70 + k)}</p></div><div class=k4>All rights are with the house.</div></div>"
+    w = html_extraction.induce([page(k) for k in range(6)])
+    text = f"{prose(60, 9)}\n{prose(20, 79)}"
+    assert html_extraction.extract(page(9), w) == text
+    assert html_extraction.extract(page(9)) != text and "house rules" in html_extraction.extract(page(9))
+
+
+def test_pages_of_the_tables(spark):
+    """All pages of sf0.01: the article's blocks, read by a plain reader; and with its tags and classes made neutral, by the wrapper alone."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+
+    def plain(page):
+        body = re.search(r"<article>([\s\S]*?)</article>", page)[1]
+        body = re.sub(r'<div class="[^"]*comment[^"]*">[\s\S]*?</div>|<(aside|form|script|style|nav)\b[\s\S]*?</\1>|<!--[\s\S]*?-->', "", body)
+        blocks = re.split(r"</?(?:p|h\d|div|ul|ol|li|table|tr|td|th|blockquote|pre|section)\b[^>]*>", re.sub(r"<br */?>", " ", body))
+        return [t for b in blocks if (t := " ".join(html_extraction.entities.unescape(re.sub(r"<[^>]*>", "", b)).split()))]
+
+    got = {r.page_id: r.text.split("\n") for r in html_extraction.main_texts(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows) and all(got[r.page_id] == plain(r.html) for r in rows)
+
+
 def test_tree_matching():
     a, b = (html_extraction.parse(f"<body><div><p>x</p>{m}<p>y</p></div></body>") for m in ("", "<ul><li>z</ul>"))
     assert html_extraction.match(a, b)[0] == 5

@@ -23,10 +23,12 @@ import html as entities
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,13 +50,31 @@ SIDE_TAGS = {"nav", "header", "footer", "aside", "form", "button", "select", "in
 SIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "menu", "menubar", "toolbar"}
 SIDE_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments comentarios kommentare commentaires disqus reply replies cookie cookies consent notice notices gdpr popup modal newsletter subscribe subscription share sharing social related recommended widget toolbar pagination pager login signup search form".split())
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.DOTALL)
+#: What begins with "<": a comment, CDATA, a declaration, or the name of a tag; and what follows the name. Neither ever goes back.
+_MARK = re.compile(r"<(?:(!--(?:(?!-->)[\s\S])*+(?:-->)?+|!\[CDATA\[(?:(?!\]\]>)[\s\S])*+(?:\]\]>)?+|[!?][^>]*+>?+)|(/?+)([a-zA-Z][^\s/>]*+))")
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.IGNORECASE)
 _NAMES = re.compile(r"[a-z]+")
 
 
+#: Digests of paths, by that of the parent and the node's key. Bounded; what is let go is made again.
+_PATHS: dict[tuple[int, str], int] = {}
+
+
+def path_of(up: int, key: str) -> int:
+    """A digest of a node's path, alike in all processes; as paths of deep pages would be long."""
+    out = _PATHS.get((up, key))
+    if out is None:
+        if len(_PATHS) > 100_000:
+            _PATHS.clear()
+        out = _PATHS[up, key] = xxhash.xxh64_intdigest(f"{up:x}>{key}".encode("utf-8", "surrogatepass"))
+    return out
+
+
 class Node:
-    __slots__ = ("tag", "key", "side", "children", "up")
+    """side: it, hidden: it or a node above it, is beside the main text. measure() sets what stands below."""
+
+    __slots__ = ("tag", "key", "path", "depth", "side", "hidden", "children", "up", "mark", "texts", "size", "links", "free")
 
     def __init__(self, tag: str, attributes: str, up: Node | None):
         self.tag, self.up, self.children = tag, up, []
@@ -72,100 +92,141 @@ class Node:
                         # A class speaks for its element; of compounds (site-nav, adBox) each part does.
                         parts = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "").lower()
                         self.side |= any(w in SIDE_WORDS for w in _NAMES.findall(parts))
+        self.path, self.depth = path_of(up.path if up else 0, self.key), up.depth + 1 if up else 1
+        self.hidden = self.side or (up.hidden if up else False)
 
 
 def parse(page: str) -> Node:
-    """The DOM tree of a page, with implied ends; children are nodes and texts."""
+    """The DOM tree of a page, with implied ends; children are nodes and texts. One pass, in time in proportion to the page."""
     root = Node("html", "", None)
-    node, at = root, 0
+    node, at, open_ = root, 0, Counter()
+
+    def leave(to: Node) -> Node:
+        """Ends all elements under to."""
+        x = node
+        while x is not to:
+            open_[x.tag] -= 1
+            x = x.up
+        return to
+
     while at < len(page):
-        m = _TAG.search(page, at)
+        m = _MARK.search(page, at)
         if not m:
             node.children.append(page[at:])
             break
         if m.start() > at:
             node.children.append(page[at : m.start()])
         at = m.end()
-        tag = m[2].lower() if m[2] else ""
-        if not tag or (m.end() == len(page) and not m[0].endswith(">")):
-            continue  # a comment or declaration, or a tag that is cut off
         if m[1]:
-            x = node
-            while x is not None and x.tag != tag:
-                x = x.up
-            if x is not None and x.up is not None:
-                node = x.up
-            elif tag == "p":
-                Node("p", "", node)
+            continue
+        tag = m[3].lower()
+        end = _REST.match(page, at).end()
+        if end < len(page) and page[end] == "=":  # a quote that is never closed: the tag ends at the next bracket
+            end = page.find(">", end)
+        if end < 0 or end >= len(page):
+            break  # a tag that is cut off
+        attributes, at = page[at:end], end + 1
+        if m[2]:
+            if open_[tag]:
+                x = node
+                while x.tag != tag:
+                    x = x.up
+                node = leave(x.up)
             continue
         if tag in ("html", "head", "body"):
             if tag == "body" and node.tag == "head":
-                node = node.up
+                node = leave(node.up)
             if tag == "html":
                 continue
-        if tag in ENDS_P or tag in ENDS:
+        ended = ENDS.get(tag, ())
+        if tag in ENDS_P and open_["p"] or any(open_[t] for t in ended):
             x = node
             while x.up is not None and x.tag not in SCOPES:
-                if x.tag == "p" and tag in ENDS_P or x.tag in ENDS.get(tag, ()):
-                    node = x.up
+                if x.tag == "p" and tag in ENDS_P or x.tag in ended:
+                    node = leave(x.up)
                     if x.tag != "td" and x.tag != "th":
                         break
                 x = x.up
-        new = Node(tag, m[3] or "", node)
+        new = Node(tag, attributes, node)
         node.children.append(new)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-            new.children.append(page[at : end.start()] if end else page[at:])
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not (m[3] or "").endswith("/"):
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+(?:>|\Z)", re.IGNORECASE).search(page, at)
+            new.children.append(page[at : close.start()] if close else page[at:])
+            at = close.end() if close else len(page)
+        elif tag not in VOID and not attributes.endswith("/"):
             node = new
+            open_[tag] += 1
     return root
 
 
-def text_blocks(node: Node, template: set[str], out: list[list[str]], path: str = "") -> None:
+def text_blocks(node: Node, template: set[str], out: list[list[str]]) -> None:
     """Adds the texts of each block under node, those of side nodes and of template nodes left out."""
-    for child in node.children:
-        if isinstance(child, str):
+    stack: list = [*reversed(node.children)]
+    while stack:
+        child = stack.pop()
+        if child is None:  # a block ends here
+            out.append([])
+        elif isinstance(child, str):
             out[-1].append(child)
-        elif child.side or (template and f"{path}>{child.key}|{plain(child)}" in template):
+        elif child.side or (template and signed(child) in template):
             out[-1].append(" ") if child.tag not in BLOCK else out.append([])
-        elif child.tag in BLOCK:
-            out.append([])
-            text_blocks(child, template, out, f"{path}>{child.key}")
-            out.append([])
         elif child.tag in ("br", "wbr"):
             out[-1].append(" " if child.tag == "br" else "")
         else:
-            text_blocks(child, template, out, f"{path}>{child.key}")
+            if child.tag in BLOCK:
+                out.append([])
+                stack.append(None)
+            stack.extend(reversed(child.children))
 
 
-def plain(node: Node) -> str:
-    """All text of a node in one line."""
-    parts, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            parts.append(x)
-        elif x.tag not in RAW:
-            stack.extend(reversed(x.children))
-    return " ".join(entities.unescape(" ".join(parts)).split())
+def squeezed(text: str) -> str:
+    return " ".join(entities.unescape(text).split())
+
+
+_PRIME, _STEP = (1 << 61) - 1, 0x1F3D5B79
+
+
+def measure(root: Node) -> Node:
+    """Sets for each node: texts, mark (number and digest of its texts in order), size, links (characters, and those in links),
+    free (characters outside links and side nodes). Texts that are not shown count for nothing."""
+    for n in reversed(nodes(root)):
+        n.mark, n.texts, n.size, n.links, n.free = 0, 0, 0, 0, 0
+        for c in n.children if n.tag not in RAW else ():
+            if isinstance(c, str):
+                t = squeezed(c)
+                if t:
+                    n.mark = (n.mark * _STEP + xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))) % _PRIME
+                    n.texts += 1
+                    n.size += len(t) + 1
+                    n.free += len(t) + 1
+            else:
+                n.mark = (n.mark * pow(_STEP, c.texts, _PRIME) + c.mark) % _PRIME
+                n.texts += c.texts
+                n.size += c.size
+                n.links += c.size if c.tag == "a" else c.links
+                n.free += 0 if c.tag == "a" or c.side else c.free
+    return root
 
 
-def nodes(root: Node) -> list[tuple[str, Node]]:
-    """(path, node) in page order."""
-    out, stack = [], [("", root)]
+def signed(node: Node) -> str:
+    """A measured node's place and text, as templates hold them."""
+    return f"{node.path:x}|{node.texts}|{node.mark:x}"
+
+
+def nodes(root: Node) -> list[Node]:
+    """All nodes in page order."""
+    out, stack = [], [root]
     while stack:
-        path, x = stack.pop()
-        path = f"{path}>{x.key}"
-        out.append((path, x))
-        stack.extend((path, c) for c in reversed(x.children) if isinstance(c, Node))
+        x = stack.pop()
+        out.append(x)
+        stack.extend(c for c in reversed(x.children) if isinstance(c, Node))
     return out
 
 
 def shapes(root: Node, known: dict[tuple, int], sizes: dict[int, int]) -> dict[int, int]:
     """The number of each node's tree of keys, alike for like trees, and in sizes how many nodes that tree has."""
     out: dict[int, int] = {}
-    for _, n in reversed(nodes(root)):
+    for n in reversed(nodes(root)):
         own = [out[id(c)] for c in n.children if isinstance(c, Node)]
         k = out[id(n)] = known.setdefault((n.key, *own), len(known))
         sizes[k] = 1 + sum(sizes[x] for x in own)
@@ -269,32 +330,18 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return weights[left[id(a)], right[id(b)]], pairs
 
 
-def content(root: Node, slots: list[str]) -> list[tuple[str, Node]]:
-    """(path, node) of the outermost nodes at the slots that have text, in page order; lists of links only if there is nothing else."""
-    wanted, found, stack = set(slots), [], [("", root)]
+def content(root: Node, slots: list[int]) -> list[Node]:
+    """The outermost nodes of a measured tree at the slots that have text, in page order; lists of links only if there is nothing else."""
+    wanted, found, stack = set(slots), [], [root]
     while stack:
-        path, x = stack.pop()
-        path = f"{path}>{x.key}"
+        x = stack.pop()
         if x.side:
             continue
-        if path in wanted and (size := len(plain(x))):
-            found.append((path, x, size))
-        else:
-            stack.extend((path, c) for c in reversed(x.children) if isinstance(c, Node))
-    prose = [f for f in found if 2 * linked(f[1]) < f[2]]
-    return [f[:2] for f in prose or found]
-
-
-def linked(node: Node) -> int:
-    """The length of a node's text in links."""
-    size, stack = 0, [node]
-    while stack:
-        x = stack.pop()
-        if x.tag == "a":
-            size += len(plain(x))
+        if x.path in wanted and x.size:
+            found.append(x)
         else:
-            stack.extend(c for c in x.children if isinstance(c, Node))
-    return size
+            stack.extend(c for c in reversed(x.children) if isinstance(c, Node))
+    return [x for x in found if 2 * x.links < x.size] or found
 
 
 def own_text(node: Node) -> str:
@@ -306,126 +353,91 @@ def own_text(node: Node) -> str:
             parts.append(x)
         elif not (x.side or x.tag in CONTAINERS or x.tag == "a" or x.tag in RAW):
             stack.extend(reversed(x.children))
-    return " ".join(entities.unescape(" ".join(parts)).split())
+    return squeezed(" ".join(parts))
 
 
-def main_node(root: Node, slot: str | None) -> Node:
+def main_node(root: Node, slot: int | None) -> Node:
+    """The main text's node of a measured tree where no slots are known."""
     all_ = nodes(root)
     # Elements that hold another of their kind hold comments or teasers of it: the first outermost one with most text.
     for tag in ("article", "main"):
-        found = [n for _, n in all_ if n.tag == tag and not n.side and not under_side(n)]
+        found = [n for n in all_ if n.tag == tag and not n.hidden]
         if found:
-            return max(found, key=lambda n: len(plain(n)))
-    if slot:
-        for path, n in all_:
-            if path == slot and not under_side(n):
-                return n
-    return next((n for _, n in all_ if n.tag == "body"), root)
-
-
-def under_side(node: Node) -> bool:
-    while node is not None:
-        if node.side:
-            return True
-        node = node.up
-    return False
+            return max(found, key=lambda n: n.size)
+    for n in all_ if slot else ():
+        if n.path == slot and not n.hidden:
+            return n
+    return next((n for n in all_ if n.tag == "body"), root)
 
 
 def extract(page: str | None, wrapper: dict | None = None) -> str:
     if not page:
         return ""
-    root, wrapper = parse(page), wrapper or {}
+    root, wrapper = measure(parse(page)), wrapper or {}
     template = set(wrapper.get("template", ()))
     out: list[list[str]] = [[]]
-    for path, node in content(root, wrapper.get("slots", [])) or [("", main_node(root, wrapper.get("slot")))]:
+    for node in content(root, wrapper.get("slots", [])) or [main_node(root, wrapper.get("slot"))]:
         out.append([])
-        text_blocks(node, template, out, path)
+        text_blocks(node, template, out)
         out.append([])
-    return "\n".join(t for b in out if (t := " ".join(entities.unescape("".join(b)).split())))
+    return "\n".join(t for b in out if (t := squeezed("".join(b))))
 
 
 def induce(pages: list[str]) -> dict:
     """The wrapper of pages of one host."""
     trees, seen = [], set()
     for page in sorted(set(pages)):
-        root = parse(page)
         text = extract(page)
         if text not in seen:
             seen.add(text)
-            trees.append(root)
+            trees.append(measure(parse(page)))
     if len(trees) < 2:
         return {}
     base = trees[0]
-    paths = {id(n): p for t in trees for p, n in nodes(t)}
-    containers = [[n for _, n in nodes(t) if n.tag in CONTAINERS and not under_side(n)] for t in trees]
-    varied: dict[int, set[str]] = {}
+    containers = [[n for n in nodes(t) if n.tag in CONTAINERS and not n.hidden] for t in trees]
+    varied: dict[int, set[tuple]] = {}
     own: dict[int, set[str]] = {}
     met = {id(n): 0 for n in containers[0]}
     slots = set()
     for other, theirs in zip(trees[1:], containers[1:], strict=True):
         pairs = match(base, other)[1]
         for a, b in pairs:
-            varied.setdefault(id(a), {plain(a)}).add(plain(b))
+            varied.setdefault(id(a), {(a.texts, a.mark)}).add((b.texts, b.mark))
             if id(a) in met:
                 own.setdefault(id(a), {own_text(a)}).add(own_text(b))
                 met[id(a)] += 1
         matched = {id(b) for _, b in pairs}
-        slots |= {paths[id(n)] for n in theirs if id(n) not in matched and own_text(n)}
+        slots |= {n.path for n in theirs if id(n) not in matched and own_text(n)}
     for n in containers[0]:
         if len(own.get(id(n), ())) > 1 or (met[id(n)] < len(trees) - 1 and own_text(n)):
-            slots.add(paths[id(n)])
-    aligned = {id(n): n for _, n in nodes(base)}
+            slots.add(n.path)
+    aligned = nodes(base)
     counts = {k: len(v) for k, v in varied.items()}
-
-    found = [(outside_links(aligned[k]) / (1 + 0.1 * paths[k].count(">")), paths[k]) for k, c in counts.items() if c > 1 and not under_side(aligned[k]) and aligned[k].tag in BLOCK - {"html", "body", "p", "li"}]
+    found = [(n.free / (1 + 0.1 * n.depth), n.path) for n in aligned if counts.get(id(n), 0) > 1 and not n.hidden and n.tag in BLOCK - {"html", "body", "p", "li"}]
     out = {"slot": max(found)[1]} if found else {}
     if len(trees) >= TEMPLATE_PAGES:
         out["slots"] = sorted(slots)
-        held = [under_content(t, out["slots"]) for t in trees]
+        held = [{signed(n) for x in content(t, out["slots"]) for n in nodes(x)[1:]} for t in trees]
         kept, stack = [], content(base, out["slots"])
         while stack:
-            path, x = stack.pop()
-            for c in x.children:
+            for c in stack.pop().children:
                 if isinstance(c, Node):
-                    key = f"{path}>{c.key}"
-                    if counts.get(id(c)) == 1 and (text := plain(c)) and all(f"{key}|{text}" in h for h in held):
-                        kept.append(f"{key}|{text}")
+                    if counts.get(id(c)) == 1 and c.texts and all(signed(c) in h for h in held):
+                        kept.append(signed(c))
                     else:
-                        stack.append((key, c))
+                        stack.append(c)
         out["template"] = kept
     return out
 
 
-def outside_links(node: Node) -> int:
-    size, stack = 0, [node]
-    while stack:
-        for c in stack.pop().children:
-            if isinstance(c, str):
-                size += len(c)
-            elif c.tag != "a" and not c.side:
-                stack.append(c)
-    return size
-
-
-def under_content(root: Node, slots: list[str]) -> set[str]:
-    out, stack = set(), content(root, slots)
-    while stack:
-        path, x = stack.pop()
-        for c in x.children:
-            if isinstance(c, Node):
-                out.add(f"{path}>{c.key}|{plain(c)}")
-                stack.append((f"{path}>{c.key}", c))
-    return out
-
-
 def host_of(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
 def layout(page: str | None) -> str:
     """A digest of the paths of a page's containers, alike for pages that differ only in text, paragraphs, lists and tables."""
-    found = sorted({p for p, n in nodes(parse(page or "")) if n.tag in CONTAINERS})
-    return hashlib.md5("\n".join(found).encode("utf-8", "surrogatepass")).hexdigest()
+    found = sorted({n.path for n in nodes(parse(page or "")) if n.tag in CONTAINERS})
+    return hashlib.md5(np.array(found, "<u8").tobytes()).hexdigest()
 
 
 def with_layout(pages: DataFrame) -> DataFrame:
