@@ -68,6 +68,37 @@ def materialize_by_block(df: DataFrame, key: str, blocks: int, name: str) -> Dat
     return opened
 
 
+#: Rows of a checked table that may be broadcast: ids or keys with a number or two, some tens of MB.
+MOST_BROADCAST = 1_000_000
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with as many underscores as it needs to clash with no column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """rows whose id is not in ids (one column). Ids are counted first: a bounded number is broadcast and rows stay where they are."""
+    name = fresh("gone", rows.columns)
+    ids = materialize(ids.toDF(name).distinct(), "gone")
+    few = ids.count() <= MOST_BROADCAST
+    return rows.join(F.broadcast(ids) if few else ids, rows[column] == F.col(name), "left_anti")
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, n: str, hot: int) -> DataFrame:
+    """rows joined with facts (one row a key; n: how many rows have it). Keys of more than hot rows are broadcast, so that
+    none of them fills a task; there are at most count / hot of those. facts should be materialized, as it is read twice."""
+    if facts.where(F.col(n) > hot).isEmpty():
+        return rows.join(facts, key)
+    named = F.broadcast(facts.where(F.col(n) > hot).select(key))
+    columns = [*rows.columns, *[c for c in facts.columns if c != key]]
+    often = rows.join(F.broadcast(facts.where(F.col(n) > hot)), key).select(*columns)
+    return often.union(rows.join(named, key, "left_anti").join(facts.where(F.col(n) <= hot), key).select(*columns))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
+
+#: A node with more neighbours than HOT, and more than a share of 1 / MOST_HOT of all, does not meet them in one task.
+HOT, MOST_HOT = 512, 20_000
 
 
 class UnionFind:
@@ -62,12 +65,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
+        hot = max(HOT, 2 * before[0] // MOST_HOT)
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v"))).distinct()
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = join_hot(both.where("v > u"), least, "u", "n", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        down = materialize(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "down")
+        lowest = materialize(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = join_hot(down, lowest, "u", "n", hot).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(small, "stars")
         after = mark(edges)
         if after == before:
