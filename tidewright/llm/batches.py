@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import mix
+
 
 class Words:
     """codes: of all words of all texts in a row; at: where each text begins and ends among them; distinct: the words."""
@@ -28,6 +30,22 @@ class Words:
         return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data and len(self.distinct) else np.empty(0, np.uint8), offsets - (offsets[0] if len(offsets) else 0)
 
 
+def _multipliers(n: int, seed: int) -> np.ndarray:
+    """Odd 64-bit numbers, the same for each place whatever n."""
+    return mix((np.arange(n, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
+
+
+def word_hashes(words: Words, seeds: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of the distinct words, for each seed one that is independent of the others: sums of bytes times a number for each place, mixed."""
+    raw, offsets = words.raw()
+    if not len(words.distinct):
+        return [np.empty(0, np.uint64) for _ in seeds]
+    size = np.diff(offsets).astype(np.int64)
+    place = np.arange(len(raw)) - np.repeat(offsets[:-1], size)
+    byte = raw.astype(np.uint64) + np.uint64(1)
+    return [mix(np.add.reduceat(byte * _multipliers(int(size.max()), seed)[place], offsets[:-1])) for seed in seeds]
+
+
 def segment_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of values[at[i]:at[i + 1]], also where that is empty."""
     total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])

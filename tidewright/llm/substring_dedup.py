@@ -25,11 +25,10 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import Words
+from .batches import Words, word_hashes
 from .common import materialize, materialize_by_block, window_hashes, with_block
 
 #: Characters of the texts of a block, and blocks whose windows one bucket of the hash space holds: what a task holds at a time.
@@ -56,9 +55,8 @@ class Block:
     def __init__(self, group: pa.Table, length: int):
         texts = group.column("text").combine_chunks()
         words = Words(texts)
-        digests = b"".join(map(xxhash.xxh3_128_digest, words.distinct.cast(pa.binary()).to_pylist()))
-        pairs = np.frombuffer(digests, "<u8").reshape(-1, 2)[words.codes] if len(words.codes) else np.empty((0, 2), np.uint64)
-        self.h, self.g, self.at, self.length = np.ascontiguousarray(pairs[:, 0]), pairs[:, 1], words.at, length
+        self.h, self.g = (h[words.codes] for h in word_hashes(words, (40_009, 50_021)))
+        self.at, self.length = words.at, length
         ids = group.column("doc_id").combine_chunks()
         self.known = ids.is_valid().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy()
