@@ -81,13 +81,59 @@ def test_edges(spark, plain):
     assert ts.store_and_verify(docs.limit(0)).count() == 0
 
 
-def test_damage_is_found(spark):
-    docs = spark.createDataFrame([(1, "some text here")], "doc_id long, text string")
-    path, other = ts.scratch_path(spark, "damage"), ts.scratch_path(spark, "damaged")
-    ts.store_and_verify(docs, path=path).collect()
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("ab <|>endoftx\n")), max_size=12), st.just("a <|endoftext|> b"), st.just("<|endoftext|><|endoftext|>")), max_size=6))
+def test_special_strings_as_their_ids(texts):
+    import pyarrow as pa
+
+    library = Tokenizer.from_file(PATH)
+    want = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    e = ts.encoder(PATH, public_tokenizers.PATTERN, special=True)
+    assert [e(t, 2).tolist() for t in texts] == want
+    assert [x.tolist() for x in e.batch(pa.array(texts, pa.string()), 2)] == want
+
+
+def test_no_end_id(spark, plain):
+    """Documents without ids have a recipe without chunks, and come back."""
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (4, "c")], "doc_id long, text string")
+    path = ts.scratch_path(spark, "no_end")
+    got = ts.store_and_verify(docs, path=path, end_id=None).orderBy("doc_id").collect()
+    n = [len(plain.encode(t).ids) for t in ("a b", "c")]
+    assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(1, 0, n[0]), (2, n[0], 0), (3, n[0], 0), (4, n[0], n[1])]
+    assert [bytes(r.ids) == b"" for r in ts.read_documents(spark, path).orderBy("doc_id").collect()] == [False, True, True, False]
+
+
+def test_manifest_of_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(ts, "WIDTH_BITS", 2)
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(70)], "doc_id long, text string")
+    path = ts.scratch_path(spark, "levels")
+    got = ts.store_and_verify(docs, path=path).collect()
+    levels = {r["level"]: r["count"] for r in spark.read.parquet(f"{path}/manifest").groupBy("level").count().collect()}
+    assert levels == {0: 18, 1: 5, 2: 2, 3: 1}
+    assert ts.verify_manifest(spark, path) == (70, sum(r.n_tokens for r in got))
+
+
+@pytest.mark.parametrize("what", ["chunk", "recipe lost", "recipe twice", "recipe changed", "manifest lost", "manifest changed"])
+def test_damage_is_found(spark, what):
     from pyspark.sql import functions as F
 
-    spark.read.parquet(f"{path}/recipes").write.parquet(f"{other}/recipes")
-    spark.read.parquet(f"{path}/chunks").withColumn("ids", F.lit(b"\x01\x00")).write.parquet(f"{other}/chunks")
-    with pytest.raises(Exception, match="content that it is stored under"):
+    docs = spark.createDataFrame([(1, "some text here"), (2, "more of it")], "doc_id long, text string")
+    path, other = ts.scratch_path(spark, "damage"), ts.scratch_path(spark, "damaged")
+    ts.store_and_verify(docs, path=path).collect()
+    chunks, recipes, manifest = (spark.read.parquet(f"{path}/{k}") for k in ("chunks", "recipes", "manifest"))
+    if what == "chunk":
+        chunks = chunks.withColumn("ids", F.lit(b"\x01\x00"))
+    elif what == "recipe lost":
+        recipes = recipes.where("doc_id = 1")
+    elif what == "recipe twice":
+        recipes = recipes.union(recipes.where("doc_id = 1"))
+    elif what == "recipe changed":
+        recipes = recipes.withColumn("n_tokens", F.col("n_tokens") + 1)
+    elif what == "manifest lost":
+        manifest = manifest.limit(0)
+    else:
+        manifest = manifest.withColumn("root", F.reverse("root"))
+    for k, df in (("chunks", chunks), ("recipes", recipes), ("manifest", manifest)):
+        df.write.parquet(f"{other}/{k}")
+    with pytest.raises(Exception, match="content that it is stored under" if what == "chunk" else "manifest"):
         ts.read_checksums(spark, other).collect()

@@ -2,14 +2,17 @@
 
 Rolling hashes cut each document's id stream into chunks whose borders depend on the ids near them alone, every
 distinct chunk is stored once under its SHA-256, and a recipe per document lists its chunks. A Merkle root over the
-chunk digests seals each recipe; the manifest table seals the recipes. Reading verifies all of it.
+chunk digests seals each recipe; the manifest seals the recipes, in a tree of WIDTH branches. Reading verifies all of it.
 
-Layout under a path: ``chunks/`` (digest, n_ids, ids: little-endian unsigned 16- or 32-bit), ``recipes/`` (doc_id, start,
-n_tokens, digests, lengths, merkle_root; files in ascending doc_id order), ``manifest/`` (one row per recipe
-range: its documents, ids and the Merkle root over its recipes' roots).
+Layout under a path: ``chunks/`` (digest, n_ids, ids: little-endian unsigned 16- or 32-bit), ``recipes/`` (seq, doc_id, start,
+n_tokens, digests, lengths, merkle_root; files in ascending doc_id order), ``manifest/`` (level, node, start, documents, tokens, root:
+at level 0 a row for each WIDTH recipes in order, at each further level one for each WIDTH rows below, up to a single one).
 
-Nulls and odd rows: a null text is an empty one and gives the end id alone; rows with a null doc_id come first;
-repeated doc_ids stay separate documents, ordered by their ids' digest; other columns are ignored, whatever their names.
+Strings of special tokens inside a text are ordinary text, as the vocabulary's own description encodes them
+(encode_special_tokens), so that no document can write a control id; special=True gives them their ids, as Tokenizer.encode does unless told so.
+
+Nulls and odd rows: a null text is an empty one and gives the end id alone (without an end id: no ids, and a recipe without chunks); rows with a
+null doc_id come first; repeated doc_ids stay separate documents, ordered by their ids' digest; other columns are ignored, whatever their names.
 An empty table gives empty tables.
 """
 
@@ -33,6 +36,8 @@ from .common import kept, materialize, only, scratch_path
 WINDOW, MEAN_BITS, LEAST, MOST = 16, 9, 128, 4096
 MEMO = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Branches of the manifest's tree, as a power of two, so that no row grows with the corpus.
+WIDTH_BITS = 10
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
@@ -68,15 +73,17 @@ class Pieces(dict):
 class DocumentEncoder:
     """Whole texts to ids, as tokenizers.Tokenizer.encode(text, add_special_tokens=False) gives them.
 
-    Byte-level BPE never merges across pre-tokens, so texts are cut where the pre-tokenizer cuts for certain, before
+    special: added tokens inside a text get their ids; otherwise they are ordinary text. Byte-level BPE never merges across pre-tokens, so texts are cut where the pre-tokenizer cuts for certain, before
     a single space between two other characters, and what stands between is encoded once and kept.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, special: bool = False):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = not special
+        #: The whole library for texts that hold an added token, where those count.
+        self.whole, self.added = tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()] if special else []
         self.wide = tokenizer.get_vocab_size() > 1 << 16
         self.dtype, self.code = np.dtype("<u4" if self.wide else "<u2"), "I" if self.wide else "H"
         self.model, self.pattern = tokenizer.model, regex.compile(pattern)
@@ -94,6 +101,9 @@ class DocumentEncoder:
         return b"".join(map(self.pre.__getitem__, self.pattern.findall(text)))
 
     def __call__(self, text: str | None, end_id: int | None) -> np.ndarray:
+        if text and any(t in text for t in self.added):
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+            return np.array(ids if end_id is None else [*ids, end_id], self.dtype)
         pieces = text.split(" ") if text else []
         try:
             raw = b"".join([self.first[x] for x in pieces[:1]]) + b"".join(map(self.later.__getitem__, pieces[1:]))
@@ -145,6 +155,8 @@ class DocumentEncoder:
         ids = pool[np.repeat(starts[which] - (ends - sizes), sizes) + np.arange(ends[-1], dtype=np.int32)]
         borders = np.concatenate([[0], ends[at[1:] - 1]])
         plain = np.logical_and.reduceat(known[which], at[:-1])
+        for t in self.added:
+            plain &= ~pc.fill_null(pc.match_substring(texts, t), False).to_numpy(zero_copy_only=False)
         end = np.array([] if end_id is None else [end_id], self.dtype)
         return [np.concatenate([ids[borders[i] : borders[i + 1]], end]) if plain[i] else self(texts[i].as_py(), end_id) for i in range(len(texts))]
 
@@ -156,13 +168,13 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-_ENCODERS: dict[str, DocumentEncoder] = kept("tokens")
+_ENCODERS: dict[tuple[str, bool], DocumentEncoder] = kept("tokens")
 
 
-def encoder(path: str, pattern: str) -> DocumentEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = DocumentEncoder(path, pattern)
-    return _ENCODERS[path]
+def encoder(path: str, pattern: str, special: bool = False) -> DocumentEncoder:
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = DocumentEncoder(path, pattern, special)
+    return _ENCODERS[path, special]
 
 
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
@@ -220,10 +232,10 @@ def merkle_root(digests: list[bytes]) -> bytes:
 _STAGED = "doc_id long, n_tokens long, digests array<binary>, lengths array<int>, merkle_root binary, chunks array<binary>"
 
 
-def _stage(path: str, pattern: str, end_id: int | None):
+def _stage(path: str, pattern: str, end_id: int | None, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("tokens")
-        encode = encoder(path, pattern)
+        encode = encoder(path, pattern, special)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 rows = []
@@ -241,10 +253,10 @@ def _stage(path: str, pattern: str, end_id: int | None):
     return run
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int | None = 2) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int | None = 2, special: bool = False) -> None:
     """Encodes docs(doc_id, text) and writes the store. One scan of the texts; chunks are shuffled once, recipes are small."""
     spark = docs.sparkSession
-    staged = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_stage(tokenizer, pattern, end_id), _STAGED), "staged_ids")
+    staged = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_stage(tokenizer, pattern, end_id, special), _STAGED), "staged_ids")
     (
         staged.select(F.explode(F.arrays_zip("digests", "lengths", "chunks")).alias("c"))
         .groupBy(F.col("c.digests").alias("digest"))
@@ -254,22 +266,55 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id
     ranged = staged.select("doc_id", "n_tokens", "digests", "lengths", "merkle_root")
     ranged = ranged.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("merkle_root")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "merkle_root")
     ranged = materialize(ranged.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "recipes")
-    # Ids before each range: one row per range, however many documents there are.
-    sums = ranged.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    recipes = ranged.join(before, "part").select("part", "place", "doc_id", (F.col("before") + F.coalesce(inside, F.lit(0))).alias("start"), "n_tokens", "digests", "lengths", "merkle_root")
-    recipes.sortWithinPartitions("part", "place").drop("place").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    kept = spark.read.parquet(f"{path}/recipes")
-    root = F.udf(lambda rows: merkle_root([bytes(r["merkle_root"]) for r in rows]), "binary")
-    (
-        # A tree of bounded width: 1024 recipes to a leaf range, so that no row grows with the corpus.
-        kept.withColumn("range", F.floor(F.row_number().over(Window.partitionBy("part").orderBy("start")) / 1024))
-        .groupBy("part", "range")
-        .agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.min("start").alias("start"), F.array_sort(F.collect_list(F.struct("start", "merkle_root"))).alias("roots"))
-        .select("start", "documents", "tokens", root("roots").alias("merkle_root"))
-        .write.parquet(f"{path}/manifest")
+    # Ids and documents before each range: one row per range, however many documents there are.
+    sums = ranged.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("d"))
+    order = Window.orderBy("part")
+    before = sums.select("part", (F.sum("n").over(order) - F.col("n")).alias("before"), (F.sum("d").over(order) - F.col("d")).alias("docs_before"))
+    own = Window.partitionBy("part").orderBy("place")
+    inside = F.sum("n_tokens").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    recipes = ranged.join(before, "part").select(
+        (F.col("docs_before") + F.row_number().over(own) - 1).alias("seq"), "doc_id", (F.col("before") + F.coalesce(inside, F.lit(0))).alias("start"), "n_tokens", "digests", "lengths", "merkle_root", "part"
     )
+    recipes.sortWithinPartitions("part", "seq").drop("part").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    level = materialize(_sealed(_leaves(spark, path)), "manifest")
+    for k in range(60):
+        level.select(F.lit(k).alias("level"), "*").write.mode("append").parquet(f"{path}/manifest")
+        if level.count() < 2:
+            break
+        level = materialize(_sealed(level.withColumnRenamed("node", "seq")), "manifest")
+
+
+def _leaves(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/recipes").select("seq", "start", F.lit(1).cast("long").alias("documents"), F.col("n_tokens").alias("tokens"), F.lower(F.hex("merkle_root")).alias("root"))
+
+
+def _sealed(rows: DataFrame) -> DataFrame:
+    """(seq, start, documents, tokens, root) -> the same of their parents, as node: the SHA-256 of their children's roots and places in order."""
+    child = F.struct("seq", "start", "documents", "tokens", "root")
+    said = F.transform("rows", lambda r: F.concat_ws(" ", r["seq"], r["start"], r["documents"], r["tokens"], r["root"]))
+    grouped = rows.groupBy(F.shiftright("seq", WIDTH_BITS).alias("node")).agg(F.min("start").alias("start"), F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), F.array_sort(F.collect_list(child)).alias("rows"))
+    return grouped.select("node", "start", "documents", "tokens", F.sha2(F.array_join(said, "\n"), 256).alias("root"))
+
+
+def verify_manifest(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(documents, tokens) that the manifest seals. Raises unless every recipe is there, as sealed, and every level seals the one below."""
+    held = spark.read.parquet(f"{path}/manifest")
+    if held.isEmpty():
+        if not _leaves(spark, path).isEmpty():
+            raise ValueError("there are recipes that the manifest does not have")
+        return 0, 0
+    columns = ["node", "start", "documents", "tokens", "root"]
+    top = held.agg(F.max("level")).first()[0]
+    for k in range(top + 1):
+        below = _leaves(spark, path) if not k else held.where(F.col("level") == k - 1).withColumnRenamed("node", "seq")
+        now, sealed = _sealed(below).select(*columns), held.where(F.col("level") == k).select(*columns)
+        odd = now.withColumn("n", F.lit(1)).union(sealed.withColumn("n", F.lit(-1))).groupBy(*columns).agg(F.sum("n").alias("n")).where("n != 0")
+        if not odd.isEmpty():
+            raise ValueError(f"the manifest does not match what lies below its level {k}")
+    last = held.where(F.col("level") == top).collect()
+    if len(last) != 1:
+        raise ValueError("the manifest has no single root")
+    return last[0]["documents"], last[0]["tokens"]
 
 
 def _crc_times(a: int, b: int) -> int:
@@ -318,13 +363,15 @@ def _ids32(raw: bytes, n: int) -> bytes:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole documents rebuilt from the store: doc_id, start, n_tokens, ids (binary, 32-bit little-endian), merkle_root."""
-    refs = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", "merkle_root", F.posexplode("digests").alias("seq", "digest"))
+    verify_manifest(spark, path)
+    refs = spark.read.parquet(f"{path}/recipes").select("seq", "doc_id", "start", "n_tokens", "merkle_root", F.posexplode_outer("digests").alias("at", "digest"))
     chunks = spark.read.parquet(f"{path}/chunks")
-    # A recipe has one row of digests; its chunks are put together by its start, which no other document has.
-    grouped = refs.join(chunks, "digest").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("merkle_root").alias("merkle_root"), F.array_sort(F.collect_list(F.struct("seq", "n_ids", "ids"))).alias("parts"))
+    # A recipe has one row of digests; its chunks are put together by its number, which no other document has.
+    grouped = refs.join(chunks, "digest", "left").groupBy("seq").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.first("merkle_root").alias("merkle_root"), F.array_sort(F.collect_list(F.struct("at", "digest", "n_ids", "ids"))).alias("parts"))
 
     def build(parts, root) -> bytes:
-        if merkle_root([hashlib.sha256(bytes(p["ids"])).digest() for p in parts]) != bytes(root):
+        parts = [p for p in parts if p["digest"] is not None]  # none of an empty document
+        if any(p["ids"] is None for p in parts) or merkle_root([hashlib.sha256(bytes(p["ids"])).digest() for p in parts]) != bytes(root):
             raise ValueError("a document's chunks do not match its Merkle root")
         return b"".join(_ids32(bytes(p["ids"]), p["n_ids"]) for p in parts)
 
@@ -343,19 +390,21 @@ def _verify_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, merkle_root per document, read back and verified.
+    """doc_id, start, n_tokens, ids_crc32, merkle_root per document, read back and verified; the manifest first.
 
     Each chunk is read once where it lies; its CRC-32 and length, not its ids, meet the recipes, since the CRC-32 of a
     whole stream follows from those of its parts.
     """
+    verify_manifest(spark, path)
     found = spark.read.parquet(f"{path}/chunks").select("digest", "n_ids", "ids").mapInArrow(_verify_chunks, "digest binary, n_ids int, crc long")
-    refs = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", "merkle_root", F.posexplode("digests").alias("seq", "digest"))
-    grouped = refs.join(found, "digest", "left").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("merkle_root").alias("merkle_root"), F.array_sort(F.collect_list(F.struct("seq", "n_ids", "crc", "digest"))).alias("parts"))
+    refs = spark.read.parquet(f"{path}/recipes").select("seq", "doc_id", "start", "n_tokens", "merkle_root", F.posexplode_outer("digests").alias("at", "digest"))
+    grouped = refs.join(found, "digest", "left").groupBy("seq").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.first("merkle_root").alias("merkle_root"), F.array_sort(F.collect_list(F.struct("at", "n_ids", "crc", "digest"))).alias("parts"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crcs = []
             for n, root, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                parts = [p for p in parts if p["digest"] is not None]  # none of an empty document
                 if any(p["crc"] is None for p in parts) or sum(p["n_ids"] for p in parts) != n or merkle_root([p["digest"] for p in parts]) != root:
                     raise ValueError("a recipe does not match its chunks or its Merkle root")
                 crcs.append(crc_concat([(p["crc"], 4 * p["n_ids"]) for p in parts]))
@@ -364,10 +413,10 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     return grouped.select("doc_id", "start", "n_tokens", "merkle_root", "parts").mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long, merkle_root binary")
 
 
-def store_and_verify(docs: DataFrame, tokenizer: str | None = None, pattern: str | None = None, end_id: int | None = 2, path: str | None = None) -> DataFrame:
+def store_and_verify(docs: DataFrame, tokenizer: str | None = None, pattern: str | None = None, end_id: int | None = 2, path: str | None = None, special: bool = False) -> DataFrame:
     """Writes docs to a store (in the scratch folder where no path is given) and returns read_checksums of it."""
     import public_tokenizers
 
     path = path or scratch_path(docs.sparkSession, "token_store")
-    write_store(docs, path, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN, end_id)
+    write_store(docs, path, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN, end_id, special)
     return read_checksums(docs.sparkSession, path)
