@@ -497,6 +497,26 @@ def test_wrapped_licenses():
     assert [(p, f) for _, p, f, *_ in license_scan.classify(m, pa.array([two]))] == [(0, "GPL"), (len(gpl), "MIT"), (len(gpl) + 1, "Apache-2.0")]
 
 
+def test_all_paragraphs_are_classified():
+    """All at once, as one by one; and what classify finds on lines of their own against every line tried by brute force."""
+    m = license_scan.Classifier([prose(12, k) for k in range(300)])
+    rng = random.Random(12)
+    stated = [t for ts in license_scan.TEMPLATES.values() for t in ts]
+    lines = [prose(rng.randrange(1, 30), k) for k in range(150)] + [edited(rng.choice(stated), rng.randrange(2, 20), k) for k in range(300)]
+    lines += [prose(6, k) + " " + rng.choice(stated) + " " + prose(6, 900 + k) for k in range(40)] + ["", " ", "v2.0-rc1/x", "(GPL/LGPL)", "é.ü", "MIT", "public domain", rng.choice(stated) * 20]
+    rng.shuffle(lines)
+    chance = m.chances(license_scan.Words(pa.array(lines)))[0]
+    for line, p in zip(lines, chance, strict=True):
+        family, probability = m.predict(line)
+        assert family == "unknown" and (p.argmax() == 0 or p.max() < m.least) or license_scan.FAMILIES[p.argmax()] == family and abs(p.max() - probability) < 1e-9
+    want = [(k, *m.predict(t)) for k, t in enumerate(lines) if m.predict(t)[0] != "unknown" and m.match(m.predict(t)[0], t) >= license_scan.MATCH]
+    got = [(r, f, p) for r, _, f, p, *_ in license_scan.classify(m, pa.array(lines))]
+    assert [x[:2] for x in got] == [(i, f) for i, f, _ in want]
+    together = "\n\n".join(x for x in lines if x)  # in one text, behind blank lines
+    assert len(list(license_scan.classify(m, pa.array([together])))) == len(want)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and len(want) > 150
+
+
 def test_license_families_held_out():
     """Wordings that were not in the training set."""
     m = license_scan.Classifier([prose(12, k) for k in range(300)])

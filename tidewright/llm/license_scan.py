@@ -1,12 +1,12 @@
 """License scans: a trained paragraph classifier.
 
-Paragraphs (lines) are classified by multinomial logistic regression over sparse word 1- to 2-grams into licence
-families or unknown. It is trained here, on the templates below with words left out, put in and replaced, and on paragraphs of a
-bounded sample of the documents as unknown. A temperature and the least probability that counts as known are calibrated on
+Every paragraph (line) is classified by multinomial logistic regression over sparse word 1- to 2-grams into licence
+families or unknown. It is trained here, on the templates below with words left out, put in and replaced, and as unknown on the first line (its first
+FIRST characters) of a bounded sample of the documents, without lines that hold most of a template's words. A temperature and the least probability that counts as known are calibrated on
 held-back training paragraphs. A prediction stands only if it matches a template of its family: the share of
 the template's words, in order, that the paragraph has.
 
-Statements wrapped over lines are found in runs of adjacent lines: those that have the template's words in order, to the same share,
+Statements wrapped over lines are found in runs of adjacent lines where the classifier gives a line, or TOGETHER adjacent ones, a chance of HINT or more to state a licence: those that have the template's words in order, to the same share,
 within twice the template's number of words, foreign words between them included. Lines without a word (blank ones, bare comment marks) part
 runs; comment marks before a line's text are not words of it. The words from the first to the last of the template's are classified and must
 be of its family. A run is reported at its first line, in place of what a line of it alone would state with fewer words of a template;
@@ -28,7 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import Words
+from .batches import Words, segment_sums
+from .common import kept, only
 
 #: How public licences are stated.
 TEMPLATES: dict[str, list[str]] = {
@@ -44,10 +45,14 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0": ["Released into the public domain under CC0 1.0 Universal.", "The author has dedicated the work to the public domain by waiving all rights under the CC0 dedication."],
     "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "Zlib": ["Licensed under the zlib License.", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
+    "EPL-2.0": ["Licensed under the Eclipse Public License, version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
     "All rights reserved": ["Copyright (c) 2020. All rights reserved.", "All rights reserved. No part of this work may be reproduced without permission."],
 }
 FAMILIES = ["unknown", *TEMPLATES]
-VARIANTS, NEGATIVES, STEPS, MATCH = 60, 4000, 200, 0.7
+VARIANTS, NEGATIVES, FIRST, STEPS, MATCH, HINT, TOGETHER = 60, 4000, 300, 200, 0.7, 0.1, 4
 #: Comment marks that are words; others hold no word.
 _MARK = re.compile(r"^\s*(?:@?rem|dnl)(?=\s|$)", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:[.\-+/][^\W_]+)*")
@@ -123,7 +128,62 @@ class Classifier:
             wrong = p[y[held] == 0]
             self.least = float(np.clip(np.quantile(wrong, 0.999) if len(wrong) else 0.5, 0.5, 0.95))
         self.templates = {f: [tokens(t) for t in ts] for f, ts in TEMPLATES.items()}
-        self.anchors = {w for ts in self.templates.values() for t in ts for w in t}
+        self._tables()
+
+    def _tables(self) -> None:
+        """The vocabulary as numbers: of words, and of pairs of them, in order of their numbers."""
+        spelled = sorted({w for g in self.vocabulary for w in g.split(" ")})
+        self.numbers = {w: i for i, w in enumerate(spelled)}
+        n = len(spelled)
+        self.single = np.full(n + 1, -1)
+        pairs = []
+        for g, i in self.vocabulary.items():
+            if " " in g:
+                x, y = g.split(" ")
+                pairs.append((self.numbers[x] * n + self.numbers[y], i))
+            else:
+                self.single[self.numbers[g]] = i
+        self.pairs, self.paired = (np.array(x, np.int64) for x in zip(*sorted(pairs), strict=True)) if pairs else (np.empty(0, np.int64),) * 2
+
+    def chances(self, words: Words, groups: tuple[np.ndarray, ...] = ()) -> list[np.ndarray]:
+        """Of each text of words, all at once, the probability of each family, as predict() has it; then the same of each of
+        groups: for each text the number of the group that it is in, next to the group's others."""
+        known = kept("licences").setdefault(id(self), {})
+        coded = []
+        for w in words.distinct.to_pylist():
+            c = known.get(w)
+            if c is None:
+                if len(known) > 200_000:
+                    known.clear()
+                c = known[w] = [self.numbers.get(t, -1) for t in tokens(w)]
+            coded.append(c)
+        size = np.array([len(c) for c in coded], np.int64)
+        stock, begin = np.array([x for c in coded for x in c], np.int64), np.cumsum(size) - size
+        many = size[words.codes]
+        ends = np.cumsum(many)
+        stream = stock[np.repeat(begin[words.codes] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)] if len(stock) else np.empty(0, np.int64)
+        owner = np.repeat(words.owner(), many)
+        return [self._chances(stream, owner, len(words.at) - 1), *(self._chances(stream, g[owner], int(g.max(initial=-1)) + 1) for g in groups)]
+
+    def _chances(self, stream: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+        n, features = len(self.numbers), len(self.vocabulary) + 1
+        one = self.single[stream]
+        both = np.flatnonzero((stream[:-1] >= 0) & (stream[1:] >= 0) & (owner[:-1] == owner[1:]))
+        two = np.full(len(both), -1)
+        if len(self.pairs):
+            code = stream[both] * n + stream[both + 1]
+            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            two = np.where(self.pairs[at] == code, self.paired[at], -1)
+        held = np.unique(np.concatenate([(owner * features + one)[(one >= 0) & (stream >= 0)], (owner[both] * features + two)[two >= 0]]))
+        text, feature = held // features, held % features
+        count = np.bincount(text, minlength=texts)
+        at = np.searchsorted(text, np.arange(len(count) + 1))
+        total = np.zeros((len(count), len(FAMILIES)))
+        for k in range(len(FAMILIES)):  # a column at a time bounds memory
+            total[:, k] = segment_sums(self.weights[feature, k], at)
+        out = _softmax((total / np.sqrt(np.maximum(count, 1))[:, None] + self.bias) / self.temperature)
+        out[count == 0] = np.eye(len(FAMILIES))[0]
+        return out
 
     def predict(self, text: str) -> tuple[str, float]:
         return self.predict_words(tokens(text))
@@ -196,20 +256,25 @@ class Classifier:
         return out
 
 
-#: Words that some template of each family has and prose hardly does; a paragraph without any states no licence.
-_RARE = {"license", "licensed", "licence", "licenses", "copyright", "rights", "permission", "redistribution", "redistribute", "spdx", "cc0", "mit", "gpl", "lgpl", "agpl", "bsd", "mpl", "isc", "cc", "apache", "mozilla", "gnu", "creative", "commons", "domain"}
-
-
 def classify(model: Classifier, texts: pa.Array) -> Iterator[tuple[int, int, str, float, float, str]]:
     """(row, number of the paragraph, family, probability, template share, paragraph) of each confirmed licence statement."""
     lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
     flat, at = lines.flatten(), lines.offsets.to_numpy() - lines.offsets[0].as_py()
-    words = Words(flat)
-    # Paragraphs that share no telling word with any template are unknown for certain; they need no score.
-    telling = np.array([any(t in _RARE for t in tokens(w)) for w in _candidates(words.distinct)], bool)
-    if not telling.any():
+    # Lines alone, and with their neighbours: TOGETHER lines of a text at a time, and the same half of that further on.
+    inside = np.arange(len(flat)) - np.repeat(at[:-1], np.diff(at))
+    groups = []
+    for shift in (0, TOGETHER // 2):
+        k = (inside + shift) // TOGETHER
+        groups.append(np.cumsum((inside == 0) | np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]) - 1)
+    chance, *joint = model.chances(Words(flat), tuple(groups))
+    hint = 1 - chance[:, 0] >= HINT
+    for g, p in zip(groups, joint, strict=True):
+        hint |= (1 - p[:, 0] >= HINT)[g]
+    marked = np.flatnonzero(hint)
+    if not len(marked):
         return
-    marked = np.unique(np.searchsorted(words.at, np.flatnonzero(telling[words.codes]), "right") - 1)
+    best = chance[marked].argmax(axis=1)
+    sure = set(marked[(best > 0) & (chance[marked, best] >= model.least)].tolist())
     rows = np.searchsorted(at, marked, "right") - 1
     read: dict[int, list[str]] = {}
 
@@ -220,9 +285,11 @@ def classify(model: Classifier, texts: pa.Array) -> Iterator[tuple[int, int, str
 
     reach = 2 * max(len(t) for ts in model.templates.values() for t in ts)
     for row in np.unique(rows).tolist():
-        own = marked[rows == row].tolist()
+        own = [p for p in marked[rows == row].tolist() if words_at(p)]  # lines without words part runs
         single: dict[int, tuple[str, float, float, int]] = {}
         for p in own:
+            if p not in sure:
+                continue
             text = flat[p].as_py()
             family, probability = model.predict(text)
             if family != "unknown" and (share := model.match(family, text)) >= MATCH:
@@ -273,20 +340,13 @@ def _joined(text: str, words: list[str], after: list[str]) -> list[str]:
     return [*words[:at], f"{part}-{after[0]}", part + after[0], *words[at:]]
 
 
-def _candidates(distinct: pa.Array) -> list[str]:
-    """The distinct words, those that hold no telling word blanked out."""
-    low = pc.utf8_lower(distinct)
-    hit = pc.match_substring_regex(low, "|".join(sorted(_RARE)))
-    return pc.if_else(hit, low, "").to_pylist()
-
-
 def train(docs: DataFrame, negatives: int = NEGATIVES) -> Classifier:
-    """Fitted on the templates and the first paragraphs of at most negatives documents, chosen by a hash of doc_id."""
-    n = docs.count()
-    share = min(1.0, 1.5 * negatives / max(n, 1))
-    rows = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, 300).alias("t")).where("t IS NOT NULL").limit(negatives).toArrow().sort_by("doc_id")
-    lines = [x for t in rows.column("t").to_pylist() for x in t.split("\n")[:1] if x.strip()]
-    return Classifier([x for x in lines if not any(w in _RARE for w in tokens(x))])
+    """Fitted on the templates and the first line, FIRST characters of it at most, of at most negatives documents, those of the least hashes of doc_id and text."""
+    h = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(3))
+    first = F.substring(F.substring_index(F.col("text").cast("string"), "\n", 1), 1, FIRST)
+    rows = docs.select(h.alias("h"), first.alias("t")).where("trim(t) != ''").orderBy("h", "t").limit(negatives).toArrow()
+    stated = [set(tokens(t)) for ts in TEMPLATES.values() for t in ts]
+    return Classifier([t for t in rows.column("t").to_pylist() if not any(len(own & s) > 0.5 * len(s) for own in [set(tokens(t))] for s in stated)])
 
 
 def find_licenses(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
@@ -294,9 +354,10 @@ def find_licenses(docs: DataFrame, model: Classifier | None = None) -> DataFrame
     model = model or train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("licences")
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 found = list(classify(model, part.column(1)))
                 take = pa.array([f[0] for f in found], pa.int64())
                 kinds = (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.string())
