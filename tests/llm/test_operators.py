@@ -556,11 +556,27 @@ def test_mix(spark, monkeypatch, epochs, budget):
         assert sum(r.take_tokens < r.n_tokens for r in own) <= 1
         for e in range(tokens // held[leaf]):
             assert sum(r.n_tokens for r in own if r.epoch == e) == held[leaf]
+    # Which documents a prefix holds, by brute force: the leaf's in the epoch's seeded order, until its tokens are spent.
+    ordered = docs.withColumn("mark", F.xxhash64("text")).crossJoin(spark.range(epochs + 1).select(F.col("id").alias("whole")))
+    ordered = ordered.withColumn("order", F.xxhash64(F.lit(9), "whole", "doc_id", "mark")).collect()
+    for leaf, tokens in want.items():
+        epoch, left, prefix = tokens // held[leaf], tokens % held[leaf], []
+        mine = [r for r in ordered if (r.lang, r.source) == leaf and r.whole == epoch and (r.text or "").split()]
+        for r in sorted(mine, key=lambda r: ((r.order >> 20) % 4, r.order)):
+            n = min(left, len(r.text.split()))
+            left -= n
+            prefix += [(r.doc_id, n)] if n else []
+        assert sorted(prefix, key=repr) == sorted([(r.doc_id, r.take_tokens) for r in got if (r.l0, r.l1) == leaf and r.epoch == epoch], key=repr)
     mixed = mixing.mix(docs, [F.col("lang"), F.col("source")], budget, {("en",): 3}, epochs, 9)
     assert mixed.columns == docs.columns and mixed.dtypes == docs.dtypes
     assert sum(len((r.text or "").split()) for r in mixed.collect()) == sum(want.values())
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.plan(docs.repartition(5), [F.col("lang"), F.col("source")], budget, {("en",): 3}, epochs, 9).collect()), key=repr)
     assert mixing.plan(docs.limit(0), [F.col("lang")], budget, {}).count() == 0
+    for hot in (0, 5, 10_000):  # leaves that are too many for the driver: budgeted level by level, with the same result
+        monkeypatch.setattr(mixing, "MOST_LEAVES", 2)
+        monkeypatch.setattr(mixing, "HOT", hot)
+        wide = mixing.plan(docs, [F.col("lang"), F.col("source")], budget, {("en",): 3}, epochs, 9).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, wide), key=repr)
 
 
 def test_batches_of_words():

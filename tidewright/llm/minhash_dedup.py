@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import _odd_powers, join_hot, materialize, mix, only, split_words, window_hashes, without_ids, word_hashes
 from .components import HOT, MOST_HOT, components
 
-POSITIONS, BITS, CHUNKS, RADIUS, SLACK, FAMILY = 64, 16, 10, 19, 40, 1_000_000
+POSITIONS, BITS, CHUNKS, RADIUS, SLACK, FAMILY = 64, 16, 10, 19, 40, 250_000
 _MULTIPLIERS = _odd_powers(POSITIONS, 30_011)
 _BORDERS = np.linspace(0, POSITIONS, CHUNKS + 1).round().astype(int)
 

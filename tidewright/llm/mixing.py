@@ -4,6 +4,9 @@ Documents belong to leaves of a tree (domain, then language, then source). A bud
 no more than its leaves hold in most_epochs passes; what it can't take goes to its siblings by their weights, and only
 what a whole family of siblings can't take goes to their parent's siblings. Shares are rounded to whole tokens by largest remainder.
 
+Up to MOST_LEAVES leaves are budgeted on the driver. Of more, each level is budgeted as a table, the children of a node being one
+task's work (their numbers alone), by the same rule with the same result.
+
 Each leaf then takes its prefix of tokens from seeded epochs: every epoch deals the leaf's documents in an order of its
 own, from a hash of seed, epoch and document; whole epochs first, then a prefix, whose last document is cut. Prefix sums are over
 hash slices of each leaf first and within the one slice that holds the border afterwards, so no task gets a whole leaf.
@@ -16,14 +19,18 @@ gives no rows; other columns are ignored, or kept by mix(), unless they clash wi
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-SLICES, MOST_LEAVES = 1024, 200_000
+#: Hash slices of a leaf: SLICES, more where they would hold more than SLICE rows.
+SLICES, SLICE, MOST_LEAVES, HOT, MOST_HOT = 1024, 100_000, 200_000, 10_000, 20_000
 
 Path = tuple[str | None, ...]
 
@@ -77,6 +84,37 @@ def allocate(budget: int, capacities: dict[Path, int], weights: dict[Path, float
     return out
 
 
+def allocate_wide(budget: int, totals: DataFrame, names: list[str], weights: dict[Path, float]) -> DataFrame:
+    """allocate() for leaves that are too many for the driver. totals(names, capacity) -> names, leaf_budget."""
+    path = lambda row: tuple(row[n] for n in names if n in row)
+    kinds = [f"{n} string" for n in names]
+
+    def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [path(r) for r in batch.select(names).to_pylist()]
+            held = [c if all(weights.get(p[: k + 1], 1) > 0 for k in range(len(p))) else 0 for p, c in zip(rows, batch.column("capacity").to_pylist(), strict=True)]
+            yield batch.set_column(batch.schema.get_field_index("capacity"), "capacity", pa.array(held, pa.int64()))
+
+    def share(columns: list[str]):
+        def run(group: pa.Table) -> pa.Table:
+            rows = group.to_pylist()
+            paths = [path(r) for r in rows]
+            out = shares(rows[0]["leaf_budget"], {p: weights.get(p, 1) for p in paths}, {p: r["capacity"] for p, r in zip(paths, rows, strict=True)})
+            return group.select(columns).append_column("leaf_budget", pa.array([out[p] for p in paths], pa.int64()))
+
+        return run
+
+    held = materialize(totals.select(*names, "capacity").mapInArrow(usable, ", ".join([*kinds, "capacity long"])), "held")
+    most = held.agg(F.sum("capacity")).first()[0] or 0
+    given = held.sparkSession.createDataFrame([(min(budget, most),)], "leaf_budget long")
+    for k in range(len(names)):
+        below = held.groupBy(*names[: k + 1]).agg(F.sum("capacity").alias("capacity"))
+        same = reduce(lambda x, n: x & F.col(f"g.{n}").eqNullSafe(F.col(f"b.{n}")), names[:k], F.lit(True))
+        below = below.alias("b").join(given.alias("g"), same).select("b.*", "leaf_budget")
+        given = materialize(below.withColumn("top", F.lit(0)).groupBy("top", *names[:k]).applyInArrow(share(names[: k + 1]), ", ".join([*kinds[: k + 1], "leaf_budget long"])), "given")
+    return given
+
+
 def words_count(text: str = "text") -> Column:
     """Tokens where nothing else is given: runs of [^\\x20\\x09-\\x0D]."""
     t = F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " ")
@@ -93,31 +131,43 @@ def plan(docs: DataFrame, leaves: list[Column], budget: int | float, weights: di
     carried = [F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.cast("string").alias(n) for c, n in zip(leaves, names, strict=True)], F.coalesce(words_count() if tokens is None else tokens, F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64(F.col("text").cast("string")).alias("mark"), *carried).where("n_tokens > 0")
     sized = materialize(sized, "sized")
-    totals = sized.groupBy(*names).agg(F.sum("n_tokens").alias("n"))
-    if (n := totals.count()) > MOST_LEAVES:
-        raise ValueError(f"{n} leaves; a tree of at most {MOST_LEAVES} can be budgeted")
-    held = {tuple(r[k] for k in names): r["n"] for r in totals.collect()}
-    want = round(budget * sum(held.values())) if isinstance(budget, float) else budget
-    given = allocate(want, {p: n * most_epochs for p, n in held.items()}, weights)
-    rows = [(*p, int(given.get(p, 0)), int(given.get(p, 0)) // n, int(given.get(p, 0)) % n) for p, n in held.items()]
-    budgets = sized.sparkSession.createDataFrame(rows or [(*[None] * len(names), 0, 0, 0)], ", ".join(f"{n} string" for n in names) + ", leaf_budget long, whole long, rest long")
-    same = lambda a, b: [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
-
-    def on(a: str, b: str) -> Column:
-        out = F.lit(True)
-        for c in same(a, b):
-            out = out & c
-        return out
-
-    # At most MOST_LEAVES rows, checked above.
-    ready = sized.alias("s").join(F.broadcast(budgets).alias("b"), on("s", "b")).select("s.*", "leaf_budget", "whole", "rest")
+    totals = materialize(sized.groupBy(*names).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")), "totals")
+    n_leaves, n_tokens, n_docs = totals.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
+    want = round(budget * n_tokens) if isinstance(budget, float) else budget
+    kinds = ", ".join(f"{n} string" for n in names)
+    if n_leaves <= MOST_LEAVES:
+        held = {tuple(r[k] for k in names): r["n"] for r in totals.collect()}
+        given = allocate(want, {p: n * most_epochs for p, n in held.items()}, weights)
+        rows = [(*p, int(given.get(p, 0))) for p in held]
+        given = sized.sparkSession.createDataFrame(rows or [(*[None] * len(names), 0)], kinds + ", leaf_budget long")
+    else:
+        given = allocate_wide(want, totals.withColumn("capacity", F.col("n") * most_epochs), names, weights)
+
+    def same(a: str, b: str) -> Column:
+        return reduce(lambda x, n: x & F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")), names, F.lit(True))
+
+    per = given.alias("g").join(totals.alias("t"), same("g", "t")).select("g.*", "n", "docs")
+    slices = F.greatest(F.lit(SLICES), F.ceil(F.col("docs") / SLICE)).cast("long").alias("slices")
+    budgets = materialize(per.select(*names, "leaf_budget", F.expr("leaf_budget div n").alias("whole"), F.expr("leaf_budget % n").alias("rest"), slices, "docs"), "budgets")
+
+    def at_leaves(rows: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
+        """rows with columns of their leaves. Few leaves are broadcast, of many those with many rows, at most MOST_HOT."""
+        pick = ["r.*", *[f"f.{c}" for c in columns]]
+        join = lambda r, f, how="inner": r.alias("r").join(f.alias("f"), same("r", "f"), how)
+        if n_leaves <= MOST_LEAVES:
+            return join(rows, F.broadcast(facts)).select(*pick)
+        hot = F.col("docs") > max(HOT, n_docs // MOST_HOT)
+        often = F.broadcast(facts.where(hot))
+        return join(rows, often).select(*pick).union(join(join(rows, often, "left_anti"), facts.where(~hot)).select(*pick))
+
+    ready = at_leaves(sized, budgets, "leaf_budget", "whole", "rest", "slices", "docs")
     order = F.xxhash64(F.lit(seed), "whole", "doc_id", "mark")
-    ready = ready.withColumn("order", order).withColumn("slice", F.pmod(F.shiftright("order", 20), F.lit(SLICES)).cast("int"))
+    ready = ready.withColumn("order", order).withColumn("slice", F.pmod(F.shiftright("order", 20), F.col("slices")).cast("int"))
     full = ready.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole").cast("int") - 1))).withColumn("take_tokens", F.col("n_tokens"))
-    slices = ready.where("rest > 0").groupBy(*names, "slice").agg(F.sum("n_tokens").alias("n"), F.max("rest").alias("rest"))
+    slices = ready.where("rest > 0").groupBy(*names, "slice").agg(F.sum("n_tokens").alias("n"), F.max("rest").alias("rest"), F.max("docs").alias("docs"))
     before = slices.withColumn("before", F.sum("n").over(Window.partitionBy(*names).orderBy("slice")) - F.col("n")).where("before < rest")
-    last = before.where("before + n >= rest").select(*names, F.col("slice").alias("cut"), "before")
-    partial = ready.where("rest > 0").alias("r").join(F.broadcast(last).alias("c"), on("r", "c")).select("r.*", "cut", "before").where("slice <= cut")  # one row per leaf
+    last = before.where("before + n >= rest").select(*names, F.col("slice").alias("cut"), "before", "docs")  # one row per leaf
+    partial = at_leaves(ready.where("rest > 0"), materialize(last, "cuts"), "cut", "before").where("slice <= cut")
     inside = partial.where("slice = cut").withColumn("sum_", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*names).orderBy("order", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, 0)))
     border = inside.where("sum_ - n_tokens < rest").withColumn("take_tokens", F.least("n_tokens", F.col("rest") - (F.col("sum_") - F.col("n_tokens"))))
     columns = ["doc_id", *names, "epoch", "n_tokens", "take_tokens", "leaf_budget", *(["kept"] if keep else [])]
