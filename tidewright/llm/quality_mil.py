@@ -5,7 +5,7 @@ how its words repeat (next to each other, within it, and of what the document sa
 Gated attention, w . (tanh(V e) * sigmoid(U e)), learned from document labels alone, weighs the passages; the score is a logistic function of the
 weighted mean of their encodings.
 
-Fitted on at most BAGS labelled documents, chosen by a hash of doc_id, at most BAG passages of each, evenly spaced; scoring takes every
+Fitted on at most BAGS labelled documents, chosen by a hash of doc_id, at most BAG passages of each, evenly spaced (of a repeated doc_id, the texts of least hash); scoring takes every
 passage. Neither labels, lang, source nor doc_id is an input of a score.
 
 Nulls and odd rows: a null text is an empty one, an empty passage, and is scored; a null doc_id is scored and never learned
@@ -138,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, bags: int = BAGS) -> Model:
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("y")).where("label_id IS NOT NULL AND y IN (0, 1)").where(~held_out("label_id"))
     chosen = known.orderBy(F.xxhash64("label_id", F.lit(17)), "label_id", "y").limit(bags)  # bounded by the parameter, so it may be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    rows = rows.orderBy(F.xxhash64("doc_id", F.lit(17)), F.xxhash64("text"), "y").limit(bags)  # a repeated doc_id does not make them more
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, bags: int = BAGS) -> Model:
                 bags = [b if len(b) <= BAG else b[np.linspace(0, len(b) - 1, BAG).astype(int)] for b in bags]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([b.astype(np.float32).tobytes() for b in bags], pa.binary())], ["doc_id", "y", "bag"])
 
-    found = rows.select("doc_id", "y", "text").mapInArrow(encode, "doc_id long, y int, bag binary").limit(bags).toArrow()
+    found = rows.select("doc_id", "y", "text").mapInArrow(encode, "doc_id long, y int, bag binary").toArrow()
     found = found.sort_by([("doc_id", "ascending"), ("y", "ascending")])
     if not found.num_rows:
         return Model()
@@ -157,9 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, bags: int = BAGS) -> Model:
     return train(np.concatenate(parts).astype(np.float64), owner, found.column("y").to_numpy().astype(float))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score in place of any of that name; every passage of every text."""
-    columns = [c for c in docs.columns if c != "score"]
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column of the scores, in place of any of that name; every passage of every text."""
+    columns = [c for c in docs.columns if c != name]
     where = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +169,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 owner, x = encode_passages(part.column(where).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(x, owner, part.num_rows), pa.float64())], [*columns, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(x, owner, part.num_rows), pa.float64())], [*columns, name])
 
     plain = docs.select(*columns)
-    return plain.mapInArrow(run, plain.withColumn("score", F.lit(0.0)).schema)
+    return plain.mapInArrow(run, plain.withColumn(name, F.lit(0.0)).schema)
