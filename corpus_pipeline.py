@@ -1,7 +1,14 @@
 """A pipeline over documents: quality, near duplicates, benchmark leaks, mixture, token store.
 
-Every stage takes what its predecessor kept, as written and read again, and all but the last return the columns of documents.
-A row with a null doc_id passes the filters; an empty table gives empty tables.
+Every stage takes all that its predecessor kept, as written and read again, and all but the last return the columns of documents.
+
+quality keeps a row whose text scores QUALITY or more; near_dedup one document of each group of near duplicates, that of the smallest doc_id;
+decontaminate rows whose text holds no benchmark item; mix the documents that fill 0.9 of the tokens by weight; tokens one row for each document stored.
+
+Nulls and odd rows: a null text is an empty one: it is scored like others, has no near duplicate, holds no item, has no tokens and so ends at
+mix. A row with a null doc_id is judged by its text, and is no one's near duplicate. Rows that repeat a doc_id are scored, searched and mixed each by its own text; near_dedup
+keeps all of them or none. Exact copies tie: the smallest doc_id stays. Texts of any length are read whole. More columns, whatever
+their names (score, gone, leak_ and the like), pass through unchanged up to the last stage. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -10,15 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import decontamination, minhash_dedup, mixing, quality_mil, token_store
-from tidewright.llm.common import materialize, table
+from tidewright.llm.common import fresh, materialize, table
 from tidewright.llm.queries import MIX_WEIGHTS, mix_leaves
 
 QUALITY = 0.7
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality_mil.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_mil.score(docs, model).where(F.col("score") >= QUALITY).select(*docs.columns)
+    model, name = quality_mil.fit(docs, table(spark, sf_dir, "labels")), fresh("score", docs.columns)
+    return quality_mil.score(docs, model, name).where(F.col(name) >= QUALITY).drop(name)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
