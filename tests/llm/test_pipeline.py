@@ -80,6 +80,29 @@ def test_run_is_the_stages(spark, stages):
     assert sorted(map(tuple, entry.queries()["pipeline"](spark, SF).collect())) == sorted(map(tuple, stages["tokens"].collect()))
 
 
+def test_odd_rows(spark):
+    """Nulls, repeated ids, ties, a very long text and columns named as those used inside go through every stage."""
+    base = [r.asDict() for r in table(spark, SF, "documents").limit(40).collect()]
+    good = max(base, key=lambda r: len(r["text"] or ""))
+    item = table(spark, SF, "benchmark").first().text
+    more = [{**good, "doc_id": i, "text": t} for i, t in ((9001, None), (9002, ""), (None, good["text"]), (9003, good["text"]), (9003, "other words " * 40), (9004, good["text"] * 30), (9005, good["text"] + " " + item), (None, None))]
+    kind = table(spark, SF, "documents").schema
+    extra = {"score": -5.0, "gone": 1, "gone_": 2, "leak_": 3, "kept": 4, "slice": 5, "whole": 6, "docs": 7, "block": 8}
+    names = ", ".join(f"{k} {'double' if k == 'score' else 'int'}" for k in extra)
+    rows = [(*[r[c] for c in kind.names], *extra.values()) for r in base + more]
+    docs = spark.createDataFrame(rows, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind.fields) + ", " + names)
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, materialize(stage(spark, docs, SF), name)
+        seen[name] = docs
+        if name != "tokens":
+            assert docs.dtypes == before.dtypes and all(tuple(r)[len(kind.names) :] == tuple(extra.values()) for r in docs.collect())
+    assert 9005 not in {r.doc_id for r in seen["decontaminate"].collect()}
+    ids = [r.doc_id for r in seen["near_dedup"].collect()]
+    assert good["doc_id"] in ids and 9003 not in ids or good["doc_id"] not in {r.doc_id for r in seen["quality"].collect()}
+    assert all(r.text for r in seen["mix"].collect()) and seen["tokens"].count() == seen["mix"].count()
+
+
 def test_empty(spark):
     docs = table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
