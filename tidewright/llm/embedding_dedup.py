@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import MOST_BROADCAST, materialize
-from .components import components
+from .components import UnionFind, components
 
 TREES, SPILL, LEAF, GROUP, SAMPLE, FITTED = 3, 0.5, 192, 4096, 20_000, 8
 
@@ -157,7 +157,7 @@ def split(ids: np.ndarray, vectors: np.ndarray, threshold: float, rng: np.random
         p = vectors @ (d := rng.standard_normal(vectors.shape[1])) / np.linalg.norm(d)
         gap, near_by = p - np.median(p), spill(threshold, vectors.shape[1])
         left, right = gap <= near_by, gap > -near_by
-        if max(left.sum(), right.sum()) < 0.9 * len(ids):
+        if left.sum() + right.sum() < 1.2 * len(ids):  # what lies too close to be parted is compared as it is
             split(ids[left], vectors[left], threshold, rng, out, depth + 1)
             split(ids[right], vectors[right], threshold, rng, out, depth + 1)
             return
@@ -170,8 +170,11 @@ def _compare(threshold: float):
         vectors = unpacked(group.column("raw").to_pylist())
         out: list[np.ndarray] = [np.empty((2, 0), np.int64)]
         split(ids, vectors, threshold, np.random.default_rng([104_729, group.column("tree")[0].as_py()]), out)
-        src, dst = np.concatenate(out, axis=1)
-        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+        # Leaves overlap: of their links, no more than one for each vector is needed.
+        ends, at = np.unique(np.concatenate(out, axis=1), return_inverse=True)
+        uf = UnionFind(len(ends))
+        links = [(x, y) for x, y in at.reshape(2, -1).T.tolist() if uf.join(x, y)]
+        return pa.table({"src": pa.array([ends[x] for x, _ in links], pa.int64()), "dst": pa.array([ends[y] for _, y in links], pa.int64())})
 
     return run
 
