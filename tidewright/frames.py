@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql.window import WindowSpec
 from pyspark.sql import functions as F
 
 IDENTIFIER = re.compile(r"[A-Za-z_-][A-Za-z0-9_-]*")
@@ -51,30 +53,124 @@ def lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("q"), (F.col("l_discount") * 10).alias("d"), (F.col("l_tax") * 10).alias("x"), (F.col("l_extendedprice") / 1e5).alias("y"))
 
 
-def neighbours(df: DataFrame, columns: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """df with prev_<c> and next_<c> of t and columns, in order of t within each series.
+#: Bins of time in which the rows of a long series are counted, and again in a bin that alone holds too many.
+FINE = 4096
 
-    If every series has at most chunk_rows rows (counted first), that is one window. Else series are cut into chunks of
-    time, so that even one that holds all rows is many tasks; the rows at the borders come from a table of each
-    chunk's first and last rows.
+
+def largest_series(df: DataFrame) -> int:
+    return df.groupBy(KEY).count().agg(F.max("count")).first()[0] or 0
+
+
+def _binned(df: DataFrame, keys: list[str], name: str, chosen: DataFrame | None = None) -> DataFrame:
+    """df with the bin, of FINE, of t between the first and the last of its keys; 0 for keys that are not among the chosen."""
+    rows = df if chosen is None else df.join(F.broadcast(chosen), keys, "left_semi")
+    span = rows.groupBy(*keys).agg(F.min(TIME).alias("lo_"), F.max(TIME).alias("hi_"))
+    wide = F.col("hi_") > F.col("lo_")
+    place = F.when(wide, F.least(F.floor((F.col(TIME) - F.col("lo_")) / (F.col("hi_") - F.col("lo_")) * FINE), F.lit(FINE - 1))).otherwise(0)
+    return df.join(span if chosen is None else F.broadcast(span), keys, "left").select(*df.columns, F.coalesce(place, F.lit(0)).cast("int").alias(name))
+
+
+def chunked(df: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+    """df with chunk_, from 0, in order of t within each series: stretches of about chunk_rows rows, however t is spread.
+
+    Rows are counted in FINE bins of each series' time, those of a bin with more than chunk_rows in FINE bins of its own, and so on until none
+    holds more but at a single instant; stretches of bins make chunks. Bins that are parted again are at most rows / chunk_rows.
+    """
+    chunk_rows = chunk_rows or CHUNK_ROWS
+    bins, binned = ["bin0_"], _binned(df, [KEY], "bin0_")
+    while True:
+        full = binned.groupBy(KEY, *bins).agg(F.count("*").alias("n_"), F.min(TIME).alias("a_"), F.max(TIME).alias("b_"))
+        full = full.where((F.col("n_") > chunk_rows) & (F.col("a_") < F.col("b_"))).select(KEY, *bins)
+        if full.isEmpty():
+            break
+        bins, binned = [*bins, f"bin{len(bins)}_"], _binned(binned, [KEY, *bins], f"bin{len(bins)}_", full)
+    cells = binned.groupBy(KEY, *bins).agg(F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy(KEY).orderBy(*bins)) - F.col("n_")  # at most FINE rows, and FINE for each bin parted again
+    cells = cells.select(KEY, *bins, F.floor(before / chunk_rows).cast("long").alias("chunk_"))
+    return binned.join(cells, [KEY, *bins]).select(*df.columns, "chunk_")
+
+
+def numbered(df: DataFrame, name: str = "rn_", chunk_rows: int | None = None) -> DataFrame:
+    """df with the number of each row, from 0, in order of t within its series. Long series are numbered in chunks, whose counts give their first numbers."""
+    chunk_rows = chunk_rows or CHUNK_ROWS
+    if largest_series(df) <= chunk_rows:
+        return df.withColumn(name, F.row_number().over(series_window()).cast("long") - 1)
+    cut = chunked(df, chunk_rows)
+    counts = cut.groupBy(KEY, "chunk_").agg(F.count("*").alias("n_"))
+    first = counts.select(KEY, "chunk_", (F.sum("n_").over(Window.partitionBy(KEY).orderBy("chunk_")) - F.col("n_")).alias("first_"))  # one row a chunk
+    inside = F.row_number().over(Window.partitionBy(KEY, "chunk_").orderBy(TIME))
+    return cut.withColumn("in_", inside).join(first, [KEY, "chunk_"]).select(*df.columns, (F.col("first_") + F.col("in_") - 1).alias(name))
+
+
+def running_sum(df: DataFrame, column: str, name: str, chunk_rows: int | None = None) -> DataFrame:
+    """df with rn_, the number of each row in its series, and the sum of column over the rows before it."""
+    rows = numbered(df, "rn_", chunk_rows)
+    size = chunk_rows or CHUNK_ROWS
+    rows = rows.withColumn("block_", F.floor(F.col("rn_") / size))
+    sums = rows.groupBy(KEY, "block_").agg(F.sum(column).alias("b_"))
+    before = sums.select(KEY, "block_", F.sum("b_").over(Window.partitionBy(KEY).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)).alias("a_"))  # one row a block
+    inside = F.sum(column).over(Window.partitionBy(KEY, "block_").orderBy("rn_").rowsBetween(Window.unboundedPreceding, -1))
+    out = rows.withColumn("s_in_", inside).join(before, [KEY, "block_"])
+    return out.select(*df.columns, "rn_", (F.coalesce("a_", F.lit(0.0)) + F.coalesce("s_in_", F.lit(0.0))).alias(name))
+
+
+def within_rows(df: DataFrame, before: int, after: int, add: Callable[[DataFrame, WindowSpec], DataFrame], chunk_rows: int | None = None) -> DataFrame:
+    """add(rows, window) where the window looks at most before rows back and after rows ahead.
+
+    Series of at most chunk_rows rows are one window each. Longer ones are cut into blocks of so many rows; the rows at a block's borders go
+    to its neighbours, too, and are left out of what those give back.
+    """
+    size = max(chunk_rows or CHUNK_ROWS, before + after, 1)
+    if largest_series(df) <= size:
+        return add(df, series_window())
+    rows = numbered(df, "rn_", size)
+    home = F.floor(F.col("rn_") / size)
+    low, high = F.floor((F.col("rn_") - after) / size), F.floor((F.col("rn_") + before) / size)
+    copies = rows.select("*", home.alias("home_"), F.explode(F.sequence(low, high)).alias("block_"))
+    out = add(copies, Window.partitionBy(KEY, "block_").orderBy("rn_")).where("home_ = block_")
+    return out.drop("rn_", "home_", "block_")
+
+
+def nearest_known(df: DataFrame, value: Column, back: str | None, ahead: str | None, order: tuple[list[Column], list[Column]] | None = None, chunk_rows: int | None = None) -> DataFrame:
+    """df with the last non-null value at or before each row (column back) and the next at or after it (ahead), in order of t
+    (order: how rows are ordered forwards and backwards, where t alone does not say).
+
+    Both are running values of one sort, the next one of the order reversed. A long series is cut into chunks; what
+    earlier and later chunks know last and first is one row a chunk.
     """
+    up, down = order or ([F.col(TIME).asc()], [F.col(TIME).desc()])
+    running = lambda keys, way: F.last("v_", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*way).rowsBetween(Window.unboundedPreceding, 0))
+    rows = df.withColumn("v_", value)
+    if largest_series(df) <= (chunk_rows or CHUNK_ROWS):
+        for name, way in ((back, up), (ahead, down)):
+            if name:
+                rows = rows.withColumn(name, running([KEY], way))
+        return rows.drop("v_")
+    rows, keys = chunked(rows, chunk_rows), [KEY, "chunk_"]
+    known = rows.where(F.col("v_").isNotNull()).groupBy(*keys).agg(F.max_by("v_", TIME).alias("last_"), F.min_by("v_", TIME).alias("first_"))
+    along = rows.select(*keys).distinct().join(known, keys, "left")
+    w = Window.partitionBy(KEY).orderBy("chunk_")  # one row a chunk
+    v = Window.partitionBy(KEY).orderBy(F.desc("chunk_"))
+    along = along.select(*keys, F.last("last_", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before_"), F.last("first_", ignorenulls=True).over(v.rowsBetween(Window.unboundedPreceding, -1)).alias("after_"))
+    for name, way in ((back, up), (ahead, down)):
+        if name:
+            rows = rows.withColumn(name, running(keys, way))
+    rows = rows.join(along, keys)
+    for name, more in ((back, "before_"), (ahead, "after_")):
+        if name:
+            rows = rows.withColumn(name, F.coalesce(name, more))
+    return rows.drop("v_", "chunk_", "before_", "after_")
+
+
+def neighbours(df: DataFrame, columns: list[str], chunk_rows: int | None = None) -> DataFrame:
+    """df with prev_<c> and next_<c> of t and columns, in order of t within each series."""
     names, row = [TIME, *columns], F.struct(TIME, *columns)
-    largest = df.groupBy(KEY).count().agg(F.max("count")).first()[0] or 0
-    if largest <= chunk_rows:
-        w = series_window()
-        out = df.select(*df.columns, F.lag(row).over(w).alias("p_"), F.lead(row).over(w).alias("n_"))
-        return out.select(*df.columns, *[F.col("p_")[c].alias(f"prev_{c}") for c in names], *[F.col("n_")[c].alias(f"next_{c}") for c in names])
-    stats = df.groupBy(KEY).agg(F.min(TIME).alias("lo_"), F.max(TIME).alias("hi_"), F.count("*").alias("n_"))
-    stats = stats.select(KEY, "lo_", ((F.col("hi_") - F.col("lo_")) / F.ceil(F.col("n_") / chunk_rows)).alias("w_"))
-    chunk = F.when(F.col("w_") > 0, F.floor((F.col(TIME) - F.col("lo_")) / F.col("w_"))).otherwise(0)
-    cut = df.join(stats, KEY).select(*df.columns, chunk.alias("chunk_"))
-    inside = Window.partitionBy(KEY, "chunk_").orderBy(TIME)
-    ends = cut.groupBy(KEY, "chunk_").agg(F.max_by(row, TIME).alias("last_"), F.min_by(row, TIME).alias("first_"))
-    along = Window.partitionBy(KEY).orderBy("chunk_")  # one row a chunk
-    ends = ends.select(KEY, "chunk_", F.lag("last_").over(along).alias("before_"), F.lead("first_").over(along).alias("after_"))
-    out = cut.select(*cut.columns, F.lag(row).over(inside).alias("p_"), F.lead(row).over(inside).alias("n_")).join(ends, [KEY, "chunk_"])
-    prev, next_ = F.coalesce("p_", "before_"), F.coalesce("n_", "after_")
-    return out.select(*df.columns, *[prev[c].alias(f"prev_{c}") for c in names], *[next_[c].alias(f"next_{c}") for c in names])
+
+    def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        return rows.withColumn("p_", F.lag(row).over(w)).withColumn("n_", F.lead(row).over(w))
+
+    out = within_rows(df, 1, 1, add, chunk_rows)
+    return out.select(*df.columns, *[F.col("p_")[c].alias(f"prev_{c}") for c in names], *[F.col("n_")[c].alias(f"next_{c}") for c in names])
 
 
 def violations(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import KEY, TIME, neighbours
+from ..frames import KEY, TIME, neighbours, within_rows
 from .features import Term
 from .gram import gram
 
@@ -21,9 +21,8 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def lag_correlations(df: DataFrame, left: str, right: str, most: int) -> DataFrame:
     """(series_id, lag, n, pearson) for lags from -most to most: left now with right lag rows later."""
-    w = Window.partitionBy(KEY).orderBy(TIME)
     # Each row makes one row a lag, so all lags come from one window and one aggregate.
-    shifted = df.select(KEY, F.col(left).alias("l_"), *[F.lead(right, k).over(w).alias(f"r{k + most}_") for k in range(-most, most + 1)])
+    shifted = within_rows(df.select(KEY, TIME, F.col(left).alias("l_"), F.col(right).alias("v_")), most, most, lambda rows, w: rows.withColumns({f"r{k + most}_": F.lead("v_", k).over(w) for k in range(-most, most + 1)}))
     p = shifted.select(KEY, "l_", F.posexplode(F.array(*[f"r{k}_" for k in range(2 * most + 1)])).alias("k_", "r_")).select(KEY, (F.col("k_") - most).alias("lag"), "l_", "r_").dropna()
     return p.groupBy(KEY, "lag").agg(F.count("*").alias("n"), F.corr("l_", "r_").alias("pearson"))
 
@@ -47,9 +46,8 @@ def mutual_information(df: DataFrame, a: str, b: str, bins: int = 16) -> DataFra
 
 def granger(df: DataFrame, cause: str, effect: str, lag: int = 1) -> dict[str, float]:
     """F of lagged effect alone against lagged effect and cause; from the Gram of one window pass."""
-    w = Window.partitionBy(KEY).orderBy(TIME)
-    lags = [F.lag(c, k).over(w).alias(f"{c}_{k}") for c in (effect, cause) for k in range(1, lag + 1)]
-    rows = df.select(F.col(effect).alias("y_"), *lags).dropna()
+    add = lambda rows, w: rows.withColumns({f"{c}_{k}": F.lag(c, k).over(w) for c in (effect, cause) for k in range(1, lag + 1)})
+    rows = within_rows(df.select(KEY, TIME, effect, cause), lag, 0, add).withColumn("y_", F.col(effect)).drop(KEY, TIME, effect, cause).dropna()
     terms: list[Term] = [("1", F.lit(1.0)), *((f"{c}_{k}", F.col(f"{c}_{k}")) for c in (effect, cause) for k in range(1, lag + 1))]
     m = gram(rows, terms, [("y", F.col("y_"))])
     if m.n < 12:

@@ -6,8 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from ..frames import KEY, TIME, neighbours, series_window
+from ..frames import KEY, TIME, neighbours, within_rows
 
 
 def finite_difference(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -26,8 +27,11 @@ def savitzky_golay(df: DataFrame, column: str, window: int = 5) -> DataFrame:
     """d_<column>: slope of a local quadratic over window rows; at the ends the window is shifted, not cut."""
     if window < 3 or window % 2 == 0:
         raise ValueError("the window must be odd and at least 3")
+    return within_rows(df, window - 1, window - 1, lambda rows, w: _savitzky_golay(rows, column, window, w))
+
+
+def _savitzky_golay(df: DataFrame, column: str, window: int, w: WindowSpec) -> DataFrame:
     r = window // 2
-    w = series_window()
     rows = F.collect_list(F.struct(F.col(TIME).alias("t"), F.col(column).alias("v"))).over(w.rowsBetween(1 - window, window - 1))
     before, after = F.count("*").over(w.rowsBetween(1 - window, -1)), F.count("*").over(w.rowsBetween(1, window - 1))
     b = df.withColumn("rows_", rows).withColumn("before_", before).withColumn("after_", after)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import KEY, TIME
+from ..frames import KEY, TIME, within_rows
 
 Term = tuple[str, Column]
 
@@ -61,8 +61,8 @@ def design(df: DataFrame, terms: list[Term], keep: list[str]) -> DataFrame:
 
 def delay_embedding(df: DataFrame, column: str, delays: list[int]) -> DataFrame:
     """<column>_<d> for each delay in rows, without the rows that lack one."""
-    w = Window.partitionBy(KEY).orderBy(TIME)
-    out = df.select(KEY, TIME, *[F.lag(column, d).over(w).alias(f"{column}_{d}") for d in delays])
+    add = lambda rows, w: rows.withColumns({f"{column}_{d}": F.lag("v_", d).over(w) for d in delays})
+    out = within_rows(df.select(KEY, TIME, F.col(column).alias("v_")), max(delays, default=0), 0, add).drop("v_")
     return out.dropna(subset=[f"{column}_{d}" for d in delays])
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import KEY, TIME, neighbours, series_window, value_columns
+from ..frames import KEY, TIME, nearest_known, neighbours, numbered, value_columns, within_rows
+from .profile import quantiles_by
 
 
 def trim(df: DataFrame, start: float, end: float) -> DataFrame:
@@ -42,16 +43,15 @@ def moving_average(df: DataFrame, column: str, radius: int) -> DataFrame:
     """Centred mean over radius rows to either side, cut at the ends."""
     if radius < 1:
         raise ValueError("radius must be positive")
-    return df.withColumn(f"ma_{column}", F.avg(column).over(series_window().rowsBetween(-radius, radius)))
+    return within_rows(df, radius, radius, lambda rows, w: rows.withColumn(f"ma_{column}", F.avg(column).over(w.rowsBetween(-radius, radius))))
 
 
 def winsorize(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
-    q = df.groupBy(KEY).agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("q_"))
-    return df.join(q, KEY).withColumn(f"w_{column}", F.greatest(F.least(F.col(column), F.col("q_")[1]), F.col("q_")[0])).drop("q_")
+    return df.join(quantiles_by(df, column, [KEY], (low, high), "q_"), KEY).withColumn(f"w_{column}", F.greatest(F.least(F.col(column), F.col("q_")[1]), F.col("q_")[0])).drop("q_")
 
 
 def impute_forward(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(f"filled_{column}", F.last(column, ignorenulls=True).over(series_window().rowsBetween(Window.unboundedPreceding, 0)))
+    return nearest_known(df, F.col(column), f"filled_{column}", None)
 
 
 def impute_mean(df: DataFrame, column: str) -> DataFrame:
@@ -61,9 +61,7 @@ def impute_mean(df: DataFrame, column: str) -> DataFrame:
 
 def impute_linear(df: DataFrame, column: str) -> DataFrame:
     """Between the nearest known values; nulls before the first or after the last stay null (the caller decides if that is an error)."""
-    known = F.when(F.col(column).isNotNull(), F.struct(TIME, column))
-    w = series_window()
-    out = df.withColumn("a_", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b_", F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    out = nearest_known(df, F.when(F.col(column).isNotNull(), F.struct(TIME, column)), "a_", "b_")
     line = F.col("a_")[column] + (F.col("b_")[column] - F.col("a_")[column]) * (F.col(TIME) - F.col("a_")[TIME]) / (F.col("b_")[TIME] - F.col("a_")[TIME])
     return out.withColumn(f"filled_{column}", F.coalesce(column, line)).drop("a_", "b_")
 
@@ -88,9 +86,8 @@ def align(df: DataFrame, targets: DataFrame, column: str, clamp: bool = True) ->
     """
     known = F.when(F.col("own_"), F.struct(F.col(TIME).alias("t"), F.col("v_").alias("v")))
     both = df.select(KEY, TIME, F.col(column).alias("v_"), F.lit(True).alias("own_")).union(targets.select(KEY, TIME, F.lit(None).cast("double"), F.lit(False)))
-    w = Window.partitionBy(KEY).orderBy(TIME, F.col("own_").desc())
-    back = Window.partitionBy(KEY).orderBy(TIME, F.col("own_").asc())
-    out = both.withColumn("a_", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b_", F.first(known, ignorenulls=True).over(back.rowsBetween(0, Window.unboundedFollowing)))
+    # Of rows at one time, the known one comes first, either way.
+    out = nearest_known(both, known, "a_", "b_", ([F.col(TIME).asc(), F.col("own_").desc()], [F.col(TIME).desc(), F.col("own_").desc()]))
     a, b = F.col("a_"), F.col("b_")
     inside = F.when(a["t"] == b["t"], a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col(TIME) - a["t"]) / (b["t"] - a["t"]))
     value = F.when(a.isNotNull() & b.isNotNull(), inside)
@@ -98,15 +95,15 @@ def align(df: DataFrame, targets: DataFrame, column: str, clamp: bool = True) ->
 
 
 def batches(df: DataFrame, size: int) -> DataFrame:
-    return df.withColumn("batch", F.floor((F.row_number().over(series_window()) - 1) / size))
+    return numbered(df).withColumn("batch", F.floor(F.col("rn_") / size)).drop("rn_")
 
 
 def sliding_windows(df: DataFrame, width: int, step: int, column: str) -> DataFrame:
     """Complete windows of width rows, every step rows: (series_id, window, start_t, end_t, n, mean)."""
-    r = df.withColumn("r_", F.row_number().over(series_window()) - 1)
-    n = r.groupBy(KEY).agg(F.max("r_").alias("n_"))
-    low = F.greatest(F.lit(0), F.ceil((F.col("r_") - width + 1) / step))
-    high = F.least(F.floor(F.col("r_") / step), F.floor((F.col("n_") + 1 - width) / step))
+    r = numbered(df)
+    n = r.groupBy(KEY).agg(F.max("rn_").alias("n_"))
+    low = F.greatest(F.lit(0), F.ceil((F.col("rn_") - width + 1) / step))
+    high = F.least(F.floor(F.col("rn_") / step), F.floor((F.col("n_") + 1 - width) / step))
     e = r.join(n, KEY).where(low <= high).withColumn("window", F.explode(F.sequence(low, high)))
     return e.groupBy(KEY, "window").agg(F.min(TIME).alias("start_t"), F.max(TIME).alias("end_t"), F.count("*").alias("n"), F.avg(column).alias("mean"))
 

@@ -4,20 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import KEY, TIME
+from ..frames import KEY, TIME, running_sum
 
 
 def binary_split(df: DataFrame, column: str, least: int = 3) -> DataFrame:
     """(series_id, split_at, gain): the split of most reduction of squared error, the first on ties; from prefix sums."""
-    w = Window.partitionBy(KEY).orderBy(TIME)
-    run = w.rowsBetween(Window.unboundedPreceding, -1)
     mean = df.groupBy(KEY).agg(F.avg(column).alias("m_"), F.count("*").alias("n_"))
     c = df.join(mean, KEY).withColumn("v_", F.col(column) - F.col("m_"))
     total = c.groupBy(KEY).agg(F.sum("v_").alias("t_"), F.sum(F.col("v_") * F.col("v_")).alias("q_"))
-    p = c.select(KEY, "n_", (F.row_number().over(w) - 1).alias("k_"), F.sum("v_").over(run).alias("s_"))
+    p = running_sum(c, "v_", "s_").select(KEY, "n_", F.col("rn_").alias("k_"), "s_")
     p = p.join(total, KEY).where((F.col("k_") >= least) & (F.col("n_") - F.col("k_") >= least))
     gain = F.col("s_") * F.col("s_") / F.col("k_") + F.pow(F.col("t_") - F.col("s_"), 2) / (F.col("n_") - F.col("k_")) - F.col("t_") * F.col("t_") / F.col("n_")
     return p.select(KEY, "k_", gain.alias("gain")).groupBy(KEY).agg(F.max_by(F.struct(F.col("k_").alias("split_at"), F.col("gain")), F.struct(F.round("gain", 9), -F.col("k_"))).alias("b")).select(KEY, "b.*")

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import KEY, TIME
+from ..frames import numbered
 from . import sparse
 from .features import Term
 from .gram import Gram
@@ -46,7 +46,7 @@ def replicate_weights(spark, n: int, replicates: int, block: int = 8, seed: int
 
 def replicate_grams(df: DataFrame, terms: list[Term], target: Term, replicates: int, block: int = 8, seed: int = 0) -> list[Gram]:
     """The Gram of each block-bootstrap replicate of one series."""
-    rows = df.select((F.row_number().over(Window.partitionBy(KEY).orderBy(TIME)) - 1).alias("row"), *[c.cast("double").alias(f"x{i}") for i, (_, c) in enumerate(terms)], target[1].cast("double").alias("y0"))
+    rows = numbered(df).select(F.col("rn_").alias("row"), *[c.cast("double").alias(f"x{i}") for i, (_, c) in enumerate(terms)], target[1].cast("double").alias("y0"))
     n, p = rows.count(), len(terms)
     w = rows.join(replicate_weights(df.sparkSession, n, replicates, block, seed), "row")
     names = [f"x{i}" for i in range(p)] + ["y0"]

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .profile import quantiles_by
+
 
 def fit_statistics(df: DataFrame, observed: str, predicted: str, keys: list[str]) -> DataFrame:
     """n, mae, mse, rmse, rss and r2 by keys; r2 is 1 for a constant that is met, 0 for one that isn't."""
@@ -57,7 +60,10 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, keep: int) -> Dat
 
 
 def group_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"))
+    some = df.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    median = quantiles_by(df, value, keys, (0.5,)).select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("q")[0].alias("median"))
+    same = reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"{k}_")), keys, F.lit(True))
+    return some.join(median, same, "left").select(*keys, "count", "mean", "median", "min", "max")
 
 
 def set_scores(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions import expressions as ex
 from ..operators import features, sparse
 from ..operators.derivative import finite_difference
 from ..operators.gram import gram, residual_sums
+from ..operators.profile import mad, quantiles_by
 
 
 @dataclass
@@ -141,8 +142,8 @@ def backtest(df: DataFrame, column: str, horizon: int, origins: int) -> DataFram
 def monitor(df: DataFrame, observed: str, predicted: str, limit: float = 3.0) -> DataFrame:
     """Residuals, their robust scale (1.4826 medians of absolute deviations, with a floor) and the flags beyond limit."""
     e = df.withColumn("residual", F.col(observed) - F.col(predicted))
-    m = e.groupBy(KEY).agg(F.percentile("residual", F.lit(0.5)).alias("m_"), F.sqrt(F.avg(F.col(observed) * F.col(observed))).alias("rms_"))
-    s = e.join(m, KEY).groupBy(KEY, "m_", "rms_").agg(F.percentile(F.abs(F.col("residual") - F.col("m_")), F.lit(0.5)).alias("mad_"))
+    m = e.groupBy(KEY).agg(F.sqrt(F.avg(F.col(observed) * F.col(observed))).alias("rms_"))
+    s = m.join(mad(e, "residual", [KEY]).select(KEY, F.col("median").alias("m_"), F.col("mad").alias("mad_")), KEY)
     scale = F.greatest(1.4826 * F.col("mad_"), 1e-9 * F.greatest(F.lit(1.0), F.col("rms_")))
     z = (F.col("residual") - F.col("m_")) / scale
     return e.join(s, KEY).select(*e.columns, z.alias("z"), (F.abs(z) > limit).alias("flagged"))
@@ -150,7 +151,7 @@ def monitor(df: DataFrame, observed: str, predicted: str, limit: float = 3.0) ->
 
 def residual_bands(df: DataFrame, residual: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Forecast bands by series: quantiles of the residuals."""
-    return df.groupBy(KEY).agg(F.percentile(residual, F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias("q")).select(KEY, F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"))
+    return quantiles_by(df, residual, [KEY], (low, 0.5, high)).select(KEY, F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"))
 
 
 def folds(n: int, k: int) -> list[tuple[int, int]]:

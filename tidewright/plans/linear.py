@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import KEY, TIME
+from ..frames import KEY, TIME, neighbours
 from ..operators.features import polynomial
 from ..operators.gram import gram
 
 
+def _successive(df: DataFrame, now: list[str], then: list[str]) -> DataFrame:
+    """Columns now, and as n_<c> those of the next row of the series, without rows that lack one."""
+    pairs = neighbours(df.select(KEY, TIME, *now), then)
+    return pairs.select(*now, *[F.col(f"next_{c}").alias(f"n_{c}") for c in then]).dropna()
+
+
 def dmd(df: DataFrame, columns: list[str], controls: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """A (and B, with controls) of x' = A x + B u from successive rows, by the Gram of one pass."""
-    w = Window.partitionBy(KEY).orderBy(TIME)
-    rows = df.select(*columns, *controls, *[F.lead(c).over(w).alias(f"n_{c}") for c in columns]).dropna()
+    rows = _successive(df, [*columns, *controls], columns)
     m = gram(rows, [(c, F.col(c)) for c in [*columns, *controls]], [(c, F.col(f"n_{c}")) for c in columns])
     k = np.linalg.lstsq(m.g, m.b, rcond=None)[0].T
     return k[:, : len(columns)], k[:, len(columns) :]
@@ -22,8 +27,7 @@ def dmd(df: DataFrame, columns: list[str], controls: tuple[str, ...] = ()) -> tu
 
 def edmd(df: DataFrame, columns: list[str], degree: int) -> tuple[list[str], np.ndarray]:
     """The Koopman matrix on monomials up to degree."""
-    w = Window.partitionBy(KEY).orderBy(TIME)
-    rows = df.select(*columns, *[F.lead(c).over(w).alias(f"n_{c}") for c in columns]).dropna()
+    rows = _successive(df, columns, columns)
     names, now = zip(*polynomial(columns, degree), strict=True)
     lifted = rows.select(*[c.alias(f"f{i}") for i, c in enumerate(now)], *[c.alias(f"g{i}") for i, (_, c) in enumerate(polynomial([f"n_{c}" for c in columns], degree))])
     m = gram(lifted, [(n, F.col(f"f{i}")) for i, n in enumerate(names)], [(n, F.col(f"g{i}")) for i, n in enumerate(names)])
