@@ -366,12 +366,12 @@ def discover_laws(spark, sf_dir):
 
 @query()
 def pelt_segments(spark, sf_dir):
-    return rounded(regime.segments(daily_orders(spark, sf_dir), "x", penalty=8.0))
+    return rounded(regime.segments(daily_orders(spark, sf_dir), "x", penalty=0.5))
 
 
 @query()
 def bocpd_run_lengths(spark, sf_dir):
-    return rounded(regime.run_lengths(daily_orders(spark, sf_dir), "x"))
+    return rounded(regime.run_lengths(daily_orders(spark, sf_dir), "x").drop("x"))
 
 
 @query()
@@ -387,7 +387,7 @@ def tv_derivative(spark, sf_dir):
 
 @query()
 def spline_derivative(spark, sf_dir):
-    return rounded(derivative.spline(daily_orders(spark, sf_dir), "x"))
+    return rounded(derivative.spline(daily_orders(spark, sf_dir), "x").drop("x"))
 
 
 @query()

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .features import Term
 
-#: Terms and targets of one aggregate; their sums are p * (p + 1) / 2 + p * q doubles.
+#: Terms and targets whose sums are one aggregate's expressions; of more, tasks sum products of whole batches.
 MOST_TERMS = 400
 
 
@@ -49,9 +51,9 @@ class Gram:
 
 def gram(df: DataFrame, terms: list[Term], targets: list[Term]) -> Gram:
     p, q = len(terms), len(targets)
-    if p + q > MOST_TERMS:
-        raise ValueError(f"{p + q} terms; an aggregate takes {MOST_TERMS}")
     x = df.select(*[c.cast("double").alias(f"x{i}") for i, (_, c) in enumerate(terms)], *[c.cast("double").alias(f"y{j}") for j, (_, c) in enumerate(targets)]).dropna()
+    if p + q > MOST_TERMS:
+        return _wide(x, [n for n, _ in terms], q)
     pairs = [(f"x{i}", f"x{j}") for i in range(p) for j in range(i, p)] + [(f"x{i}", f"y{j}") for i in range(p) for j in range(q)] + [(f"y{j}", f"y{j}") for j in range(q)]
     row = x.agg(F.count("*"), *[F.sum(F.col(a) * F.col(b)) for a, b in pairs], *[F.sum(f"y{j}") for j in range(q)]).first()
     v = np.array([0.0 if r is None else float(r) for r in row[1:]])
@@ -62,6 +64,26 @@ def gram(df: DataFrame, terms: list[Term], targets: list[Term]) -> Gram:
     return Gram([n for n, _ in terms], int(row[0]), g, v[m : m + p * q].reshape(p, q), v[m + p * q : m + p * q + q], v[m + p * q + q :])
 
 
+def _wide(x: DataFrame, names: list[str], q: int) -> Gram:
+    """The same sums where there are too many for expressions: each task adds up products of its batches, and sends one matrix by rows."""
+    p = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((p + q, p + q + 1)), 0
+        for batch in batches:
+            m = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) if batch.num_rows else np.zeros((0, p + q))
+            total[:, :-1] += m.T @ m
+            total[:, -1] += m.sum(axis=0)
+            n += len(m)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(range(p + q), pa.int32()), pa.array([n] * (p + q), pa.int64()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "n", "s"])
+
+    sums = x.mapInArrow(run, "i int, n long, s array<double>").select("i", "n", F.posexplode("s").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toArrow()
+    full, n = np.zeros((p + q, p + q + 1)), int(sums.column("n")[0].as_py()) if sums.num_rows else 0
+    full[sums.column("i").to_numpy(), sums.column("j").to_numpy()] = sums.column("v").to_numpy()
+    return Gram(names, n, full[:p, :p], full[:p, p:-1], np.diag(full[p:, p:-1]).copy(), full[p:, -1])
+
+
 def fitted(terms: list[Term], c: np.ndarray) -> Column:
     out = F.lit(0.0)
     for (_, column), k in zip(terms, c.tolist(), strict=True):

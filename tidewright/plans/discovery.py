@@ -164,3 +164,20 @@ def holdout(n: int, share: float) -> int:
     if not 0.05 <= share <= 0.9:
         raise ValueError("the share held out must be in 0.05..0.9")
     return min(max(int(np.floor(n * (1 - share))), 1), n - 2)
+
+
+def iterate(world: World, starts: DataFrame, steps: int) -> DataFrame:
+    """starts(scenario, one column a state) -> (scenario, step, states): the laws give the next states, all from the last ones at once."""
+    states = world.states
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.itertuples(index=False):
+                out = [np.array([getattr(row, s) for s in states], float)]
+                for _ in range(steps):
+                    out.append(world.slopes(out[-1]))
+                    if not np.isfinite(out[-1]).all():
+                        raise ValueError(f"{row.scenario} leaves the finite numbers")
+                yield pd.DataFrame(np.array(out), columns=states).assign(scenario=row.scenario, step=range(steps + 1))[["scenario", "step", *states]]
+
+    return starts.select("scenario", *states).mapInPandas(run, "scenario string, step long, " + ", ".join(f"{s} double" for s in states))
