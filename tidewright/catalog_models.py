@@ -6,14 +6,16 @@ from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from . import estimators
 from .catalog import DAY, EV, GAP, LI, ORACLES, _numbers, gappy, query, rounded
 from .frames import KEY, TIME, daily_orders, events_frame, lineitem_rows, table
 from .functions import expressions as ex
 from .functions import statistics as st
 from .operators import dependence, events, features, graphs, prep, selection
 from .plans import discovery
-from .sources import records
-from .streaming import online
+from .sources import plugins, records
+from .streaming import events as log
+from .streaming import laws, online
 
 
 @query(f"WITH {LI}, z AS (SELECT l_orderkey, l_linenumber, (d - 0.5) / 0.3 AS z FROM li), e AS (SELECT *, abs(z / sqrt(2)) AS a, 1 / (1 + 0.3275911 * abs(z / sqrt(2))) AS u FROM z) SELECT l_orderkey, l_linenumber, round(exp(-z * z / 2) / (0.3 * sqrt(2 * pi())), 6) AS pdf, round(0.5 * (1 + sign(z) * (1 - (((((1.061405429 * u - 1.453152027) * u) + 1.421413741) * u - 0.284496736) * u + 0.254829592) * u * exp(-a * a))), 6) AS cdf FROM e")
@@ -308,6 +310,70 @@ def online_switches(spark, sf_dir):
     return rounded(found).withColumn("drift", F.round("drift", 2))
 
 
+@query(f"WITH {LI} SELECT l_orderkey, l_linenumber, round(q, 6) AS q, round(d, 6) AS d, round(d*d, 6) AS \"d*d\", round(d*q, 6) AS \"d*q\", round(q*q, 6) AS \"q*q\" FROM li")
+def feature_constrained(spark, sf_dir):
+    terms = features.constrained(features.polynomial(["d", "q", "x"], 2), {"d", "q"}, 3, True)
+    return rounded(features.design(lineitem_rows(spark, sf_dir), terms, ["l_orderkey", "l_linenumber"]))
+
+
+def _numbered_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return log.sequenced(e, "event_type", "us")
+
+
+_SEQ = "sq AS (SELECT event_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS sequence, count(*) OVER (PARTITION BY event_type) AS n FROM events)"
+
+
+@query(f"WITH {_SEQ} SELECT event_id, event_type, us, sequence FROM sq")
+def event_sequence(spark, sf_dir):
+    return _numbered_events(spark, sf_dir)
+
+
+@query(f"WITH {_SEQ} SELECT event_id, event_type, us, sequence FROM sq WHERE event_type = 'click' AND sequence > 500")
+def events_after(spark, sf_dir):
+    return log.events_after(_numbered_events(spark, sf_dir), "event_type", "click", 500)
+
+
+@query(f"WITH {_SEQ} SELECT event_id, event_type, us, sequence FROM sq WHERE sequence > n - 20")
+def events_retained(spark, sf_dir):
+    return log.retained(_numbered_events(spark, sf_dir), "event_type", 20)
+
+
+@query("WITH s AS (SELECT event_type, epoch_us(ts) AS us, event_id % 100 AS sequence, lag(event_id % 100) OVER (PARTITION BY event_type ORDER BY ts) AS before FROM events) SELECT event_type, us, sequence, before FROM s WHERE sequence <= before")
+def events_out_of_order(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("event_id") % 100).alias("sequence"))
+    return log.out_of_order(e, "event_type", "us")
+
+
+@query(f"WITH {LI}, r AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(regr_intercept(y, {c}), 6) AS intercept, round(regr_slope(y, {c}), 6) AS slope, round(regr_r2(y, {c}), 6) AS r2 FROM li" for c in "qdx") + ") SELECT * FROM r ORDER BY r2 DESC LIMIT 1")
+def best_predictor(spark, sf_dir):
+    return rounded(estimators.best_predictor(lineitem_rows(spark, sf_dir), ["d", "q", "x"], "y"))
+
+
+@query(f"WITH {LI}, c AS (SELECT regr_slope(y, q) AS b, regr_intercept(y, q) AS a FROM li) SELECT l_orderkey, l_linenumber, round(a + b * q, 6) AS prediction FROM li, c")
+def regression_predictions(spark, sf_dir):
+    rows = lineitem_rows(spark, sf_dir)
+    model = estimators.Regression(["q"], "y", 1, 0.0).fit(rows)
+    return rounded(model.transform(rows).select("l_orderkey", "l_linenumber", "prediction"))
+
+
+@query("SELECT epoch_us(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS us, round(avg(o_totalprice), 4) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, round(avg(o_totalprice), 4) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders GROUP BY 1")
+def daily_prices(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.avg("o_totalprice").alias("o"), F.max("o_totalprice").alias("h"), F.min("o_totalprice").alias("l"), F.avg("o_totalprice").alias("c"), F.count("*").alias("v"))
+    named = o.withColumn("w", F.concat(F.col("d").cast("string"), F.lit("T00:00:00Z")))
+    return rounded(plugins.daily_prices(named, {"time": "w", "open": "o", "high": "h", "low": "l", "close": "c", "volume": "v"}), 4)
+
+
+@query()
+def law_history(spark, sf_dir):
+    """Growth that turns into decay, one series a nation: the laws found, and found anew."""
+    i, r = F.col("i"), 0.1 + F.col("n_nationkey") / 100
+    rows = table(spark, sf_dir, "nation").crossJoin(spark.range(200).withColumnRenamed("id", "i"))  # 200 literal steps for each row
+    v = F.when(i < 100, F.exp(r * i * 0.05)).otherwise(F.exp(r * 5 - 0.35 * (i - 100) * 0.05))
+    found = laws.history(rows.select(F.col("n_name").alias(KEY), (i * 0.05).alias(TIME), v.alias("x")), ["x"], window=20, degree=1)
+    return rounded(found.drop("revision", "prior_revision", "diff", "max_abs_z"))
+
+
 @query()
 def model_selection(spark, sf_dir):
     """The price by polynomials of quantity, discount and tax, in order of the order's key: degree and threshold by held-out folds."""

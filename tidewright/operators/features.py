@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..frames import KEY, TIME, within_rows
+from ..functions import expressions as ex
 
 Term = tuple[str, Column]
 
@@ -55,6 +56,16 @@ def interactions(variables: list[str]) -> list[Term]:
     return [(f"{a}*{b}", F.col(a) * F.col(b)) for a, b in combinations(variables, 2)]
 
 
+def constrained(terms: list[Term], allowed: set[str] | None = None, most_nodes: int | None = None, needs_symbol: bool = False) -> list[Term]:
+    """The terms, in order, whose expression (their name, parsed) has only allowed symbols, at most most_nodes nodes, and some symbol where one is needed."""
+    kept = []
+    for name, column in terms:
+        e = ex.parse(name)
+        if (allowed is None or ex.symbols(e) <= allowed) and (most_nodes is None or ex.size(e) <= most_nodes) and (not needs_symbol or ex.symbols(e)):
+            kept.append((name, column))
+    return kept
+
+
 def design(df: DataFrame, terms: list[Term], keep: list[str]) -> DataFrame:
     return df.select(*keep, *[c.alias(n) for n, c in terms])
 
