@@ -219,6 +219,10 @@ def test_sources(spark, tmp_path):
     readers.write_records(got, str(tmp_path / "out"), "parquet", "error", ("series_id",))
     assert readers.read_records(spark, str(tmp_path / "out"), "parquet").count() == 2
     assert readers.require_read_only_select("SELECT 'drop' FROM t;") == "SELECT 'drop' FROM t"
+    assert readers.require_read_only_select("SELECT replace(a, 'x', 'y') AS copy, \"set\" FROM t -- delete\n") == "SELECT replace(a, 'x', 'y') AS copy, \"set\" FROM t"
+    for q in ("DETACH x", "WITH a AS (SELECT 1) DELETE FROM t", "SELECT 1; DETACH x", "WITH a AS (DELETE FROM t RETURNING *) SELECT * FROM a", "WITH a AS (/* x */ insert into t select 1) SELECT 1", "SELECT * INTO u FROM t", "select 1 -- '\n; drop table t"):
+        with pytest.raises(ValueError):
+            readers.require_read_only_select(q)
     for q in ("DELETE FROM t", "SELECT 1; SELECT 2", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a"):
         with pytest.raises(ValueError):
             readers.require_read_only_select(q)

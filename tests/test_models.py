@@ -161,3 +161,20 @@ def test_records(spark, tmp_path):
     assert json.loads(json.dumps(st.z_for_confidence(0.95))) == pytest.approx(1.959964, abs=1e-6)
     with pytest.raises(ValueError):
         st.normal_pdf(F.col("x"), 0.0, 0.0)
+
+
+def test_refusals():
+    """What a segmentation, a run-length filter and a bounded search do not take."""
+    from tidewright.operators import regime
+    from tidewright.plans import worlds
+
+    for v in ([1.0, 2.0], [1.0, float("nan"), 2.0, 3.0]):
+        with pytest.raises(ValueError):
+            regime.pelt_ends(np.array(v))
+    with pytest.raises(ValueError), np.errstate(all="ignore"):
+        regime.bocpd(np.array([0.0, 1e200]))
+    far = lambda p: float(((p - np.array([3.0, -2.0])) ** 2).sum())
+    assert np.allclose(worlds.nelder_mead(far, np.array([0.0, 0.0])), [3, -2], atol=1e-4)
+    assert np.allclose(worlds.nelder_mead(far, np.array([1.0, 1.0]), low=-1.0, high=1.0), [1, -1], atol=1e-4)
+    with pytest.raises(ValueError):
+        worlds.nelder_mead(far, np.zeros(2), low=1.0, high=0.0)

@@ -24,6 +24,8 @@ def binary_split(df: DataFrame, column: str, least: int = 3) -> DataFrame:
 def pelt_ends(v: np.ndarray, penalty: float = 8.0, least: int = 3) -> list[int]:
     """Ends of the segments of least penalised squared error: the full dynamic programme, ties to the earliest start."""
     n = len(v)
+    if n < least or not np.isfinite(v).all():
+        raise ValueError(f"segments need {least} finite values or more")
     s, q = np.concatenate([[0], np.cumsum(v)]), np.concatenate([[0], np.cumsum(v * v)])
     best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
     best[0] = -penalty
@@ -54,7 +56,8 @@ def segments(df: DataFrame, column: str, penalty: float = 8.0, least: int = 3) -
 def bocpd(v: np.ndarray, hazard: float = 0.02, mean: float = 0.0, variance: float = 1.0, precision: float = 1e-3) -> np.ndarray:
     """Per point the likeliest length of the run that it is in: Gaussian mean, known variance, constant hazard.
 
-    A run that begins anew has absorbed no point yet, so its length is 0 there.
+    A run that begins anew has absorbed no point yet, so its length is 0 there. Every run length is kept, so a series of n rows
+    costs n * n steps; an observation that none of them allows raises.
     """
     weight, count, total, out = np.array([1.0]), np.array([0]), np.array([0.0]), []
     for x in v:
@@ -64,7 +67,9 @@ def bocpd(v: np.ndarray, hazard: float = 0.02, mean: float = 0.0, variance: floa
         joint = weight * np.exp(-0.5 * (x - centre) ** 2 / spread) / np.sqrt(2 * np.pi * spread)
         weight = np.concatenate([[joint.sum() * hazard], joint * (1 - hazard)])
         z = weight.sum()
-        weight = weight / z if z > 0 else np.full(len(weight), 1 / len(weight))
+        if not z > 0:
+            raise ValueError(f"an observation that no run length allows: {x}")
+        weight = weight / z
         count, total = np.concatenate([[0], count + 1]), np.concatenate([[0.0], total + x])
         out.append(int(weight.argmax()))
     return np.array(out)

@@ -105,8 +105,14 @@ def coordinate_minimize(f, x: np.ndarray, step: float = 0.5, rounds: int = 200,
     return x
 
 
-def nelder_mead(f, x: np.ndarray, step: float = 0.5, rounds: int = 400, tolerance: float = 1e-12) -> np.ndarray:
-    points = [np.array(x, float), *(np.array(x, float) + step * e for e in np.eye(len(x)))]
+def nelder_mead(f, x: np.ndarray, step: float = 0.5, rounds: int = 400, tolerance: float = 1e-12, low: np.ndarray | float = -np.inf, high: np.ndarray | float = np.inf) -> np.ndarray:
+    """The downhill simplex; every point that is tried is moved into the box of low and high first."""
+    if np.any(np.asarray(low) > np.asarray(high)):
+        raise ValueError("a box whose low side lies above its high side")
+    boxed = lambda p: np.clip(p, low, high)
+    first = boxed(np.array(x, float))
+    # An edge that would leave the box goes the other way, so that the simplex does not begin flat.
+    points = [first, *(p if not np.array_equal(p := boxed(first + step * e), first) else boxed(first - step * e) for e in np.eye(len(x)))]
     values = [f(p) for p in points]
     for _ in range(rounds):
         order = np.argsort(values, kind="stable")
@@ -114,7 +120,7 @@ def nelder_mead(f, x: np.ndarray, step: float = 0.5, rounds: int = 400, toleranc
         if values[-1] - values[0] <= tolerance:
             break
         centre = np.mean(points[:-1], axis=0)
-        trial = lambda k: (p := centre + k * (points[-1] - centre), f(p))
+        trial = lambda k: (p := boxed(centre + k * (points[-1] - centre)), f(p))
         p, v = trial(-1.0)
         if v < values[0]:
             q, w = trial(-2.0)

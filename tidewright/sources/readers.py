@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from ..frames import IDENTIFIER, KEY, TIME
 
-_WRITES = re.compile(r"\b(insert|update|delete|drop|alter|create|truncate|merge|grant|revoke|replace|copy|attach|call|exec|execute|vacuum|pragma)\b", re.IGNORECASE)
+#: Statements that write or change the session, where a statement may begin: at the start, beside a bracket; and a SELECT's INTO.
+_WRITES = re.compile(r"(?:^|[()])\s*(?:insert|update|delete|drop|alter|create|truncate|merge|grant|revoke|replace|copy|attach|detach|load|install|set|call|exec|execute|vacuum|pragma)\b(?!\s*\()|\binto\b", re.IGNORECASE)
 
 
 def _numeric(df: DataFrame, time: str, series: str | None) -> DataFrame:
@@ -76,9 +77,10 @@ def quote_identifier(name: str) -> str:
 
 
 def require_read_only_select(query: str) -> str:
-    """One SELECT or WITH statement that names nothing that writes."""
-    q = query.strip().rstrip(";").strip()
-    bare = re.sub(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?\*/", " ", q, flags=re.DOTALL)
+    """One SELECT or WITH statement in which no statement that writes begins; without its comments."""
+    parts = r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?\*/"
+    q = re.sub(parts, lambda m: m[0] if m[0][0] in "'\"" else " ", query, flags=re.DOTALL).strip().rstrip(";").strip()
+    bare = re.sub(parts, " ", q, flags=re.DOTALL)
     if ";" in bare or not re.match(r"(?i)\s*(select|with)\b", bare) or _WRITES.search(bare):
         raise ValueError("only one read-only SELECT is allowed")
     return q
