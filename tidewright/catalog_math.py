@@ -10,13 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import LI, _numbers, query, rounded
-from .frames import KEY, TIME, lineitem_rows, table
+from .catalog import DAY, LI, _numbers, query, rounded
+from .frames import KEY, TIME, daily_orders, lineitem_rows, numbered, table
 from .functions import expressions as ex
 from .functions import units
 from .operators import derivative, resampling, sparse
 from .operators.score import description_length
-from .plans import analysis, fields, linear
+from .plans import analysis, discovery, fields, linear
 from .plans.discovery import World
 
 
@@ -37,17 +37,17 @@ def _system(k: float) -> list[np.ndarray]:
     return [np.array([[v]]) for v in (-0.5 - k / 10, 1 + k / 5, 0.5, 2.0, 3.0)]
 
 
-CONTROL = ["lyapunov", "lqr", "dare", "dlqr", "kalman", "placed", "hankel", "reachable", "seen"]
+CONTROL = ["lyapunov", "lqr", "dare", "dlqr", "kalman", "placed", "hankel", "reachable", "seen", "reach", "sight", "observer", "ahead"]
 
 
 def _control(k: float) -> list[float]:
     a, b, c, q, r = _system(k)
     d = a / 5
-    return [float(np.ravel(v)[0]) for v in (linear.lyapunov_equation(a, q), linear.lqr(a, b, q, r), linear.dare(d, b, q, r), linear.dlqr(d, b, q, r), linear.kalman_gain(a, c, q, r), linear.place_poles(a, b, [-4.0]), linear.hankel_values(a, b, c), linear.controllability(a, b), linear.observability(a, c))]
+    return [float(np.ravel(v)[0]) for v in (linear.lyapunov_equation(a, q), linear.lqr(a, b, q, r), linear.dare(d, b, q, r), linear.dlqr(d, b, q, r), linear.kalman_gain(a, c, q, r), linear.place_poles(a, b, [-4.0]), linear.hankel_values(a, b, c), linear.controllability(a, b), linear.observability(a, c), linear.controllability_gramian(a, b), linear.observability_gramian(a, c), linear.observer_gain(a, c, [-4.0]), linear.mpc_gain(d, b, q, r, 2))]
 
 
 @query(f"""WITH {_SYSTEM}, p AS (SELECT *, a / 5 AS d, (r * (1 - a * a / 25) - q * b * b) AS beta FROM s), e AS (SELECT *, (-beta + sqrt(beta * beta + 4 * b * b * q * r)) / (2 * b * b) AS p FROM p)
-SELECT n_name, round(-q / (2 * a), 6) AS lyapunov, round((a + sqrt(a * a + b * b * q / r)) / b, 6) AS lqr, round(p, 6) AS dare, round(d * b * p / (r + b * b * p), 6) AS dlqr, round((a + sqrt(a * a + c * c * q / r)) / c, 6) AS kalman, round((a + 4) / b, 6) AS placed, round(b * c / (2 * abs(a)), 6) AS hankel, round(b, 6) AS reachable, round(c, 6) AS seen FROM e""")
+SELECT n_name, round(-q / (2 * a), 6) AS lyapunov, round((a + sqrt(a * a + b * b * q / r)) / b, 6) AS lqr, round(p, 6) AS dare, round(d * b * p / (r + b * b * p), 6) AS dlqr, round((a + sqrt(a * a + c * c * q / r)) / c, 6) AS kalman, round((a + 4) / b, 6) AS placed, round(b * c / (2 * abs(a)), 6) AS hankel, round(b, 6) AS reachable, round(c, 6) AS seen, round(-b * b / (2 * a), 6) AS reach, round(-c * c / (2 * a), 6) AS sight, round((a + 4) / c, 6) AS observer, round(d * b * (q + d * d * q * r / (r + b * b * q)) / (r + b * b * (q + d * d * q * r / (r + b * b * q))), 6) AS ahead FROM e""")
 def control_gains(spark, sf_dir):
     return rounded(_fan_out(spark, sf_dir, CONTROL, _control))
 
@@ -120,3 +120,32 @@ def uncertainty_scalars(spark, sf_dir):
     share, alike = sparse.selection_stability([{0, 1}, {0, 1}, {1}], 2)
     rows = [("e_value", resampling.e_value(2.5)), ("e_value of a half", resampling.e_value(0.5)), ("delta_band", resampling.delta_band(np.array([1.0, 2.0]), np.array([[0.04, 0.01], [0.01, 0.09]]))), ("structural_score", resampling.structural_score([3.0, 5.0])), ("stability of x", share[0]), ("similarity", alike), ("description_length", description_length(100, 4.0, 5, 2, [2.0]))]
     return _numbers(spark, rows, "name string, v double")
+
+
+@query(f"""WITH {DAY}, l AS (SELECT x, y, lead(x) OVER (ORDER BY t) AS u, lead(y) OVER (ORDER BY t) AS v FROM day),
+s AS (SELECT sum(x*x) AS a, sum(x*y) AS b, sum(y*y) AS c, sum(x*u) AS xu, sum(y*u) AS yu, sum(x*v) AS xv, sum(y*v) AS yv FROM l WHERE u IS NOT NULL),
+m AS (SELECT ((xu*c - yu*b) + (a*yv - b*xv)) / (a*c - b*b) AS tr, ((xu*c - yu*b) * (a*yv - b*xv) - (a*yu - b*xu) * (xv*c - yv*b)) / pow(a*c - b*b, 2) AS det FROM s),
+e AS (SELECT (tr + sqrt(tr*tr - 4*det)) / 2 AS p, (tr - sqrt(tr*tr - 4*det)) / 2 AS q FROM m)
+SELECT 0 AS mode, round(CASE WHEN abs(p) >= abs(q) THEN p ELSE q END, 6) AS eigenvalue, round(ln(abs(CASE WHEN abs(p) >= abs(q) THEN p ELSE q END)), 6) AS rate FROM e
+UNION ALL SELECT 1, round(CASE WHEN abs(p) >= abs(q) THEN q ELSE p END, 6), round(ln(abs(CASE WHEN abs(p) >= abs(q) THEN q ELSE p END)), 6) FROM e""")
+def dmd_spectrum(spark, sf_dir):
+    a, _ = linear.dmd(daily_orders(spark, sf_dir), ["x", "y"])
+    return _numbers(spark, [(k, z.real, w.real) for k, (z, w) in enumerate(linear.modes(a))], "mode int, eigenvalue double, rate double")
+
+
+@query(f"""WITH {DAY}, f AS (SELECT regr_slope(x, t) AS b, regr_intercept(x, t) AS a, max(x) FILTER (rn = n * 4 // 5) AS o FROM day WHERE rn <= n * 4 // 5), e AS (SELECT x, x - a - b * t AS e, x - o AS h FROM day, f WHERE rn > n * 4 // 5)
+SELECT 'orders' AS series_id, count(*) AS n, round(sqrt(avg(e*e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae, round(1 - sum(e*e) / (var_pop(x) * count(*)), 6) AS r2, round(1 - sqrt(avg(e*e)) / sqrt(avg(h*h)), 6) AS skill FROM e""")
+def holdout_scores(spark, sf_dir):
+    """A line through the first four fifths of the days, against the rest."""
+    d = numbered(daily_orders(spark, sf_dir), "rn")
+    cut = d.count() * 4 // 5
+    line = d.where(F.col("rn") < cut).agg(F.regr_slope("x", TIME).alias("b"), F.regr_intercept("x", TIME).alias("a"), F.max(F.when(F.col("rn") == cut - 1, F.col("x"))).alias("o"))
+    rest = d.where(F.col("rn") >= cut).crossJoin(F.broadcast(line)).withColumn("p", F.col("a") + F.col("b") * F.col(TIME))  # line is one row
+    return rounded(discovery.holdout_scores(rest, "x", "p", "o"))
+
+
+@query()
+def regime_laws(spark, sf_dir):
+    """The daily orders in stretches of like mean, each with its law."""
+    d = daily_orders(spark, sf_dir).select(KEY, (F.col(TIME) / 100).alias(TIME), "x")
+    return rounded(discovery.regime_laws(d, "x", 1, 0.05, 4.0))

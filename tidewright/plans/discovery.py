@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,11 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frames import KEY, TIME, neighbours
+from ..frames import KEY, TIME, neighbours, numbered
 from ..functions import expressions as ex
-from ..operators import features, sparse
+from ..operators import features, regime, sparse
 from ..operators.derivative import finite_difference
-from ..operators.gram import gram, residual_sums
+from ..operators.gram import Gram, gram, residual_sums
 from ..operators.profile import mad, quantiles_by
 
 
@@ -166,6 +167,57 @@ def holdout(n: int, share: float) -> int:
     return min(max(int(np.floor(n * (1 - share))), 1), n - 2)
 
 
+def controlled(world: World, controls: dict[str, tuple[np.ndarray, np.ndarray]], x0: np.ndarray, h: float, steps: int) -> np.ndarray:
+    """A trajectory under controls (times, values) that are read on straight lines at each stage's own time, and held beyond them."""
+    laws = world.laws
+
+    def slopes(t: float, x: np.ndarray) -> np.ndarray:
+        at = dict(zip(world.states, x.tolist(), strict=True)) | {c: float(np.interp(t, *tv)) for c, tv in controls.items()}
+        return np.array([ex.evaluate(laws[s], at) for s in world.states])
+
+    out = [np.asarray(x0, float)]
+    for k in range(steps):
+        t, x = k * h, out[-1]
+        a = slopes(t, x)
+        b = slopes(t + h / 2, x + h / 2 * a)
+        c = slopes(t + h / 2, x + h / 2 * b)
+        out.append(x + h / 6 * (a + 2 * b + 2 * c + slopes(t + h, x + h * c)))
+    return np.array(out)
+
+
+def holdout_scores(df: DataFrame, observed: str, predicted: str, origin: str) -> DataFrame:
+    """rmse, mae, r2 and skill (1 less the ratio of rmse to that of holding the origin's value) by series."""
+    e, base = F.col(observed) - F.col(predicted), F.col(observed) - F.col(origin)
+    out = df.groupBy(KEY).agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("rss"), (F.var_pop(observed) * F.count("*")).alias("tss"), F.sqrt(F.avg(base * base)).alias("held"))
+    return out.select(KEY, "n", "rmse", "mae", (1 - F.try_divide("rss", "tss")).alias("r2"), (1 - F.try_divide("rmse", "held")).alias("skill"))
+
+
+def regime_laws(df: DataFrame, column: str, degree: int = 1, threshold: float = 0.05, penalty: float = 8.0) -> DataFrame:
+    """(series_id, segment, start_t, end_t, term, coefficient): the series is cut where its mean shifts, and each stretch has a law of its own.
+
+    Derivatives do not reach over a cut, as each stretch is a series of its own; the sums of all stretches are one aggregate.
+    """
+    cuts = regime.segments(df, column, penalty).select(KEY, "segment", "start", "end")
+    rows = numbered(df.select(KEY, TIME, column)).join(cuts, KEY).where((F.col("rn_") >= F.col("start")) & (F.col("rn_") < F.col("end")))
+    own = rows.select(F.to_json(F.struct(KEY, "segment")).alias(KEY), TIME, column)
+    slopes = neighbours(finite_difference(own, [column]), []).where(F.col(f"prev_{TIME}").isNotNull() & F.col(f"next_{TIME}").isNotNull())
+    terms = library([column], degree)
+    p = len(terms)
+    wide = slopes.select(KEY, *[c.alias(f"x{i}_") for i, (_, c) in enumerate(terms)], F.col(f"d_{column}").alias("y_"))
+    names = [f"x{i}_" for i in range(p)] + ["y_"]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    spans = {tuple(json.loads(r[KEY]).values()): (r["a"], r["b"]) for r in own.groupBy(KEY).agg(F.min(TIME).alias("a"), F.max(TIME).alias("b")).collect()}
+    out = []
+    for r in wide.groupBy(KEY).agg(F.count("*"), F.sum("y_"), *[F.sum(F.col(a) * F.col(b)) for a, b in pairs]).collect():
+        key = tuple(json.loads(r[0]).values())
+        full = np.zeros((p + 1, p + 1))
+        full[np.triu_indices(p + 1)] = r[3:]
+        full += np.triu(full, 1).T
+        c = sparse.stlsq(Gram([n for n, _ in terms], int(r[1]), full[:p, :p], full[:p, p:], full[p:, p].copy(), np.array([r[2]])), threshold=threshold)
+        out += [(*key, *spans[key], n, float(v)) for (n, _), v in zip(terms, c.tolist(), strict=True) if v]
+    return df.sparkSession.createDataFrame(sorted(out), f"{KEY} string, segment long, start_t double, end_t double, term string, coefficient double")
+
+
 def iterate(world: World, starts: DataFrame, steps: int) -> DataFrame:
     """starts(scenario, one column a state) -> (scenario, step, states): the laws give the next states, all from the last ones at once."""
     states = world.states

@@ -132,6 +132,53 @@ def observability(a: np.ndarray, c: np.ndarray) -> np.ndarray:
     return controllability(a.T, c.T).T
 
 
+def controllability_gramian(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return lyapunov_equation(a, b @ b.T)
+
+
+def observability_gramian(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return lyapunov_equation(a.T, c.T @ c)
+
+
+def observer_gain(a: np.ndarray, c: np.ndarray, poles: list[complex]) -> np.ndarray:
+    """L such that a - L c has the poles; for discrete systems alike."""
+    return place_poles(a.T, c.T, poles).T
+
+
+def mpc_gain(a: np.ndarray, b: np.ndarray, q: np.ndarray, r: np.ndarray, horizon: int) -> np.ndarray:
+    """The first input's gain of a horizon without bounds, by the backward recursion from the last step's weight q."""
+    p, k = q, np.zeros((b.shape[1], len(a)))
+    for _ in range(horizon):
+        k = np.linalg.solve(r + b.T @ p @ b, b.T @ p @ a)
+        p = q + a.T @ p @ (a - b @ k)
+    return k
+
+
+def bounded_mpc(a: np.ndarray, b: np.ndarray, q: np.ndarray, r: np.ndarray, x: np.ndarray, horizon: int, low: float, high: float, rounds: int = 500) -> np.ndarray:
+    """The horizon's inputs within bounds, by projected gradient steps on the condensed cost."""
+    n, m = b.shape
+    free = np.vstack([np.linalg.matrix_power(a, k + 1) for k in range(horizon)])
+    forced = np.zeros((n * horizon, m * horizon))
+    for i in range(horizon):
+        for j in range(i + 1):
+            forced[i * n : (i + 1) * n, j * m : (j + 1) * m] = np.linalg.matrix_power(a, i - j) @ b
+    weight = np.kron(np.eye(horizon), q)
+    h, g = forced.T @ weight @ forced + np.kron(np.eye(horizon), r), forced.T @ weight @ free @ x
+    u, step = np.zeros(m * horizon), 1 / np.linalg.eigvalsh(h).max()
+    for _ in range(rounds):
+        new = np.clip(u - step * (h @ u + g), low, high)
+        if np.abs(new - u).max() < 1e-13:
+            break
+        u = new
+    return u.reshape(horizon, m)
+
+
+def modes(operator: np.ndarray, dt: float = 1.0) -> list[tuple[complex, complex]]:
+    """Eigenvalues of a discrete operator, largest first, and the rates of growth and frequencies that they stand for."""
+    values = sorted(np.linalg.eigvals(operator).tolist(), key=lambda z: (-abs(z), -complex(z).real, -complex(z).imag))
+    return [(complex(z), complex(np.log(complex(z)) / dt) if z else complex(-np.inf)) for z in values]
+
+
 def place_poles(a: np.ndarray, b: np.ndarray, poles: list[complex]) -> np.ndarray:
     """Ackermann's gain, for one input."""
     m = np.zeros_like(a, dtype=complex)

@@ -135,6 +135,56 @@ def nelder_mead(f, x: np.ndarray, step: float = 0.5, rounds: int = 400, toleranc
     return points[int(np.argmin(values))]
 
 
+def lbfgs(f, slope, x: np.ndarray, memory: int = 8, rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
+    """Limited-memory quasi-Newton steps with a backtracking line search; pairs without positive curvature are left out."""
+    x, g = np.array(x, float), np.asarray(slope(x), float)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if np.abs(g).max() <= tolerance:
+            break
+        d, kept = g.copy(), []
+        for s, y in reversed(pairs):
+            kept.append(s @ d / (s @ y))
+            d -= kept[-1] * y
+        if pairs:
+            s, y = pairs[-1]
+            d *= (s @ y) / (y @ y)
+        for (s, y), a in zip(pairs, reversed(kept), strict=True):
+            d += (a - y @ d / (s @ y)) * s
+        if d @ g <= 0:
+            d, pairs = g.copy(), []
+        size, here = 1.0, f(x)
+        while not f(x - size * d) <= here - 1e-4 * size * (d @ g):
+            size /= 2
+            if size < 1e-16:
+                return x
+        new = x - size * d
+        after = np.asarray(slope(new), float)
+        if (new - x) @ (after - g) > 1e-14:
+            pairs = [*pairs, (new - x, after - g)][-memory:]
+        x, g = new, after
+    return x
+
+
+def mutate_symbol(e: ex.Node, old: str, new: str) -> ex.Node:
+    return ex.substitute(e, {old: ex.parse(new)})
+
+
+def crossover_sum(a: ex.Node, b: ex.Node) -> ex.Node:
+    return ("+", a, b)
+
+
+def quadratic_profile(points: list[tuple[float, float]], rise: float = 1.920729410347062) -> tuple[float, float, float]:
+    """(best, low, high) of a parameter from (value, loss): the parabola through them, and where it is rise above its least."""
+    if len({v for v, _ in points}) < 3:
+        raise ValueError("a parabola needs three values")
+    a, b, _ = np.polyfit(*np.array(points).T, 2)
+    if a <= 0:
+        raise ValueError("the losses have no least value")
+    half = float(np.sqrt(rise / a))
+    return float(-b / (2 * a)), float(-b / (2 * a)) - half, float(-b / (2 * a)) + half
+
+
 def basins(world: World, starts: np.ndarray, h: float, steps: int, tolerance: float = 1e-2) -> list[int]:
     """The attractor that each start ends in, numbered as found; -1 where it runs away."""
     ends, out = [], []
