@@ -88,6 +88,13 @@ def without_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> Data
     return rows.join(F.broadcast(ids) if few else ids, rows[column] == F.col(name), "left_anti")
 
 
+def only_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """rows whose id is in ids (one column), where those are few enough to be broadcast; else all rows, for a join to sort out."""
+    name = fresh("wanted", rows.columns)
+    ids = materialize(ids.toDF(name).distinct(), "wanted")
+    return rows.join(F.broadcast(ids), rows[column] == F.col(name), "left_semi") if ids.count() <= MOST_BROADCAST else rows
+
+
 def join_hot(rows: DataFrame, facts: DataFrame, key: str, n: str, hot: int) -> DataFrame:
     """rows joined with facts (one row a key; n: how many rows have it). Keys of more than hot rows are broadcast, so that
     none of them fills a task; there are at most count / hot of those. facts should be materialized, as it is read twice."""
@@ -117,7 +124,9 @@ def kept(name: str) -> dict:
 
 
 def only(name: str) -> None:
-    """Called where a task begins: a reused worker lets go of what other operators kept, so their memos don't add up."""
+    """Called where a task begins: a reused worker lets go of what other operators kept, so their memos don't add up; what
+    batches took goes back to the system, not to a pool of the worker's."""
+    pa.set_memory_pool(pa.system_memory_pool())
     others = [d for n, d in _KEPT.items() if n != name and d]
     for d in others:
         d.clear()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _odd_powers, join_hot, materialize, mix, only, split_words, window_hashes, without_ids, word_hashes
+from .common import _odd_powers, join_hot, materialize, mix, only, only_ids, split_words, window_hashes, without_ids, word_hashes
 from .components import HOT, MOST_HOT, components
 
 POSITIONS, BITS, CHUNKS, RADIUS, SLACK, FAMILY = 64, 16, 10, 19, 40, 250_000
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, family: int
 
 def _linked(docs: DataFrame, tasks: DataFrame, k: int, percent: int) -> DataFrame:
     """tasks(cid, rep, set_key, sig, family, part, other, label) -> links (src, dst) among the classes of each (family, part, other)."""
-    return docs.join(tasks, docs.doc_id == tasks.rep).drop("doc_id", "rep").groupBy("family", "part", "other").applyInArrow(_compare(k, percent), "src long, dst long")
+    return only_ids(docs, tasks.select("rep")).join(tasks, F.col("doc_id") == F.col("rep")).drop("doc_id", "rep").groupBy("family", "part", "other").applyInArrow(_compare(k, percent), "src long, dst long")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
