@@ -178,3 +178,14 @@ def test_refusals():
     assert np.allclose(worlds.nelder_mead(far, np.array([1.0, 1.0]), low=-1.0, high=1.0), [1, -1], atol=1e-4)
     with pytest.raises(ValueError):
         worlds.nelder_mead(far, np.zeros(2), low=1.0, high=0.0)
+
+
+def test_monomial_names(spark):
+    assert all(features.monomial_names(list("abc")[:n], d) == [x for x, _ in features.polynomial(list("abc")[:n], d)] for n in (1, 2, 3) for d in (0, 1, 3))
+
+
+def test_stability_table(spark):
+    rows = [(0, "a"), (0, "b"), (1, "a"), (1, "b"), (2, "b"), (3, "c"), (3, "c")]
+    got = {r.term: (r.frequency, r.similarity) for r in selection.stability_table(spark.createDataFrame(rows, "k int, term string"), "k", "term").collect()}
+    _, want = sparse.selection_stability([{0, 1}, {0, 1}, {1}, {2}], 3)
+    assert {k: v[0] for k, v in got.items()} == {"a": 0.5, "b": 0.75, "c": 0.25} and all(np.isclose(v[1], want) for v in got.values())

@@ -272,7 +272,7 @@ def gram_sql(rows: str, terms: list[str], targets: list[tuple[str, str]]) -> str
 
 
 def _names(variables: list[str]) -> list[str]:
-    return [n for n, _ in features.polynomial(variables, 2)]
+    return features.monomial_names(variables, 2)
 
 
 def _sql_terms(variables: list[str]) -> list[str]:
@@ -374,6 +374,12 @@ def law_history(spark, sf_dir):
     return rounded(found.drop("revision", "prior_revision", "diff", "max_abs_z"))
 
 
+@query("WITH r AS (SELECT l_suppkey % 9 AS k, l_linenumber AS term FROM lineitem GROUP BY 1, 2 HAVING avg(l_discount) > 0.05), n AS (SELECT k, list(term) AS s FROM r GROUP BY 1), p AS (SELECT len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS j FROM n a JOIN n b ON a.k < b.k) SELECT term, round(count(*) / (SELECT count(*) FROM n), 6) AS frequency, round((SELECT avg(j) FROM p), 6) AS similarity FROM r GROUP BY 1")
+def selection_stability(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 9).alias("k"), F.col("l_linenumber").alias("term")).agg(F.avg("l_discount").alias("m")).where("m > 0.05")
+    return rounded(selection.stability_table(l.select("k", "term"), "k", "term"))
+
+
 @query()
 def model_selection(spark, sf_dir):
     """The price by polynomials of quantity, discount and tax, in order of the order's key: degree and threshold by held-out folds."""

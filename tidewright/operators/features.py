@@ -14,6 +14,11 @@ from ..functions import expressions as ex
 Term = tuple[str, Column]
 
 
+def monomial_names(variables: list[str], degree: int) -> list[str]:
+    """The names of polynomial()'s terms, in order."""
+    return ["*".join(v for v, k in zip(variables, e, strict=True) for _ in range(k)) or "1" for e in exponents(len(variables), degree)]
+
+
 def exponents(n: int, degree: int) -> list[tuple[int, ...]]:
     """Monomials of n variables by total degree from 0 to degree; within one, the last variable's powers come first."""
     out: list[tuple[int, ...]] = []

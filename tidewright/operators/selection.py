@@ -55,6 +55,22 @@ def stable_front(df: DataFrame, error: str, complexity: str, stability: str) ->
     return df.join(front, same, "left_semi")
 
 
+def stability_table(df: DataFrame, replicate: str, term: str) -> DataFrame:
+    """(term, frequency, similarity): the share of replicates that select each term, and the mean Jaccard similarity of pairs of replicates.
+
+    Shared terms of pairs are counted by a join on the term; replicates are a chosen number, tens or hundreds.
+    """
+    rows = df.select(F.col(replicate).alias("k_"), F.col(term).alias("t_")).distinct()
+    sizes = rows.groupBy("k_").agg(F.count("*").alias("n_"))
+    both = rows.alias("a").join(rows.alias("b"), (F.col("a.t_") == F.col("b.t_")) & (F.col("a.k_") < F.col("b.k_"))).groupBy(F.col("a.k_").alias("p_"), F.col("b.k_").alias("q_")).agg(F.count("*").alias("c_"))
+    met = both.join(sizes.select(F.col("k_").alias("p_"), F.col("n_").alias("m_")), "p_").join(sizes.select(F.col("k_").alias("q_"), "n_"), "q_")
+    # Pairs that share nothing add nothing to the sum, but count.
+    alike = met.agg(F.coalesce(F.sum(F.col("c_") / (F.col("m_") + F.col("n_") - F.col("c_"))), F.lit(0.0)).alias("s_"))
+    total = sizes.agg(F.count("*").alias("r_")).crossJoin(F.broadcast(alike))  # one row each
+    mean = F.coalesce(F.try_divide(F.col("s_"), F.col("r_") * (F.col("r_") - 1) / 2), F.lit(1.0))
+    return rows.groupBy(F.col("t_").alias(term)).agg(F.count("*").alias("f_")).crossJoin(F.broadcast(total)).select(term, (F.col("f_") / F.col("r_")).alias("frequency"), mean.alias("similarity"))
+
+
 def price_of_complexity(df: DataFrame, complexity: str, loss: str) -> Column:
     """-Cov / Var: how much loss a unit of complexity buys, on average."""
     return df.agg(F.regr_slope(loss, complexity).alias("slope"))
