@@ -101,3 +101,42 @@ def test_sources(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out")).select("n").distinct().first().n == k
     assert not (tmp_path / "out.new").exists() and not (tmp_path / "out.old").exists()
     assert df.where(connectors.partition_filter({"v": "v1", "k": 1})).count() == 1
+
+
+def test_normal_form():
+    import random
+
+    from tidewright.functions import normal_form as nf
+
+    assert ex.to_text(nf.normal(ex.parse("0 + (x*1) + (y - y)"))) == "x"
+    assert ex.to_text(nf.normal(ex.parse("(x + y)^2 - x*x - y*y"))) == "2 * (x * y)"
+    assert nf.same(ex.parse("(a + b)*(a - b)"), ex.parse("a^2 - b*b")) and not nf.same(ex.parse("a + b"), ex.parse("a - b"))
+    assert ex.to_text(nf.shortest(ex.parse("x*y + x*y + 0*z"))) == "2 * (x * y)" and nf.cheapest([]) is None
+    assert nf.same(ex.parse("sin(x + x) / 2"), ex.parse("0.5 * sin(2 * x)"))
+    rng = random.Random(3)
+
+    def grow(depth):
+        if not depth or rng.random() < 0.2:
+            return rng.choice([("sym", "x"), ("sym", "y"), ex.num(rng.randrange(-3, 4))])
+        kind = rng.choice(["+", "-", "*", "*", "sin", "neg", "^"])
+        return ("^", grow(depth - 1), ex.num(2)) if kind == "^" else (kind, grow(depth - 1)) if kind in ("sin", "neg") else (kind, grow(depth - 1), grow(depth - 1))
+
+    for _ in range(200):
+        e, at = grow(4), {"x": rng.uniform(-1, 1), "y": rng.uniform(-1, 1)}
+        n = nf.normal(e)
+        assert ex.evaluate(n, at) == pytest.approx(ex.evaluate(e, at), rel=1e-9, abs=1e-7) and nf.normal(n) == n
+        assert ex.size(nf.shortest(e)) <= ex.size(e)
+
+
+def test_samples_and_ensembles():
+    from tidewright.operators.resampling import without_replacement
+
+    assert sorted(without_replacement(50, 50, 4)) == list(range(50)) and without_replacement(50, 7, 4) == without_replacement(50, 50, 4)[:7]
+    assert len(set(without_replacement(10**12, 1000, 9))) == 1000
+    with pytest.raises(ValueError):
+        without_replacement(3, 4, 0)
+    rates = np.array([-0.5, -0.6, -0.7, 40.0])
+    bands = discovery.ensemble_forecast(["x"], ["1", "x"], np.array([[[0.0, r]] for r in rates[:3]]), np.array([2.0]), 0.01, 100, 0.0, 1.0)
+    assert np.allclose(bands["x"][-1], 2 * np.exp([-0.7, -0.6, -0.5])) and np.allclose(bands["x"][0], 2)
+    with pytest.raises(ValueError):
+        discovery.ensemble_forecast(["x"], ["x*x"], np.array([[[1e9]]]), np.array([1e9]), 1.0, 50)

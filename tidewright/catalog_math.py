@@ -10,11 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import DAY, LI, _numbers, query, rounded
-from .frames import KEY, TIME, daily_orders, lineitem_rows, numbered, table
+from .catalog import DAY, EV, LI, _numbers, query, rounded
+from .frames import KEY, TIME, daily_orders, events_frame, lineitem_rows, numbered, table
 from .functions import expressions as ex
 from .functions import units
-from .operators import derivative, resampling, sparse
+from .operators import derivative, prep, resampling, sparse
 from .operators.score import description_length
 from .plans import analysis, discovery, fields, linear
 from .plans.discovery import World
@@ -149,3 +149,16 @@ def regime_laws(spark, sf_dir):
     """The daily orders in stretches of like mean, each with its law."""
     d = daily_orders(spark, sf_dir).select(KEY, (F.col(TIME) / 100).alias(TIME), "x")
     return rounded(discovery.regime_laws(d, "x", 1, 0.05, 4.0))
+
+
+@query(f"WITH {EV}, r AS (SELECT series_id, t, x FROM ev WHERE t BETWEEN 0 AND 600000), m AS (SELECT series_id, t, avg(x) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x FROM r), s AS (SELECT series_id, avg(x) AS m, stddev_pop(x) AS d FROM m GROUP BY 1) SELECT series_id, round(t, 6) AS t, round((x - m) / d, 6) AS x FROM m JOIN s USING (series_id)")
+def prep_pipeline(spark, sf_dir):
+    return rounded(prep.prepared(events_frame(spark, sf_dir), [("trim", 0, 600_000), ("smooth", 2), ("standardize",)]))
+
+
+@query("SELECT o_orderpriority, o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_custkey, o_orderkey) AS r FROM orders WHERE o_orderstatus = 'O') WHERE r = 1")
+def next_in_queue(spark, sf_dir):
+    """Of each queue the entry with the earliest deadline, ties by who asked first and by number: an aggregate, no sort."""
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
+    first = F.min_by(F.struct("o_orderkey", "o_custkey"), F.struct("o_orderdate", "o_custkey", "o_orderkey"))
+    return o.groupBy("o_orderpriority").agg(first.alias("b")).select("o_orderpriority", "b.*")

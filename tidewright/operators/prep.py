@@ -94,6 +94,29 @@ def align(df: DataFrame, targets: DataFrame, column: str, clamp: bool = True) ->
     return out.where("NOT own_").select(KEY, TIME, (F.coalesce(value, a["v"], b["v"]) if clamp else value).alias(column))
 
 
+def prepared(df: DataFrame, steps: list[tuple]) -> DataFrame:
+    """Steps of preparation in order, each on the value columns: trim (start, end), smooth (radius), detrend, standardize,
+    resample (step; one column), winsorize (low, high), drop_constant."""
+    for kind, *args in steps:
+        values = value_columns(df)
+        if kind == "trim":
+            df = trim(df, *args)
+        elif kind == "drop_constant":
+            df = drop_constant(df)
+        elif kind == "resample":
+            if len(values) != 1:
+                raise ValueError("one column at a time is resampled")
+            df = resample_linear(df, values[0], *args)
+        elif kind in ("smooth", "detrend", "standardize", "winsorize"):
+            rule, name = {"smooth": (moving_average, "ma"), "detrend": (detrend_linear, "detrended"), "standardize": (standardize, "z"), "winsorize": (winsorize, "w")}[kind]
+            for c in values:
+                df = rule(df, c, *args)
+            df = df.select(KEY, TIME, *[df[f"{name}_{c}"].alias(c) for c in values])
+        else:
+            raise ValueError(f"no such step: {kind}")
+    return df
+
+
 def batches(df: DataFrame, size: int) -> DataFrame:
     return numbered(df).withColumn("batch", F.floor(F.col("rn_") / size)).drop("rn_")
 

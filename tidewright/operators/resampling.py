@@ -26,6 +26,19 @@ def split_mix(seed: int, n: int) -> list[int]:
     return out
 
 
+def without_replacement(population: int, count: int, seed: int) -> list[int]:
+    """count distinct numbers below population, by the first steps of a seeded shuffle; memory goes with count, not with population."""
+    if count > population:
+        raise ValueError("a sample is no larger than its population")
+    moved: dict[int, int] = {}
+    out = []
+    for k, r in enumerate(split_mix(seed, count)):
+        at = k + r % (population - k)
+        out.append(moved.get(at, at))
+        moved[at] = moved.get(k, k)
+    return out
+
+
 def block_indices(n: int, block: int, seed: int) -> np.ndarray:
     """Circular moving blocks: starts modulo n, rows wrap around, n rows in all."""
     starts = [v % n for v in split_mix(seed, -(-n // block))]

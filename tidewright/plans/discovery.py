@@ -185,6 +185,26 @@ def controlled(world: World, controls: dict[str, tuple[np.ndarray, np.ndarray]],
     return np.array(out)
 
 
+def ensemble_forecast(states: list[str], terms: list[str], members: np.ndarray, x0: np.ndarray, h: float, steps: int, low: float = 0.05, high: float = 0.95) -> dict[str, np.ndarray]:
+    """Per state lower, median and upper (steps + 1 x 3) of the trajectories of members x states x terms coefficients; members that leave
+    the finite numbers are left out, and raise if none stays."""
+    parsed = [ex.parse(t) for t in terms]
+    paths = []
+    for c in members:
+        slopes = lambda x, c=c: c @ np.array([ex.evaluate(t, dict(zip(states, x.tolist(), strict=True))) for t in parsed])
+        out = [np.asarray(x0, float)]
+        try:
+            for _ in range(steps):
+                out.append(rk4(slopes, out[-1], h))
+        except ValueError:
+            continue
+        paths.append(out)
+    if not paths:
+        raise ValueError("no member stays finite")
+    q = np.quantile(np.array(paths), [low, 0.5, high], axis=0)
+    return {s: q[:, :, k].T for k, s in enumerate(states)}
+
+
 def holdout_scores(df: DataFrame, observed: str, predicted: str, origin: str) -> DataFrame:
     """rmse, mae, r2 and skill (1 less the ratio of rmse to that of holding the origin's value) by series."""
     e, base = F.col(observed) - F.col(predicted), F.col(observed) - F.col(origin)
