@@ -213,8 +213,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, family: int
     same = join_hot(holders, several, "doc_id", "n", hot(several)).select("src", F.col("cid").alias("dst"))
     groups = components(links.union(same))
     named = classes.join(groups, F.col("cid") == F.col("id"), "left").select(F.col("set_key").alias("key_"), F.coalesce("component", "cid").alias("group"), "rep")
-    least = named.groupBy("group").agg(F.min("rep").alias("component"))
-    named = named.join(least, "group").select("key_", "component")
+    named = materialize(named, "named")
+    least = materialize(named.groupBy("group").agg(F.min("rep").alias("component"), F.count("*").alias("n")), "least")
+    named = join_hot(named, least, "group", "n", hot(least)).select("key_", "component")
     return features.join(named, F.col("doc_id").isNotNull() & (F.col("set_key") == F.col("key_")), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept")
     )
