@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql.window import WindowSpec
+
+from .scratch import written
 from pyspark.sql import functions as F
 
 IDENTIFIER = re.compile(r"[A-Za-z_-][A-Za-z0-9_-]*")
@@ -53,41 +56,33 @@ def lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("q"), (F.col("l_discount") * 10).alias("d"), (F.col("l_tax") * 10).alias("x"), (F.col("l_extendedprice") / 1e5).alias("y"))
 
 
-#: Bins of time in which the rows of a long series are counted, and again in a bin that alone holds too many.
-FINE = 4096
+#: Chunks of a series at most; a longer one has longer chunks.
+MOST_CHUNKS = 10_000
 
 
 def largest_series(df: DataFrame) -> int:
     return df.groupBy(KEY).count().agg(F.max("count")).first()[0] or 0
 
 
-def _binned(df: DataFrame, keys: list[str], name: str, chosen: DataFrame | None = None) -> DataFrame:
-    """df with the bin, of FINE, of t between the first and the last of its keys; 0 for keys that are not among the chosen."""
-    rows = df if chosen is None else df.join(F.broadcast(chosen), keys, "left_semi")
-    span = rows.groupBy(*keys).agg(F.min(TIME).alias("lo_"), F.max(TIME).alias("hi_"))
-    wide = F.col("hi_") > F.col("lo_")
-    place = F.when(wide, F.least(F.floor((F.col(TIME) - F.col("lo_")) / (F.col("hi_") - F.col("lo_")) * FINE), F.lit(FINE - 1))).otherwise(0)
-    return df.join(span if chosen is None else F.broadcast(span), keys, "left").select(*df.columns, F.coalesce(place, F.lit(0)).cast("int").alias(name))
-
-
 def chunked(df: DataFrame, chunk_rows: int | None = None) -> DataFrame:
-    """df with chunk_, from 0, in order of t within each series: stretches of about chunk_rows rows, however t is spread.
+    """df with chunk_, in order of t within each series: stretches of about chunk_rows rows, however t is spread. Written once, as it is read often.
 
-    Rows are counted in FINE bins of each series' time, those of a bin with more than chunk_rows in FINE bins of its own, and so on until none
-    holds more but at a single instant; stretches of bins make chunks. Bins that are parted again are at most rows / chunk_rows.
+    The cuts are ranks of t, from one sketch of bounded size a series, so a burst is many chunks; only rows at one instant cannot be
+    parted. Series that need cuts are at most rows / chunk_rows. A row's chunk is the number of cuts below it, found in two steps.
     """
     chunk_rows = chunk_rows or CHUNK_ROWS
-    bins, binned = ["bin0_"], _binned(df, [KEY], "bin0_")
-    while True:
-        full = binned.groupBy(KEY, *bins).agg(F.count("*").alias("n_"), F.min(TIME).alias("a_"), F.max(TIME).alias("b_"))
-        full = full.where((F.col("n_") > chunk_rows) & (F.col("a_") < F.col("b_"))).select(KEY, *bins)
-        if full.isEmpty():
-            break
-        bins, binned = [*bins, f"bin{len(bins)}_"], _binned(binned, [KEY, *bins], f"bin{len(bins)}_", full)
-    cells = binned.groupBy(KEY, *bins).agg(F.count("*").alias("n_"))
-    before = F.sum("n_").over(Window.partitionBy(KEY).orderBy(*bins)) - F.col("n_")  # at most FINE rows, and FINE for each bin parted again
-    cells = cells.select(KEY, *bins, F.floor(before / chunk_rows).cast("long").alias("chunk_"))
-    return binned.join(cells, [KEY, *bins]).select(*df.columns, "chunk_")
+    most = min(MOST_CHUNKS, -(-largest_series(df) // chunk_rows))
+    if most < 2:
+        return df.withColumn("chunk_", F.lit(0))
+    step = math.ceil(math.sqrt(most))
+    cuts = F.percentile_approx(TIME, F.lit([k / most for k in range(1, most)]), max(10_000, 20 * most))
+    found = df.groupBy(KEY).agg(F.count("*").alias("n_"), cuts.alias("cuts_")).where(F.col("n_") > chunk_rows).select(KEY, "cuts_")
+    found = found.withColumn("coarse_", F.filter("cuts_", lambda c, i: (i + 1) % step == 0))
+    below = lambda cs: F.size(F.filter(cs, lambda c: c < F.col(TIME)))
+    joined = df.join(F.broadcast(found), KEY, "left").withColumn("full_", F.coalesce(below(F.col("coarse_")), F.lit(0)) * step)
+    inside = below(F.slice("cuts_", F.col("full_") + 1, step))
+    chunk = F.when(F.col("cuts_").isNull(), 0).otherwise(F.col("full_") + inside)
+    return written(joined.select(*df.columns, chunk.cast("long").alias("chunk_")), "chunks")
 
 
 def numbered(df: DataFrame, name: str = "rn_", chunk_rows: int | None = None) -> DataFrame:
