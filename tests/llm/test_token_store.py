@@ -1,10 +1,12 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewright.llm import token_store as ts
@@ -81,12 +83,17 @@ def test_edges(spark, plain):
     assert ts.store_and_verify(docs.limit(0)).count() == 0
 
 
+@cache
+def _library():
+    return Tokenizer.from_file(PATH)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("ab <|>endoftx\n")), max_size=12), st.just("a <|endoftext|> b"), st.just("<|endoftext|><|endoftext|>")), max_size=6))
 def test_special_strings_as_their_ids(texts):
     import pyarrow as pa
 
-    library = Tokenizer.from_file(PATH)
+    library = _library()
     want = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
     e = ts.encoder(PATH, public_tokenizers.PATTERN, special=True)
     assert [e(t, 2).tolist() for t in texts] == want
@@ -113,13 +120,17 @@ def test_manifest_of_several_levels(spark, monkeypatch):
     assert ts.verify_manifest(spark, path) == (70, sum(r.n_tokens for r in got))
 
 
-@pytest.mark.parametrize("what", ["chunk", "recipe lost", "recipe twice", "recipe changed", "manifest lost", "manifest changed"])
-def test_damage_is_found(spark, what):
-    from pyspark.sql import functions as F
-
+@pytest.fixture(scope="module")
+def stored(spark):
     docs = spark.createDataFrame([(1, "some text here"), (2, "more of it")], "doc_id long, text string")
-    path, other = ts.scratch_path(spark, "damage"), ts.scratch_path(spark, "damaged")
+    path = ts.scratch_path(spark, "damage")
     ts.store_and_verify(docs, path=path).collect()
+    return path
+
+
+@pytest.mark.parametrize("what", ["chunk", "recipe lost", "recipe twice", "recipe changed", "manifest lost", "manifest changed"])
+def test_damage_is_found(spark, stored, what):
+    path, other = stored, ts.scratch_path(spark, "damaged")
     chunks, recipes, manifest = (spark.read.parquet(f"{path}/{k}") for k in ("chunks", "recipes", "manifest"))
     if what == "chunk":
         chunks = chunks.withColumn("ids", F.lit(b"\x01\x00"))

@@ -114,23 +114,38 @@ class DocumentEncoder:
         return np.frombuffer(raw, self.dtype)
 
     def look_up(self, pieces: list[str]) -> list[bytes | None]:
-        """self.later of each. A mark after a letter is a pre-token of its own, so such pieces are put together."""
-        later, known, out = self.later, self.later.get, []
+        """self.later of each. A mark after a letter is a pre-token of its own, so such pieces are put together; words that are
+        new are encoded in one loop."""
+        later, old = self.later, self.later.old
         marks = {c: self.pre[c] for c in ".,;:!?"}
-        for x in pieces:
-            v = known(x)
+        out = list(map(later.get, pieces))
+        wait, new = [], {}
+        for i, v in enumerate(out):
+            if v is not None:
+                continue
+            x = pieces[i]
+            mark = marks.get(x[-1:])
+            if mark is not None and x[-2:-1].isalpha():
+                x = x[:-1]
+                v = later.get(x)
             if v is None:
-                mark = marks.get(x[-1:])
-                if mark is not None and x[-2:-1].isalpha():
-                    w = x[:-1]
-                    v = known(w)
-                    if v is None:
-                        v = later[w]
-                    if v is not None:
-                        v = v + mark
-                else:
-                    v = later[x]
-            out.append(v)
+                v = old.get(x)
+                if v is None and x.isalpha():
+                    new[x] = None
+                    wait.append((i, x, mark))
+                    continue
+                later[x] = v = later[x] if v is None else v
+            out[i] = v if mark is None or v is None or len(x) == len(pieces[i]) else v + mark
+        tokenize, code, table = self.model.tokenize, self.code, self.bytes
+        for w in new:
+            letters = "\u0120" + w if w.isascii() else "\u0120" + w.encode().decode("latin-1").translate(table)
+            new[w] = array(code, [t.id for t in tokenize(letters)]).tobytes()
+        for i, w, mark in wait:
+            out[i] = new[w] if mark is None or len(w) == len(pieces[i]) else new[w] + mark
+        if len(later) + len(new) > MEMO:
+            later.old = dict(later)
+            later.clear()
+        later.update(new)
         return out
 
     def batch(self, texts: pa.Array, end_id: int | None) -> list[np.ndarray]:
@@ -144,11 +159,13 @@ class DocumentEncoder:
         which = coded.indices.to_numpy().copy()
         which[at[:-1]] = len(entries) + np.arange(len(texts))
         entries += [self.first[x] if x else b"" for x in flat.take(pa.array(at[:-1])).to_pylist()]
-        known = np.array([x is not None for x in entries])
+        known, none = np.ones(len(entries), bool), [i for i, x in enumerate(entries) if x is None]
+        known[none] = False
+        for i in none:
+            entries[i] = b""
         # A text that begins with a space has an empty first piece, whose space goes with what follows.
         known[len(entries) - len(texts) :] &= (np.diff(at) == 1) | np.array([x != b"" for x in entries[len(entries) - len(texts) :]])
-        entries = [x or b"" for x in entries]
-        sizes = np.array([len(x) for x in entries], np.int32) // self.dtype.itemsize
+        sizes = np.fromiter(map(len, entries), np.int32, len(entries)) // self.dtype.itemsize
         starts, pool = np.cumsum(sizes, dtype=np.int32) - sizes, np.frombuffer(b"".join(entries), self.dtype)
         sizes = sizes[which]
         ends = np.cumsum(sizes, dtype=np.int32)  # a batch has far fewer ids than 2 ** 31
@@ -238,13 +255,15 @@ def _stage(path: str, pattern: str, end_id: int | None, special: bool):
         encode = encoder(path, pattern, special)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
+                # A text that comes again in the batch is encoded and cut once.
+                texts = pc.fill_null(batch.column(1).slice(at, 4096), "").dictionary_encode()
                 rows = []
-                for ids in encode.batch(batch.column(1).slice(at, 4096), end_id):
+                for ids in encode.batch(texts.dictionary, end_id):
                     ends = cut(ids)
                     chunks = [ids[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
                     digests = [hashlib.sha256(c).digest() for c in chunks]
                     rows.append((len(ids), digests, [len(c) // ids.itemsize for c in chunks], merkle_root(digests), chunks))
-                n, d, ls, m, c = zip(*rows, strict=True)
+                n, d, ls, m, c = zip(*[rows[i] for i in texts.indices.to_pylist()], strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, 4096), pa.array(n, pa.int64()), pa.array(d, pa.list_(pa.binary())), pa.array(ls, pa.list_(pa.int32())), pa.array(m, pa.binary()), pa.array(c, pa.list_(pa.binary()))],
                     ["doc_id", "n_tokens", "digests", "lengths", "merkle_root", "chunks"],
@@ -402,12 +421,16 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts = batch.column(4)
+            flat, at = parts.flatten(), (parts.offsets.to_numpy() - parts.offsets[0].as_py()).tolist()
+            n_ids, crc, digest = (flat.field(k).to_pylist() for k in (1, 2, 3))
             crcs = []
-            for n, root, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                parts = [p for p in parts if p["digest"] is not None]  # none of an empty document
-                if any(p["crc"] is None for p in parts) or sum(p["n_ids"] for p in parts) != n or merkle_root([p["digest"] for p in parts]) != root:
+            for a, b, n, root in zip(at, at[1:], batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=False):
+                if digest[a] is None:  # an empty document has no chunk
+                    b = a
+                if None in crc[a:b] or sum(n_ids[a:b]) != n or merkle_root(digest[a:b]) != root:
                     raise ValueError("a recipe does not match its chunks or its Merkle root")
-                crcs.append(crc_concat([(p["crc"], 4 * p["n_ids"]) for p in parts]))
+                crcs.append(crc[a] if b == a + 1 else crc_concat([(c, 4 * k) for c, k in zip(crc[a:b], n_ids[a:b], strict=True)]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(crcs, pa.int64()), batch.column(3)], ["doc_id", "start", "n_tokens", "ids_crc32", "merkle_root"])
 
     return grouped.select("doc_id", "start", "n_tokens", "merkle_root", "parts").mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long, merkle_root binary")
