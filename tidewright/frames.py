@@ -168,6 +168,11 @@ def neighbours(df: DataFrame, columns: list[str], chunk_rows: int | None = None)
     return out.select(*df.columns, *[F.col("p_")[c].alias(f"prev_{c}") for c in names], *[F.col("n_")[c].alias(f"next_{c}") for c in names])
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE 754 and DuckDB's SQL have it: by zero it is infinite or NaN, where Spark's own is an error (or null)."""
+    return F.when(b != 0, a / b).otherwise(a * F.pow(b, F.lit(-1.0)))
+
+
 def violations(df: DataFrame) -> DataFrame:
     """Rows that break the rules of a series frame: (series_id, t, problem). Empty for a valid frame."""
     values = value_columns(df)

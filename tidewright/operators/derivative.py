@@ -8,18 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from ..frames import KEY, TIME, neighbours, within_rows
+from ..frames import KEY, TIME, neighbours, quotient, within_rows
 
 
-def finite_difference(df: DataFrame, columns: list[str]) -> DataFrame:
-    """d_<c>: three-point differences on an irregular grid, one-sided at the ends."""
-    b = neighbours(df, columns)
+def finite_difference(df: DataFrame, columns: list[str], strict: bool = True) -> DataFrame:
+    """d_<c>: three-point differences on an irregular grid, one-sided at the ends.
+
+    Rows at one instant are an error of Spark's division by zero; with strict=False they stay, and have the quotients of SQL: infinite or NaN.
+    """
+    b, over = neighbours(df, columns), (lambda x, y: x / y) if strict else quotient
     left, right = F.col(TIME) - F.col(f"prev_{TIME}"), F.col(f"next_{TIME}") - F.col(TIME)
     out = {}
     for c in columns:
         v, p, n = F.col(c), F.col(f"prev_{c}"), F.col(f"next_{c}")
-        inner = -right * p / (left * (left + right)) + (right - left) * v / (left * right) + left * n / (right * (left + right))
-        out[f"d_{c}"] = F.when(left.isNull(), (n - v) / right).when(right.isNull(), (v - p) / left).otherwise(inner)
+        inner = over(-right * p, left * (left + right)) + over((right - left) * v, left * right) + over(left * n, right * (left + right))
+        out[f"d_{c}"] = F.when(left.isNull(), over(n - v, right)).when(right.isNull(), over(v - p, left)).otherwise(inner)
     return b.withColumns(out).select(*df.columns, *out)
 
 
