@@ -53,3 +53,9 @@ def test_strict_differences_refuse_them(spark):
     rows = spark.createDataFrame([("a", 0.0, 1.0), ("a", 0.0, 2.0), ("a", 1.0, 3.0)], "series_id string, t double, x double")
     with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
         derivative.finite_difference(rows, ["x"]).collect()
+
+
+def test_bins_with_steps_of_no_time(spark, tied):
+    rows = against_sql(spark, tied, "kramers_moyal_bins", "events")
+    assert any("nan" in r for r in rows) and any("nan" not in r for r in rows)
+    assert [r[1] for r in rows if r[0] == "click"] == [11]
