@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidewright import catalog
-from tidewright.frames import quotient
+from tidewright.frames import neighbours, quotient
 from tidewright.operators import derivative
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +59,17 @@ def test_bins_with_steps_of_no_time(spark, tied):
     rows = against_sql(spark, tied, "kramers_moyal_bins", "events")
     assert any("nan" in r for r in rows) and any("nan" not in r for r in rows)
     assert [r[1] for r in rows if r[0] == "click"] == [11]
+
+
+def test_rows_at_one_instant_keep_the_order_of_their_keys(spark, tmp_path):
+    """In a file by event_id as in one against it, in one window as in chunks."""
+    events = [(k, t, "a", x) for k, t, x in [(1, 0, 1.0), (2, 1, 4.0), (3, 1, 8.0), (4, 2, 2.0), (5, 2, 6.0), (6, 2, 7.0), (7, 4, 3.0)]]
+    rows = ", ".join(f"({k}::BIGINT, TIMESTAMP '2024-01-01' + to_seconds({t}), 5::BIGINT, '{e}', {x}::DOUBLE, '')" for k, t, e, x in reversed(events))
+    duckdb.connect().execute(f"COPY (SELECT * FROM (VALUES {rows}) v(event_id, ts, user_id, event_type, value, props)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = sorted(tuple(r)[1:] for r in entry.queries()["finite_difference"](spark, str(tmp_path)).collect())
+    # before the first tie: to 4.0, not 8.0; after the last: from 7.0, not 2.0 or 6.0
+    assert got[0] == (0.0, 3.0) and got[-1] == (4.0, -2.0)
+    frame = spark.createDataFrame([(e, float(t), x, k) for k, t, e, x in reversed(events)], "series_id string, t double, x double, k long")
+    for size in (None, 3):
+        near = {r["k"]: (r["prev_x"], r["next_x"]) for r in neighbours(frame, ["x"], size, ("k",)).collect()}
+        assert near == {1: (None, 4.0), 2: (1.0, 8.0), 3: (4.0, 2.0), 4: (8.0, 6.0), 5: (2.0, 7.0), 6: (6.0, 3.0), 7: (7.0, None)}

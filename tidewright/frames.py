@@ -26,8 +26,8 @@ def value_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in (KEY, TIME)]
 
 
-def series_window() -> Window:
-    return Window.partitionBy(KEY).orderBy(TIME)
+def series_window(ties: tuple[str, ...] = ()) -> Window:
+    return Window.partitionBy(KEY).orderBy(TIME, *ties)
 
 
 def rebase(df: DataFrame, micros: Column, *columns: Column) -> DataFrame:
@@ -38,10 +38,10 @@ def rebase(df: DataFrame, micros: Column, *columns: Column) -> DataFrame:
     return raw.join(start, KEY).select(KEY, ((F.col("us_") - F.col("start_")) / 1e6).alias(TIME), *rest)
 
 
-def events_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One series per event type: t seconds since its first event, x the value."""
+def events_frame(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """One series per event type: t seconds since its first event, x the value; and more columns of events."""
     e = table(spark, sf_dir, "events").withColumnRenamed("event_type", KEY)
-    return rebase(e, F.unix_micros(F.col("ts").cast("timestamp")), F.col("value").alias("x"))
+    return rebase(e, F.unix_micros(F.col("ts").cast("timestamp")), F.col("value").alias("x"), *map(F.col, more))
 
 
 def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,15 +85,15 @@ def chunked(df: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     return written(joined.select(*df.columns, chunk.cast("long").alias("chunk_")), "chunks")
 
 
-def numbered(df: DataFrame, name: str = "rn_", chunk_rows: int | None = None) -> DataFrame:
-    """df with the number of each row, from 0, in order of t within its series. Long series are numbered in chunks, whose counts give their first numbers."""
+def numbered(df: DataFrame, name: str = "rn_", chunk_rows: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with the number of each row, from 0, in order of t within its series (of ties, where rows share t). Long series are numbered in chunks, whose counts give their first numbers."""
     chunk_rows = chunk_rows or CHUNK_ROWS
     if largest_series(df) <= chunk_rows:
-        return df.withColumn(name, F.row_number().over(series_window()).cast("long") - 1)
+        return df.withColumn(name, F.row_number().over(series_window(ties)).cast("long") - 1)
     cut = chunked(df, chunk_rows)
     counts = cut.groupBy(KEY, "chunk_").agg(F.count("*").alias("n_"))
     first = counts.select(KEY, "chunk_", (F.sum("n_").over(Window.partitionBy(KEY).orderBy("chunk_")) - F.col("n_")).alias("first_"))  # one row a chunk
-    inside = F.row_number().over(Window.partitionBy(KEY, "chunk_").orderBy(TIME))
+    inside = F.row_number().over(Window.partitionBy(KEY, "chunk_").orderBy(TIME, *ties))
     return cut.withColumn("in_", inside).join(first, [KEY, "chunk_"]).select(*df.columns, (F.col("first_") + F.col("in_") - 1).alias(name))
 
 
@@ -109,16 +109,16 @@ def running_sum(df: DataFrame, column: str, name: str, chunk_rows: int | None =
     return out.select(*df.columns, "rn_", (F.coalesce("a_", F.lit(0.0)) + F.coalesce("s_in_", F.lit(0.0))).alias(name))
 
 
-def within_rows(df: DataFrame, before: int, after: int, add: Callable[[DataFrame, WindowSpec], DataFrame], chunk_rows: int | None = None) -> DataFrame:
-    """add(rows, window) where the window looks at most before rows back and after rows ahead.
+def within_rows(df: DataFrame, before: int, after: int, add: Callable[[DataFrame, WindowSpec], DataFrame], chunk_rows: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """add(rows, window) where the window looks at most before rows back and after rows ahead; ties are columns that order rows at one instant.
 
     Series of at most chunk_rows rows are one window each. Longer ones are cut into blocks of so many rows; the rows at a block's borders go
     to its neighbours, too, and are left out of what those give back.
     """
     size = max(chunk_rows or CHUNK_ROWS, before + after, 1)
     if largest_series(df) <= size:
-        return add(df, series_window())
-    rows = numbered(df, "rn_", size)
+        return add(df, series_window(ties))
+    rows = numbered(df, "rn_", size, ties)
     home = F.floor(F.col("rn_") / size)
     low, high = F.floor((F.col("rn_") - after) / size), F.floor((F.col("rn_") + before) / size)
     copies = rows.select("*", home.alias("home_"), F.explode(F.sequence(low, high)).alias("block_"))
@@ -157,14 +157,14 @@ def nearest_known(df: DataFrame, value: Column, back: str | None, ahead: str | N
     return rows.drop("v_", "chunk_", "before_", "after_")
 
 
-def neighbours(df: DataFrame, columns: list[str], chunk_rows: int | None = None) -> DataFrame:
-    """df with prev_<c> and next_<c> of t and columns, in order of t within each series."""
+def neighbours(df: DataFrame, columns: list[str], chunk_rows: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with prev_<c> and next_<c> of t and columns, in order of t (and ties) within each series."""
     names, row = [TIME, *columns], F.struct(TIME, *columns)
 
     def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
         return rows.withColumn("p_", F.lag(row).over(w)).withColumn("n_", F.lead(row).over(w))
 
-    out = within_rows(df, 1, 1, add, chunk_rows)
+    out = within_rows(df, 1, 1, add, chunk_rows, ties)
     return out.select(*df.columns, *[F.col("p_")[c].alias(f"prev_{c}") for c in names], *[F.col("n_")[c].alias(f"next_{c}") for c in names])
 
 

@@ -81,13 +81,13 @@ def transitions(df: DataFrame, keys: list[str], order: list[str], state: str) ->
     return n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("from_state")))  # states squared rows
 
 
-def kramers_moyal(df: DataFrame, column: str, bins: int) -> DataFrame:
+def kramers_moyal(df: DataFrame, column: str, bins: int, ties: tuple[str, ...] = ()) -> DataFrame:
     """(series_id, bin, centre, n, drift, diffusion) of increments by the bin of where they begin.
 
-    As in its SQL, steps between rows at one instant count, with infinite or NaN rates; a series of one value is all in the last bin.
+    As in its SQL, steps between rows at one instant (in the order of ties) count, with infinite or NaN rates; a series of one value is all in the last bin.
     """
     r = df.groupBy(KEY).agg(F.min(column).alias("lo_"), F.max(column).alias("hi_"))
-    steps = neighbours(df.select(KEY, TIME, column), [column]).where(F.col(f"next_{TIME}").isNotNull())
+    steps = neighbours(df.select(KEY, TIME, column, *ties), [column], ties=ties).where(F.col(f"next_{TIME}").isNotNull())
     dt, dx = F.col(f"next_{TIME}") - F.col(TIME), F.col(f"next_{column}") - F.col(column)
     place = F.floor(F.least(quotient(F.col(column) - F.col("lo_"), (F.col("hi_") - F.col("lo_")) / bins), F.lit(bins - 1.0)))
     return steps.join(r, KEY).groupBy(KEY, place.alias("bin")).agg(F.avg(column).alias("centre"), F.count("*").alias("n"), F.avg(quotient(dx, dt)).alias("drift"), F.avg(quotient(dx * dx, dt)).alias("diffusion"))

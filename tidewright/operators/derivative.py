@@ -11,12 +11,13 @@ from pyspark.sql.window import WindowSpec
 from ..frames import KEY, TIME, neighbours, quotient, within_rows
 
 
-def finite_difference(df: DataFrame, columns: list[str], strict: bool = True) -> DataFrame:
+def finite_difference(df: DataFrame, columns: list[str], strict: bool = True, ties: tuple[str, ...] = ()) -> DataFrame:
     """d_<c>: three-point differences on an irregular grid, one-sided at the ends.
 
-    Rows at one instant are an error of Spark's division by zero; with strict=False they stay, and have the quotients of SQL: infinite or NaN.
+    Rows at one instant are an error of Spark's division by zero; with strict=False they stay, in the order of ties, and have the quotients
+    of SQL: infinite or NaN.
     """
-    b, over = neighbours(df, columns), (lambda x, y: x / y) if strict else quotient
+    b, over = neighbours(df, columns, ties=ties), (lambda x, y: x / y) if strict else quotient
     left, right = F.col(TIME) - F.col(f"prev_{TIME}"), F.col(f"next_{TIME}") - F.col(TIME)
     out = {}
     for c in columns:
