@@ -1,4 +1,4 @@
-"""Queries on tables with rows at one instant and with constant series, against their SQL; NaN and null are told apart."""
+"""Queries on rows at one instant, constant series and larger sums, against their SQL; NaN and null are told apart."""
 
 import math
 
@@ -73,3 +73,9 @@ def test_rows_at_one_instant_keep_the_order_of_their_keys(spark, tmp_path):
     for size in (None, 3):
         near = {r["k"]: (r["prev_x"], r["next_x"]) for r in neighbours(frame, ["x"], size, ("k",)).collect()}
         assert near == {1: (None, 4.0), 2: (1.0, 8.0), 3: (4.0, 2.0), 4: (8.0, 6.0), 5: (2.0, 7.0), 6: (6.0, 3.0), 7: (7.0, None)}
+
+
+def test_laws_of_larger_sums_have_the_threshold_of_their_sql(spark, tmp_path):
+    """Six times the orders: a coefficient is below the threshold that is above it for a scaled term."""
+    duckdb.connect().execute(f"COPY (SELECT o.* REPLACE (o_orderkey + 1000000 * k AS o_orderkey) FROM '/root/testdata/sf0.01/orders.parquet' o, range(6) r(k)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    assert len(against_sql(spark, str(tmp_path), "discover_laws", "orders")) == 11

@@ -121,7 +121,8 @@ def group_stlsq(m: Gram, groups: list[list[int]], target: int = 0, threshold: fl
     return m.solve(sorted(i for g in kept for i in g), target, ridge)
 
 
-SOLVERS = {"stlsq": stlsq_standardized, "sr3": sr3, "lasso": lasso, "nnls": nnls, "frols": frols, "ssr": ssr}
+#: stlsq thresholds coefficients of scaled terms, stlsq_unscaled those of the terms as they are.
+SOLVERS = {"stlsq": stlsq_standardized, "stlsq_unscaled": stlsq, "sr3": sr3, "lasso": lasso, "nnls": nnls, "frols": frols, "ssr": ssr}
 
 
 def selection_stability(supports: list[set[int]], terms: int) -> tuple[list[float], float]:
